@@ -20,6 +20,12 @@ def _interval(rate: float):
     return F.lit(int(interval)).cast("bigint") if float(interval).is_integer() else F.lit(interval)
 
 
+def _slot_type(requests: DataFrame, rate: float) -> str:
+    """Slots are whole numbers when arrivals and interval are."""
+    whole = float(round(interval_ms(rate), 6)).is_integer()
+    return "bigint" if whole and dict(requests.dtypes)["arrival_ms"] in ("bigint", "int") else "double"
+
+
 def _up_to(*keys: str, order: tuple[str, ...]):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -42,7 +48,7 @@ def pace_schedule(
     if booked is not None:
         requests = requests.join(booked.select("host", "next_free_ms"), "host", "left")
         ready = F.greatest("arrival_ms", "next_free_ms")
-    requests = requests.withColumn("_ready", ready)
+    requests = requests.withColumn("_ready", ready.cast(_slot_type(requests, rate)))
     if has_hot_key(requests, ["host"], hot_rows):
         chunks = ordered_chunks(requests, ["host"], list(order))
         inside = Window.partitionBy("host", "_chunk").orderBy(*order)
