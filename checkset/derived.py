@@ -228,18 +228,20 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 
 HOPS_SQL = """
 hops AS (
-  SELECT page_id, 'https://h.example/' || page_id AS url, CASE WHEN page_id % 9 = 8 THEN NULL ELSE 301 END AS status,
+  SELECT page_id, 'https://h.example/' || page_id AS url,
+    CASE WHEN page_id % 4 = 3 AND page_id % 40 NOT BETWEEN 30 AND 36 THEN 200
+         WHEN page_id % 9 = 8 THEN NULL ELSE 301 END AS status,
     'https://h.example/' || CASE WHEN page_id % 40 = 21 THEN page_id - 1 ELSE page_id + 1 END AS location
-  FROM pages WHERE page_id % 4 <> 3 OR page_id % 40 BETWEEN 30 AND 36)"""
+  FROM pages)"""
 
 
 def hops(spark: SparkSession, sf: str) -> DataFrame:
     page = F.col("page_id")
-    moved = table(spark, sf, "pages").where((page % 4 != 3) | (page % 40).between(30, 36))
+    answered = (page % 4 == 3) & ~(page % 40).between(30, 36)
     target = F.when(page % 40 == 21, page - 1).otherwise(page + 1)
-    return moved.select(
+    return table(spark, sf, "pages").select(
         F.concat(F.lit("https://h.example/"), page).alias("url"),
-        F.when(page % 9 != 8, 301).alias("status"),
+        F.when(answered, 200).when(page % 9 == 8, None).otherwise(301).alias("status"),
         F.concat(F.lit("/"), target).alias("location"),
     )
 
@@ -327,7 +329,7 @@ _ORDER_LINKS = [
     ("k % 6 = 0", "'<a href=\"https://pay.example/' || c || '\">'", "'https://pay.example/' || c"),
 ]
 
-ORDER_SITES = [("shop", "https://shop.example/0", 9, 6000)]
+ORDER_SITES = [("shop", "https://shop.example/0", 9, 1_000_000)]
 
 
 def order_sites(spark: SparkSession) -> DataFrame:
@@ -370,7 +372,7 @@ node AS (
   SELECT site_id, url, {NONE} AS fetch_error, 200 AS status, (k * 31 % 1009) + 0.25 AS elapsed_ms, true AS has_text
   FROM graph),
 link AS ({_link_rows(_ORDER_LINKS, "'https://shop.example'")}),
-site AS (SELECT * FROM (VALUES ('shop', 'https://shop.example/0', 'shop.example', 9, 6000))
+site AS (SELECT * FROM (VALUES ('shop', 'https://shop.example/0', 'shop.example', 9, 1000000))
   AS v(site_id, url, host, max_depth, max_pages))"""
 
 

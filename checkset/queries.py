@@ -159,15 +159,17 @@ def read_robots(spark, sf):
 
 @query
 def lookup(spark, sf):
-    asked = derived.table(spark, sf, "pages").select(
-        F.concat(F.lit("https://h.example/"), F.col("page_id") % 40).alias("url"), "page_id"
+    """Every page asks for a URL, a third of them for the same one; every second is in the capture."""
+    pages, page = derived.table(spark, sf, "pages"), F.col("page_id")
+    asked = pages.select(
+        F.concat(F.lit("https://h.example/"), F.when(page % 3 == 0, 0).otherwise(page)).alias("url"), "page_id"
     )
-    known = derived.table(spark, sf, "pages").where("page_id % 3 <> 1").select(
-        F.concat(F.lit("https://h.example/"), F.col("page_id")).alias("url"),
+    known = pages.select(
+        F.concat(F.lit("https://h.example/"), page * 2).alias("url"),
         F.lit(None).cast("string").alias("final_url"),
-        F.when(F.col("page_id") % 5 > 0, 200).alias("status"),
+        F.when(page % 5 > 0, 200).alias("status"),
         F.lit(None).cast("string").alias("content_type"),
-        F.when(F.col("page_id") % 5 == 0, "timeout").alias("fetch_error"),
+        F.when(page % 5 == 0, "timeout").alias("fetch_error"),
     )
     found = joins.lookup(asked, known)
     return found.select("page_id", "url", "final_url", "status", "content_type", "fetch_error")

@@ -126,9 +126,21 @@ def test_refused_seeds(spark, seed, depth, budget):
         crawl(spark.createDataFrame([("s", seed, depth, budget)], SITES), spark.createDataFrame([], RESPONSES))
 
 
-def test_the_capture_side_does_not_move(golden):
-    plan = golden[0].links._jdf.queryExecution().optimizedPlan().toString()
-    assert "webledger_pages" in plan or "Relation" in plan
+def test_levels_shuffle_offers_once_and_never_the_capture(spark, golden):
+    from webledger.operators import frontier
+    from webledger.plans.crawl import _links
+
+    done = golden[0]
+    seen = done.visits.selectExpr("site_id", "url as url_norm")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        decided = frontier.decide(_links(done._visits, done._pages), seen)
+        plan = decided._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the frontier to the capture, offers to one row per URL, the seen set to those rows
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert "partial_min" in plan and "Bucketed: true" in plan
 
 
 def serial(pages, seed, max_depth, max_pages):

@@ -14,26 +14,30 @@ _ATTRIBUTE = rf"[^\s/>=][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+"
 _ATTRIBUTES = rf"(?:[\s/]++|{_ATTRIBUTE})*+"
 
 
-def _attribute_pattern(tag: str, name: str) -> str:
-    """A whole start tag; group 1 is the first ``name`` attribute, quotes included."""
+def _attribute_body(tag: str, name: str) -> str:
+    """A start tag without its ``<``; the group is the first ``name`` attribute, quotes included."""
     before = rf"(?:[\s/]++|(?!{name}[\s/>=]){_ATTRIBUTE})*+"
-    return rf"(?is)<{tag}(?=[\s/]){before}{name}\s*+=\s*+({_VALUE}){_ATTRIBUTES}>"
+    return rf"{tag}(?=[\s/]){before}{name}\s*+=\s*+({_VALUE}){_ATTRIBUTES}>"
+
+
+def _attribute_pattern(tag: str, name: str) -> str:
+    return rf"(?is)<{_attribute_body(tag, name)}"
 
 
 def _tag_pattern(tag: str) -> str:
     return rf"(?is)<{tag}(?=[\s/>]){_ATTRIBUTES}>"
 
 
-_UNRENDERED = (
-    r"(?is)<!--.*?-->|<!--.*+"
-    rf"|(<script(?=[\s/>]){_ATTRIBUTES}>).*?(?:</script\s*+>|\z)"
-    rf"|(<style(?=[\s/>]){_ATTRIBUTES}>).*?(?:</style\s*+>|\z)"
-)
+_COMMENT = r"!--(?:.*?-->|.*+)"
+_RAW_TEXT = rf"({{0}}(?=[\s/>]){_ATTRIBUTES}>).*?(?:</{{0}}\s*+>|\z)"
+_SCRIPT = _RAW_TEXT.format("script")
+_STYLE = _RAW_TEXT.format("style")
+_UNRENDERED = rf"(?is)<(?:{_COMMENT}|{_SCRIPT}|{_STYLE})"
 
 
 def rendered(text: Column) -> Column:
     """The document without comments and without the bodies of scripts and style sheets."""
-    return F.regexp_replace(text, _UNRENDERED, "$1$2")
+    return F.regexp_replace(text, _UNRENDERED, "<$1$2")
 
 
 # The entities that every HTML writer must escape with.
@@ -84,9 +88,18 @@ def attribute_values(document: Column, tag: str, name: str) -> Column:
     return F.regexp_extract_all(document, F.lit(_attribute_pattern(tag, name)), F.lit(1))
 
 
+_ANCHORS = (
+    rf"(?is)<(?:{_COMMENT}|script(?=[\s/>]){_ATTRIBUTES}>.*?(?:</script\s*+>|\z)"
+    rf"|style(?=[\s/>]){_ATTRIBUTES}>.*?(?:</style\s*+>|\z)|{_attribute_body('a', 'href')})"
+)
+
+
 def raw_hrefs(text: Column) -> Column:
-    """The href values of all anchors of a document, as written, in document order."""
-    return attribute_values(rendered(text), "a", "href")
+    """The href values of all anchors of a document, as written, in document order.
+
+    One pass: comments, scripts and style sheets are matched whole, and yield nothing.
+    """
+    return F.array_remove(F.regexp_extract_all(text, F.lit(_ANCHORS), F.lit(1)), "")
 
 
 def title(document: Column) -> Column:

@@ -245,6 +245,13 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.when(authority.startswith("["), bracketed).otherwise(plain)), F.lit(""))
 
 
+def canonical_host(url: Column) -> Column:
+    """:func:`host_of` for canonical http(s) URLs, without a regular expression."""
+    authority = F.substring_index(F.substring_index(F.substring_index(url, "/", 3), "/", -1), "@", -1)
+    bracketed = F.substring_index(F.substring_index(authority, "]", 1), "[", -1)
+    return F.when(authority.startswith("["), bracketed).otherwise(F.substring_index(authority, ":", 1))
+
+
 def path_and_query(url: Column) -> Column:
     """The part of an absolute URL that robots patterns are matched against."""
     tail = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)", 1)

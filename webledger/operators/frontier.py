@@ -8,6 +8,8 @@ follow from the row of their URL.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +33,15 @@ def _offer():
 
 
 def first_offer(cand: DataFrame) -> DataFrame:
-    """One row per (site, URL) offered: number of links, and the earliest as rank and position."""
-    keys = ["site_id", "url_norm", *[c for c in ("level", *SITE_SCOPE) if c in cand.columns]]
-    offered = cand.groupBy(*keys).agg(F.count(F.lit(1)).alias("links"), F.min(_offer()).alias("offer"))
+    """One row per (site, URL) offered: number of links, and the earliest as rank and position.
+
+    What links of a site share is taken along as maxima, not as keys: the next join is on (site,
+    URL) too, and so needs no further shuffle.
+    """
+    shared = [c for c in ("level", "max_depth", "max_pages", "on_host") if c in cand.columns]
+    offered = cand.groupBy("site_id", "url_norm").agg(
+        F.count(F.lit(1)).alias("links"), F.min(_offer()).alias("offer"), *[F.max(c).alias(c) for c in shared]
+    )
     return offered.withColumns(
         {
             "source_rank": F.floor(F.col("offer") / _POSITIONS).cast("bigint"),
@@ -42,26 +50,36 @@ def first_offer(cand: DataFrame) -> DataFrame:
     )
 
 
-def decide(cand: DataFrame, seen: DataFrame) -> DataFrame:
-    """Every offered URL with its verdict up to the page budget; ``open`` is left to the budget.
+@cache
+def _on_host():
+    url = F.col("url_norm")
+    http = url.startswith("http://") | url.startswith("https://")
+    return F.coalesce(http & (url_rules.canonical_host(url) == F.col("scope_host")), F.lit(False))
 
-    ``cand`` has site_id, level, url_norm, source_rank, pos and the site's scope; ``seen`` holds each
-    accepted (site_id, url_norm) of earlier levels once, so this join has no hot key.
-    """
-    offered = first_offer(cand)
-    known = seen.select("site_id", "url_norm", F.lit(True).alias("_seen"))
+
+@cache
+def _verdict():
     url = F.col("url_norm")
-    on_host = F.coalesce(url_rules.host_of(url) == F.col("scope_host"), F.lit(False))
-    verdict = (
+    return (
         F.when(url.isNull(), "malformed")
         .when(F.col("_seen"), "duplicate")
-        .when(~url_rules.is_crawlable(url), "non_http")
-        .when(~on_host, "off_host")
+        .when(~(url.startswith("http://") | url.startswith("https://")), "non_http")
+        .when(~F.col("on_host"), "off_host")
         .when(F.col("level") > F.col("max_depth"), "too_deep")
         .otherwise("open")
     )
-    judged = offered.join(known, ["site_id", "url_norm"], "left").withColumn("verdict", verdict)
-    return judged.drop("_seen")
+
+
+def decide(cand: DataFrame, seen: DataFrame) -> DataFrame:
+    """Every offered URL with its verdict up to the page budget; ``open`` is left to the budget.
+
+    ``cand`` has site_id, level, url_norm, source_rank, pos and the site's scope; ``seen`` holds each
+    accepted (site_id, url_norm) of earlier levels once, so this join has no hot key.
+    """
+    offered = first_offer(cand.withColumn("on_host", _on_host()))
+    known = seen.select("site_id", "url_norm", F.lit(True).alias("_seen"))
+    judged = offered.join(known, ["site_id", "url_norm"], "left").withColumn("verdict", _verdict())
+    return judged.drop("_seen", "on_host")
 
 
 def cut_budget(
@@ -72,7 +90,8 @@ def cut_budget(
 ) -> DataFrame:
     """The open URLs that the page budget still admits, in offer order, with their accept rank.
 
-    ``accepted`` holds, per site, how many pages it has accepted before. Budgets up to
+    ``accepted`` holds, per site, how many pages it has accepted before, and may hold more about the
+    site. Budgets up to
     ``largest_budget`` pages are cut inside the map tasks when that number is small; beyond it a
     site with very many open URLs is ranked in parallel chunks (``hot_rows=None``: there is none).
     """
@@ -87,7 +106,7 @@ def cut_budget(
         ranked = with_row_number(open_urls, ["site_id"], ["offer"], "_rank", hot_rows)
     counted = join_to_one(
         ranked,
-        accepted.select("site_id", "accepted"),
+        accepted,
         ["site_id"],
         ["url_norm"],
         hot=[] if cut_early or hot_rows is None else hot_keys(open_urls, ["site_id"], hot_rows),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webledger.params import interval_ms
-from webledger.scale import HOT_ROWS, has_hot_key, ordered_chunks
+from webledger.scale import HOT_ROWS, has_hot_key, join_to_one, ordered_chunks
 
 
 def _interval(rate: float):
@@ -46,7 +46,8 @@ def pace_schedule(
     order = ("arrival_ms", "request_id")
     ready = F.col("arrival_ms")
     if booked is not None:
-        requests = requests.join(booked.select("host", "next_free_ms"), "host", "left")
+        free = booked.select("host", "next_free_ms")
+        requests = join_to_one(requests, free, ["host"], ["request_id"], hot_rows=hot_rows)
         ready = F.greatest("arrival_ms", "next_free_ms")
     requests = requests.withColumn("_ready", ready.cast(_slot_type(requests, rate)))
     if has_hot_key(requests, ["host"], hot_rows):

@@ -6,6 +6,8 @@ Rules stay packed per host: asking about a URL costs one join on its host and no
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,29 +154,40 @@ def join_host_state(
     return join_to_one(named, hosts, ["host"], ["url"], hot=hot, hot_rows=hot_rows)
 
 
-def match_rules(urls: DataFrame) -> DataFrame:
-    """Add ``matched``: those of the URL's packed ``rules`` whose pattern fits path and query."""
-    target = urls.withColumn("_target", url_rules.path_and_query(F.col("url")))
-    fits = F.filter(
+@cache
+def _fitting() -> Column:
+    return F.filter(
         "rules",
         lambda r: F.col("_target").startswith(r["prefix"]) & F.rlike(F.col("_target"), r["regex"]),
     )
-    return target.withColumn("matched", fits).drop("_target")
+
+
+def match_rules(urls: DataFrame) -> DataFrame:
+    """Add ``matched``: those of the URL's packed ``rules`` whose pattern fits path and query."""
+    target = urls.withColumn("_target", url_rules.path_and_query(F.col("url")))
+    return target.withColumn("matched", _fitting()).drop("_target")
+
+
+def permitted(
+    urls: DataFrame, hosts: DataFrame, hot: list[tuple] | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Add ``allowed`` to URLs, given the packed table of :func:`robots_hosts`."""
+    joined = match_rules(join_host_state(urls, hosts, hot, hot_rows))
+    return joined.withColumn("allowed", _verdict()).drop("host", "state", "rules", "matched")
+
+
+@cache
+def _verdict() -> Column:
+    ranked = F.transform("matched", lambda r: F.struct(r["pattern_len"].alias("n"), r["allow"].alias("allow")))
+    by_rules = F.coalesce(F.array_max(ranked)["allow"], F.lit(True))
+    return F.when(F.col("state") == "deny", False).when(F.col("state") == "rules", by_rules).otherwise(True)
 
 
 def robots_allows(
-    urls: DataFrame,
-    robots: DataFrame,
-    agent: str = params.ANY_AGENT,
-    hot: list[tuple] | None = None,
-    hot_rows: int = HOT_ROWS,
+    urls: DataFrame, robots: DataFrame, agent: str = params.ANY_AGENT, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``allowed`` to URLs. The longest fitting pattern decides; at equal length, allow does.
 
     A host without a robots capture answers like one without a robots file.
     """
-    joined = match_rules(join_host_state(urls, robots_hosts(robots, agent), hot, hot_rows))
-    ranked = F.transform("matched", lambda r: F.struct(r["pattern_len"].alias("n"), r["allow"].alias("allow")))
-    by_rules = F.coalesce(F.array_max(ranked)["allow"], F.lit(True))
-    allowed = F.when(F.col("state") == "deny", False).when(F.col("state") == "rules", by_rules).otherwise(True)
-    return joined.withColumn("allowed", allowed).drop("host", "state", "rules", "matched")
+    return permitted(urls, robots_hosts(robots, agent), hot_rows=hot_rows)

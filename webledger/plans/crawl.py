@@ -21,7 +21,7 @@ from webledger.functions import urls as url_rules
 from webledger.operators import frontier
 from webledger.operators.checks import with_checks
 from webledger.operators.joins import visit
-from webledger.operators.robots import robots_allows
+from webledger.operators.robots import permitted, robots_hosts
 from webledger.operators.urls import links_from_hrefs
 from webledger.scale import BROADCAST_BYTES, HOT_ROWS, store, store_bucketed
 
@@ -182,21 +182,30 @@ def _links(visits: DataFrame, pages: DataFrame) -> DataFrame:
     return url_rules.canonicalize(links_from_hrefs(hrefs))
 
 
-def _permitted(urls: DataFrame, robots: DataFrame | None, agent: str, hot_rows: int | None) -> DataFrame:
-    if robots is None:
+def _robots_answers(robots: DataFrame | None, agent: str) -> DataFrame | None:
+    """Robots captures read into rules once for the whole crawl; ready answers as they are."""
+    if robots is None or "allowed" in robots.columns:
+        return robots
+    return store(robots_hosts(robots, agent), "robots")
+
+
+def _asked(urls: DataFrame, answers: DataFrame | None, hot_rows: int | None) -> DataFrame:
+    if answers is None:
         return urls.withColumn("allowed", F.lit(True))
-    if "allowed" in robots.columns:
-        answers = robots.select("url", F.col("allowed").alias("_allowed")).dropDuplicates(["url"])
-        joined = urls.join(answers, ["url"], "left")
+    if "allowed" in answers.columns:
+        ready = answers.select("url", F.col("allowed").alias("_allowed")).dropDuplicates(["url"])
+        joined = urls.join(ready, ["url"], "left")
         return joined.withColumn("allowed", F.coalesce("_allowed", F.lit(True))).drop("_allowed")
     if hot_rows is None:
-        return robots_allows(urls, robots, agent, hot=[])
-    return robots_allows(urls, robots, agent, hot_rows=hot_rows)
+        return permitted(urls, answers, hot=[])
+    return permitted(urls, answers, hot_rows=hot_rows)
 
 
-def _visited(admitted: DataFrame, pages: DataFrame, robots, agent: str, hot_rows: int) -> DataFrame:
+def _visited(
+    admitted: DataFrame, pages: DataFrame, answers: DataFrame | None, hot_rows: int | None
+) -> DataFrame:
     """Admitted URLs with what came of them: robots denial, failed fetch, or a response."""
-    asked = _permitted(admitted, robots, agent, hot_rows)
+    asked = _asked(admitted, answers, hot_rows)
     answered = visit(asked, pages.drop("hrefs", "checks"))
     outcome = (
         F.when(~F.col("allowed"), "robots")
@@ -253,7 +262,8 @@ def crawl(
     pages = store_bucketed(captured, "pages", ["site_id", "url"])
 
     start = seeds.withColumns({"depth": F.lit(0), "accept_rank": F.lit(0).cast("bigint")})
-    visited = store(rebind(_visited(start, pages, robots, agent, hot_rows)), "visits")
+    answers = _robots_answers(robots, agent)
+    visited = store(rebind(_visited(start, pages, answers, hot_rows)), "visits")
     levels, decided = [visited], []
     landed = visited.where(F.col("has_text") & (F.col("final_url") != F.col("url")))
     seen = [
@@ -269,7 +279,8 @@ def crawl(
         if not n_open:
             break
         # ranks are dense, so the last one of a site says how many pages it has accepted
-        accepted = visited.groupBy("site_id").agg((F.max("accept_rank") + 1).alias("accepted"))
+        by_site = visited.groupBy("site_id", "scope_host")
+        accepted = by_site.agg((F.max("accept_rank") + 1).alias("accepted"))
         # fewer open URLs than make a key hot: no site needs a second look
         hot = hot_rows if n_open >= hot_rows else None
         admitted = frontier.cut_budget(decisions, accepted, limits["pages"], hot)
@@ -280,7 +291,7 @@ def crawl(
             "accept_rank",
             *frontier.SITE_SCOPE,
         )
-        visited = store(_visited(front, pages, robots, agent, hot), "visits")
+        visited = store(_visited(front, pages, answers, hot), "visits")
         levels.append(visited)
         seen.append(visited.select("site_id", F.col("url").alias("url_norm")))
         if len(seen) > _SEEN_PARTS:

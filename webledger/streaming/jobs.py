@@ -11,7 +11,7 @@ from webledger.functions.urls import canonicalize
 from webledger.operators.checks import PAGE_CHECKS, with_checks
 from webledger.operators.pacing import next_free, pace_schedule
 from webledger.plans.report import status_class
-from webledger.scale import HOT_ROWS
+from webledger.scale import HOT_ROWS, store
 
 # Batches after which the log of booked hosts is written anew as one table.
 _COMPACT_EVERY = 20
@@ -94,7 +94,8 @@ def stream_pace(
                 whole = whole.unionByName(part)
             merged = whole.groupBy("host").agg(F.max("next_free_ms").alias("next_free_ms"))
             merged.write.mode("overwrite").parquet(f"{log}/base={batch}")
-        slots = pace_schedule(batch_rows, rate, booked_before(batch), hot_rows)
+        # the schedule looks at its requests more than once
+        slots = pace_schedule(store(batch_rows, "requests"), rate, booked_before(batch), hot_rows)
         target = f"{out.rstrip('/')}/batch={batch}"
         slots.write.mode("overwrite").parquet(target)
         granted = spark.read.schema(slots.schema).parquet(target)
