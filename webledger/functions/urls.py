@@ -34,7 +34,7 @@ _HOST_AND_PORT = r"^(?:[A-Za-z0-9\-]+\.[A-Za-z0-9.\-]*|localhost):[0-9]*(?:[/?]|
 _PATH_SAFE = r"A-Za-z0-9\-._~!$&'()*+,;=:@\[\]"
 _ALREADY_CANONICAL = (
     r"^https?://[a-z0-9\-]++(?:\.[a-z0-9\-]++)*+(?=/)"
-    r"(?:/(?![./])[A-Za-z0-9\-._~!$&'()*+,;=:@]++)*+/?$"
+    r"(?:/(?![./])[A-Za-z0-9\-._~!$&'()*+,;=:@]++)*+/?\z"
 )
 _PLAIN_PAIR = r"^[A-Za-z0-9_.~\-]+=[A-Za-z0-9_.~\-]*$"
 _H16 = "[0-9a-f]{1,4}"
@@ -181,9 +181,8 @@ def _canonical_stages(url_col: str) -> tuple[dict[str, Column], Column]:
     )
     untracked = ~F.substring_index("_query", "=", 1).isin(*TRACKING_PARAMS)
     working = {
-        "_tidy": tidy(c(url_col)),
-        "_fast": c("_tidy").rlike(_ALREADY_CANONICAL),
-        "_bare": F.substring_index(F.when(~c("_fast"), c("_tidy")), "#", 1),
+        "_fast": c(url_col).rlike(_ALREADY_CANONICAL),
+        "_bare": F.substring_index(F.when(~c("_fast"), tidy(c(url_col))), "#", 1),
         "_whole": F.when(c("_bare").isNotNull(), whole),
         "_scheme": F.lower(F.regexp_extract("_whole", _SCHEME, 1)),
         "_query": F.coalesce(after_first(c("_whole"), "?"), F.lit("")),
@@ -220,7 +219,7 @@ def _canonical_stages(url_col: str) -> tuple[dict[str, Column], Column]:
         c("_folded"),
         F.when(c("_sorted") == "", "").otherwise(F.concat(F.lit("?"), c("_sorted"))),
     )
-    return working, F.when(c("_fast"), c("_tidy")).when(~c("_bad"), joined)
+    return working, F.when(c("_fast"), c(url_col)).when(~c("_bad"), joined)
 
 
 def canonicalize(df: DataFrame, url_col: str = "url", out: str = "url_norm") -> DataFrame:
@@ -281,9 +280,9 @@ def _resolve_stages(base_col: str, href_col: str) -> tuple[dict[str, Column], Co
     beside = F.concat(F.regexp_replace("_base_path", "[^/]*$", ""), c("_path"))
     merged = F.when(c("_path").startswith("/"), c("_path")).otherwise(F.regexp_replace(beside, "/{2,}", "/"))
     working = {
-        "_tidy": F.translate(F.ltrim(c(href_col)), "\t\r\n", ""),
+        "_simple": c(href_col).rlike(r"^/(?![/.])[^?#\x00-\x20]*+\z") & ~c(href_col).contains("/."),
+        "_tidy": F.when(~c("_simple"), F.translate(F.ltrim(c(href_col)), "\t\r\n", "")),
         "_site": F.regexp_extract(base_col, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1),
-        "_simple": c("_tidy").rlike(r"^/(?![/.])[^?#]*+$") & ~c("_tidy").contains("/."),
         "_base_scheme": F.lower(F.substring_index("_site", ":", 1)),
         "_scheme": F.lower(F.regexp_extract("_tidy", _SCHEME, 1)),
         "_own": F.when(~c("_simple") & ~foreign, own),
@@ -316,7 +315,7 @@ def _resolve_stages(base_col: str, href_col: str) -> tuple[dict[str, Column], Co
         F.when(c("_fragment") == "", "").otherwise(F.concat(F.lit("#"), c("_fragment"))),
     )
     result = (
-        F.when(c("_simple"), F.concat(c("_site"), c("_tidy")))
+        F.when(c("_simple"), F.concat(c("_site"), c(href_col)))
         .when(c("_bad") | c("_rest").isNull(), c(href_col))
         .otherwise(joined)
     )
