@@ -37,7 +37,7 @@ resp AS (
     CASE WHEN page_id % 13 = 0 THEN regexp_replace(url_norm, '^http:', 'https:') ELSE url_norm END AS final_url,
     CASE WHEN page_id % 20 = 11 THEN NULL WHEN page_id % 20 = 3 THEN 404
          WHEN page_id % 20 = 7 THEN 500 ELSE 200 END AS status,
-    CASE WHEN page_id % 20 = 11 THEN NULL ELSE (page_id * 37 % 997) + 0.5 END AS elapsed_ms,
+    CASE WHEN page_id % 20 = 11 THEN NULL ELSE CAST((page_id * 37 % 997) + 0.5 AS DOUBLE) END AS elapsed_ms,
     CASE WHEN page_id % 10 = 4 THEN 'application/pdf' WHEN page_id % 10 = 8 THEN 'Text/HTML; charset=utf-8'
          ELSE 'text/html' END AS content_type,
     CASE WHEN page_id % 20 = 11 OR page_id % 10 = 4 THEN NULL ELSE html END AS text,
@@ -356,7 +356,7 @@ graph AS (
 node AS (
   SELECT site_id, url, CASE WHEN k % 11 = 5 THEN 'refused' END AS fetch_error,
     CASE WHEN k % 11 = 5 THEN NULL WHEN k % 13 = 6 THEN 500 ELSE 200 END AS status,
-    CASE WHEN k % 11 = 5 THEN NULL ELSE (k * 37 % 101) + 0.5 END AS elapsed_ms,
+    CASE WHEN k % 11 = 5 THEN NULL ELSE CAST((k * 37 % 101) + 0.5 AS DOUBLE) END AS elapsed_ms,
     k % 11 <> 5 AND k % 17 <> 9 AS has_text FROM graph),
 link AS ({_link_rows(_TREE_LINKS, "'https://g' || s || '.example'")}),
 site AS (SELECT * FROM (VALUES
@@ -369,7 +369,7 @@ ORDER_GRAPH_SQL = f"""
 graph AS (
   SELECT 'shop' AS site_id, o_orderkey AS k, o_custkey AS c, 'https://shop.example/' || o_orderkey AS url FROM orders),
 node AS (
-  SELECT site_id, url, {NONE} AS fetch_error, 200 AS status, (k * 31 % 1009) + 0.25 AS elapsed_ms, true AS has_text
+  SELECT site_id, url, {NONE} AS fetch_error, 200 AS status, CAST((k * 31 % 1009) + 0.25 AS DOUBLE) AS elapsed_ms, true AS has_text
   FROM graph),
 link AS ({_link_rows(_ORDER_LINKS, "'https://shop.example'")}),
 site AS (SELECT * FROM (VALUES ('shop', 'https://shop.example/0', 'shop.example', 9, 1000000))
