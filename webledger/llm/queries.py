@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webledger.llm import chat, decontam, rules
+from webledger.llm import chat, decontam, quality, rules, tokens, toxicity
 from webledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,11 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+@query
+def op1_quality_classifier(spark, sf):
+    return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op4_chat_formatting(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
@@ -37,6 +42,11 @@ def op6_decontamination(spark, sf):
     return decontam.digests(found)
 
 
+@query
+def op7_toxicity(spark, sf):
+    return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op9_quality_rules(spark, sf):
     done = rules.verdicts(rules.ledger(table(spark, sf, "documents")))
@@ -44,3 +54,14 @@ def op9_quality_rules(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "fail_bits",
     )
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op10_token_files(spark, sf):
+    return tokens.read_tokens(tokens.write_tokens(table(spark, sf, "documents"), tokenizer_file(), end_id=2))
