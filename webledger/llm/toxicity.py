@@ -28,9 +28,10 @@ from webledger.scale import store
 
 # Terms and stems in the lexicon, at most: the heaviest stay.
 LEXICON = 600
-STEM_LENGTHS = (4, 5, 6)
-# A term must be seen in so many toxic sample documents, and so many times likelier there.
-LEAST_SEEN, LEAST_LIFT = 3, 15.0
+STEM_LENGTHS = (4, 5, 6, 7, 8)
+# A term must be seen in so many toxic sample documents, in such a share of them, and be so many
+# times likelier there; random words in a few copies of one text are none.
+LEAST_SEEN, LEAST_SHARE, LEAST_LIFT = 3, 0.01, 15.0
 WINDOW = 6
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~“”«»‘’"
 _QUOTE = re.compile("[\"“”«»]")
@@ -70,7 +71,8 @@ def learn_lexicon(docs: DataFrame, picked: DataFrame, size: int = LEXICON) -> di
         F.sum("bad").alias("bad"), F.sum("good").alias("good")
     )
     lift = ((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("good") + 0.5) / (n_good + 1))
-    heavy = counted.where((F.length("term") >= 4) & (F.col("bad") >= LEAST_SEEN)).withColumn("lift", lift)
+    often = F.col("bad") >= max(LEAST_SEEN, LEAST_SHARE * n_bad)
+    heavy = counted.where((F.length("term") >= 4) & often).withColumn("lift", lift)
     heavy = heavy.where(F.col("lift") >= LEAST_LIFT).withColumn("weight", F.log("lift") * F.sqrt(F.col("bad") / n_bad))
     best = heavy.orderBy(F.desc("weight"), "term").limit(size).collect()
     return {r["term"]: float(np.log(r["lift"])) for r in best}
