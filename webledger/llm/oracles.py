@@ -76,4 +76,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op4_chat_formatting": OP4, "op6_decontamination": OP6, "op9_quality_rules": OP9}
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+# five hex digits are twenty bits, four letters of base32
+_BASE32 = " || ".join(
+    f"substr('{_ALPHABET}', 1 + CAST((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {shift}) & 31 AS INTEGER), 1)"
+    for i in range(8)
+    for shift in (15, 10, 5, 0)
+)
+
+OP5 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_chat_formatting": OP4,
+    "op5_warc": OP5,
+    "op6_decontamination": OP6,
+    "op9_quality_rules": OP9,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webledger.llm import chat, decontam, quality, rules, tokens, toxicity
+from webledger.llm import chat, decontam, mixing, quality, rules, tokens, toxicity, warc
 from webledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_quality_classifier(spark, sf):
     return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op2_source_mixing(spark, sf):
+    return mixing.schedule(table(spark, sf, "documents"))
+
+
 @query
 def op4_chat_formatting(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
@@ -36,6 +41,11 @@ def op4_chat_formatting(spark, sf):
     return chat.digests(chat.read_back(chat.format_chats(turns.unionByName(extra))))
 
 
+@query
+def op5_warc(spark, sf):
+    return warc.with_referred(warc.assemble(warc.read_records(warc.write_archives(table(spark, sf, "pages")))))
+
+
 @query
 def op6_decontamination(spark, sf):
     found = decontam.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
