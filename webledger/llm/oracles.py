@@ -94,9 +94,27 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
 FROM f
 """
 
+OP8 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w]
+    ELSE [list_slice(w, i, i + 1) FOR i IN range(1, len(w))] END) AS g FROM d),
+sizes AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+x AS (SELECT doc_id, hash(unnest(g)) AS h FROM s),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM x JOIN x y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * c >= 80 * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b)
+SELECT r.a AS doc_id, any_value(n) AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM reach r JOIN sizes ON sizes.doc_id = r.a GROUP BY r.a
+"""
+
 ORACLES: dict[str, str] = {
     "op4_chat_formatting": OP4,
     "op5_warc": OP5,
     "op6_decontamination": OP6,
+    "op8_near_duplicates": OP8,
     "op9_quality_rules": OP9,
 }

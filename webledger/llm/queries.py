@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webledger.llm import chat, decontam, mixing, quality, rules, tokens, toxicity, warc
+from webledger.llm import chat, decontam, mixing, neardup, quality, rules, tokens, toxicity, warc
 from webledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,11 @@ def op7_toxicity(spark, sf):
     return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op8_near_duplicates(spark, sf):
+    return neardup.near_duplicates(table(spark, sf, "documents"), shingle_words=2)
+
+
 @query
 def op9_quality_rules(spark, sf):
     done = rules.verdicts(rules.ledger(table(spark, sf, "documents")))
