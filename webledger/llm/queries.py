@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webledger.llm import chat, decontam, mixing, neardup, quality, rules, tokens, toxicity, warc
+from webledger.llm import chat, decontam, mixing, neardup, pitman_yor, quality, rules, tokens, toxicity, warc
 from webledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op2_source_mixing(spark, sf):
     return mixing.schedule(table(spark, sf, "documents"))
 
 
+@query
+def op3_pitman_yor(spark, sf):
+    return pitman_yor.score_texts(table(spark, sf, "documents"))
+
+
 @query
 def op4_chat_formatting(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
