@@ -187,3 +187,13 @@ def digests(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that are not contaminated, with all their columns.
+
+    Rows are matched by doc_id: rows of an id of which any is contaminated go; rows without an id
+    cannot be named and stay.
+    """
+    dirty = find_contamination(docs, benchmark).where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)

@@ -185,6 +185,13 @@ class TokenFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def file_order(docs: DataFrame) -> list[Column] | None:
+    """Columns by which rows stand in the Parquet files behind ``docs``; None if there are no files."""
+    if not docs.inputFiles():
+        return None
+    return [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+
+
 _MANIFEST = "part int, path string, n_ids bigint, n_docs bigint"
 
 
