@@ -28,8 +28,10 @@ def training_matrix(features: DataFrame, picked: DataFrame) -> tuple[np.ndarray,
     """Feature rows and labels of the picked documents, as arrays on the driver."""
     sample = features.join(F.broadcast(picked), "doc_id").select("features", "label").toArrow()
     y = sample.column("label").to_numpy().astype(float)
-    x = np.array(sample.column("features").to_pylist(), float).reshape(len(y), -1)
-    order = np.lexsort((*x.T, y)) if len(y) else []
+    if not len(y):
+        return np.empty((0, 0)), y
+    x = np.array(sample.column("features").to_pylist(), float)
+    order = np.lexsort((*x.T, y))
     return x[order], y[order]
 
 
