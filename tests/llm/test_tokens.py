@@ -25,7 +25,7 @@ def direct():
     return Tokenizer.from_file(tokenizer_file())
 
 
-TEXTS = ["", "Hello, World! it's 12'33\tx y  z", "é ́a é Å ≮ ΑΣ ΣΑΣ. İI", "<|endoftext|>a<|startoftext|> b", "\x00   é😀",
+TEXTS = ["End. The, a., b,, (c). É. É, x.y z.", "<|ENDOFTEXT|> A.", "İ, I\u0307. A\u030a. A\u030a, K. don't. I'LL.", "", "Hello, World! it's 12'33\tx y  z", "é ́a é Å ≮ ΑΣ ΣΑΣ. İI", "<|endoftext|>a<|startoftext|> b", "\x00   é😀",
          "x" * 3000, "\n\n#*$ || <> ﻿", "ＡＢ ﬁ ǅ ß"]
 
 
@@ -34,6 +34,7 @@ def test_pieces_are_whole_texts(direct):
 
     encoder = tokens.Encoder(Path(tokenizer_file()).read_text())
     bodies = [*TEXTS, *[prose(i, 50) for i in range(5)]]
+    assert encoder.folds
     for size in (tokens.KNOWN, 3):
         tokens.KNOWN, old = size, tokens.KNOWN
         encoder.known.clear()
@@ -45,6 +46,19 @@ def test_pieces_are_whole_texts(direct):
             tokens.KNOWN = old
 
 
+def test_a_tokenizer_that_keeps_spaces():
+    from pathlib import Path
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = tokens.Encoder(Path(path).read_text())
+    assert not encoder.drops_space
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(TEXTS, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([b.encode() for b in TEXTS])] == want
+
+
 def test_files_read_back(spark, direct):
     rows = [(i * 7 % 50 - 10, TEXTS[i % len(TEXTS)] + prose(i, i * 40)) for i in range(50)] + [(None, "null id"), (500, None), (3, "again")]
     manifest = tokens.write_tokens(docs(spark, rows), tokenizer_file(), 2)
