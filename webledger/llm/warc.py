@@ -175,7 +175,8 @@ def read_records(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=_ARROW)
 
-    files = manifest.select("path").repartition(F.col("path"))
+    # a number given here is kept: few rows stand for many bytes, and must not be put together
+    files = manifest.select("path").repartition(max(1, manifest.count()), "path")
     return files.mapInArrow(run, _RECORD)
 
 
@@ -205,5 +206,6 @@ def with_referred(captures: DataFrame) -> DataFrame:
     first = captures.where("response.kind = 'response'")
     again = captures.where("response.kind = 'revisit'").select(*columns, F.col("response.refers_to").alias("record_id"))
     known = first.select(F.col("response.record_id").alias("record_id"), F.col("page_id").alias("refers_to"))
-    referred = again.join(known, "record_id", "left").drop("record_id")
+    # Spark sees the size of the manifest, not of what is read from it, and would broadcast
+    referred = again.join(known.hint("merge"), "record_id", "left").drop("record_id")
     return first.select(*columns, F.lit(None).cast("bigint").alias("refers_to")).unionByName(referred)
