@@ -7,16 +7,18 @@
    at least that many share a key among the first COORDINATES - MATCHES + 1 keys of each, in any
    common order; rarest keys first, this prefix leaves out what many texts have in common, and
    keys that one node alone has are dropped before anything is paired.
-3. In each list the most central node, and one more, are compared with all others; confirmed pairs
-   are merged into components. Lists whose nodes are all in one component are then skipped; in the
-   others, only pairs across components are looked at, in blocks of bounded size: collisions are
-   counted over the whole signature, pairs above the threshold are confirmed on their full sets,
-   and a pair is looked at in its first common list only. So a large group of near copies costs
-   about one comparison per member, and no list of all pairs is ever made.
-
-Links are exact: every one is confirmed on the full shingle sets (64-bit hashes). A list whose n
-nodes are alike beyond the threshold of collisions and yet unlinked costs n² comparisons, spread
-over blocks.
+3. Every list is named by its most central node, and lists of one name are put together: the nodes of
+   a group of near copies share dozens of keys, but meet a few times only. In a table of at most
+   ``LIST_BLOCK`` nodes, collisions of signatures are counted pair by pair in one task; pairs above
+   the threshold are confirmed on their full sets, and pairs that are connected already are
+   skipped. Of a larger one, all nodes are first compared with its centre and one more, the
+   confirmed pairs are merged into components, and only pairs across components are looked at, in
+   blocks of bounded size. So a large group of near copies costs about one comparison per member,
+   and no list of all pairs is ever made.
+
+Links are exact: every one is confirmed on the full shingle sets (64-bit hashes). n nodes that
+are alike beyond the threshold of collisions and yet unlinked cost n² comparisons, spread over
+blocks.
 
 Defined cases: null texts and texts without words have an empty set, link to nothing and stay; of
 fewer words than a shingle, the whole sequence is one; a row without a doc_id takes part, names no
@@ -27,6 +29,8 @@ are judged by their own texts; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,7 @@ from webledger.llm.common import in_pieces, texts
 from webledger.scale import store
 
 COORDINATES, MATCHES = 64, 34
-# Nodes of a list that are compared with each other in one task.
+# Nodes that are compared with each other in one task.
 LIST_BLOCK = 512
 _WORDS = 300_000
 
@@ -164,11 +168,40 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(tops.withColumn("label", F.col("node")))
 
 
-def _pairs_confirmed(num: int, den: int):
+def _bodies(size: int):
+    """Texts of nodes, compressed; rows whose text is not that of the class are left out."""
+
+    def run(batches):
+        for batch in in_pieces(batches):
+            nodes, classes, bodies = [], [], []
+            for text, node, known in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "class")), strict=True):
+                text = zlib.decompress(text)
+                own = _class(shingle_set(text, size))
+                if known in (None, own):
+                    nodes.append(node)
+                    classes.append(own)
+                    bodies.append(zlib.compress(text, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bodies, pa.binary())],
+                names=["node", "class", "body"],
+            )
+
+    return run
+
+
+def _squeezed(batches):
+    for batch in in_pieces(batches):
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([zlib.compress(t, 1) for t in batch.column("text").to_pylist()], pa.binary())],
+            names=["doc_id", "text"],
+        )
+
+
+def _pairs_confirmed(size: int, num: int, den: int):
     def run(batches):
         for batch in in_pieces(batches):
-            a, b = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
-            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(a, b, strict=True)]
+            a, b = ([shingle_set(zlib.decompress(x), size) for x in batch.column(c).to_pylist()] for c in ("sa", "sb"))
+            keep = [linked(x, y, num, den) for x, y in zip(a, b, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -181,20 +214,16 @@ def _colliding(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _list_links(num: int, den: int):
-    """Links between components inside one block (or across two blocks) of one list."""
+def _list_links(size: int, num: int, den: int):
+    """Links between components inside one block (or across two blocks) of nodes that share keys."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
-        coordinate = rows["key"][0] & (COORDINATES - 1)
-        sig = np.stack([np.frombuffer(s, np.uint64) for s in rows["signature"]])
-        bits = np.stack([np.unpackbits(np.array([m], "<i8").view(np.uint8), bitorder="little") for m in rows["prefix"]]).astype(bool)
-        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
-        own = np.array(rows["block"])
+        sig = np.frombuffer(b"".join(rows["signature"]), np.uint64).reshape(-1, COORDINATES)
+        label, n, own = rows["label"], np.array(rows["n"]), np.array(rows["block"])
         left, right = rows["left"][0], rows["right"][0]
-        first = np.flatnonzero(own == left)
-        second = np.flatnonzero(own == right)
-        top = {x: x for x in rows["label"]}
+        first, second = np.flatnonzero(own == left), np.flatnonzero(own == right)
+        top = {x: x for x in label}
 
         def find(x):
             while top[x] != x:
@@ -202,19 +231,20 @@ def _list_links(num: int, den: int):
                 x = top[x]
             return x
 
+        @lru_cache(maxsize=None)
+        def shingles(i):
+            return shingle_set(zlib.decompress(rows["body"][i]), size)
+
         found = []
         for at, i in enumerate(first):
             others = second[at + 1 :] if left == right else second
-            if not len(others):
-                continue
-            same = sig[others] == sig[i]
-            shared = same & bits[others] & bits[i]
-            good = (same.sum(1) >= MATCHES) & shared.any(1) & (shared.argmax(1) == coordinate)
-            for j in others[good]:
-                x, y = find(rows["label"][i]), find(rows["label"][j])
-                if x != y and linked(sets[i], sets[j], num, den):
+            fits = den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i])
+            others = others[fits]
+            for j in others[(sig[others] == sig[i]).sum(1) >= MATCHES]:
+                x, y = find(label[i]), find(label[j])
+                if x != y and linked(shingles(i), shingles(j), num, den):
                     top[y] = x
-                    found.append((rows["label"][i], rows["label"][j]))
+                    found.append((label[i], label[j]))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return run
@@ -241,56 +271,37 @@ def near_duplicates(
     )
     room = F.lit(1 - MATCHES) + F.size("keys")
     shared = shared.where(room > 0).select("node", "central", F.slice("keys", F.lit(1), room).alias("keys"))
-    prefix = F.expr(
-        f"aggregate(keys, 0L, (acc, k) -> acc | shiftleft(1L, cast(k.key & {COORDINATES - 1} as int)))"
-    )
-    lists = store(
-        shared.select("node", "central", prefix.alias("prefix"), F.explode("keys.key").alias("key")), "lists"
-    )
-
-    # the shingles of the nodes in lists, from their texts
-    needed = lists.select("node").distinct().join(nodes.select("node", "doc", "class"), "node")
-    by_id = rows.join(needed.where("doc IS NOT NULL").withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "node", "class")
-    no_id = rows.where("doc_id IS NULL").select("text", F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("binary").alias("class"))
-    found = by_id.unionByName(no_id).mapInArrow(_sets(shingle_words), "node bigint, class binary, shingles binary")
-    nameless = found.where("node IS NULL").select("class", "shingles").join(needed.where("doc IS NULL").select("node", "class"), "class")
-    sets = found.where("node IS NOT NULL").select("node", "shingles").unionByName(nameless.select("node", "shingles"))
-    sets = store(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-
-    # every list against its most central node and one more
+    lists = store(shared.select("node", "central", F.explode("keys.key").alias("key")), "lists")
     heads = lists.groupBy("key").agg(
-        F.max(F.struct("central", "node"))["node"].alias("p"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("q"),
-        F.count(F.lit(1)).alias("size"),
+        F.max(F.struct("central", "node"))["node"].alias("head"), F.count(F.lit(1)).alias("size")
     ).where("size > 1")
-    pairs = lists.select("node", "key").join(heads, "key").select("node", F.explode(F.array_distinct(F.array("p", "q"))).alias("head"))
-    pairs = pairs.where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-    slim = nodes.select("node", "signature")
-    pairs = pairs.join(slim.toDF("a", "ga"), "a").join(slim.toDF("b", "gb"), "b").mapInArrow(_colliding, "a bigint, b bigint")
-    pairs = store(pairs, "pairs")
-    links = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").mapInArrow(_pairs_confirmed(num, den), "a bigint, b bigint")
-    links = store(links, "links")
-    labels = store(components(links), "labels")
-
-    # lists that hold more than one component
-    labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = store(labelled, "labelled")
-    parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_labels"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")
-    ).where("n_labels > 1").select("key", F.col("top.label").alias("major"), F.col("top.n").alias("n_major"), "n")
-    blocks_major = F.ceil(F.col("n_major") / list_block).cast("int")
-    blocks_minor = F.ceil((F.col("n") - F.col("n_major")) / list_block).cast("int")
-    is_major = F.col("label") == F.col("major")
-    own = F.when(is_major, -1 - F.pmod(F.xxhash64("node"), blocks_major)).otherwise(F.pmod(F.xxhash64("node"), blocks_minor)).cast("int")
-    minors, majors = F.sequence(F.lit(0), blocks_minor - 1), F.sequence(F.lit(-1), -blocks_major, F.lit(-1))
-    pair = lambda x, y: F.struct(F.greatest(x, y).alias("left"), F.least(x, y).alias("right"))
-    partners = F.when(is_major, minors).otherwise(F.concat(minors, majors))
-    spread = labelled.join(parts, "key").withColumn("block", own)
-    spread = spread.withColumn("w", F.explode(F.transform(partners, lambda y: pair(F.col("block"), y))))
-    spread = spread.select("key", "node", "label", "prefix", "block", "w.left", "w.right")
-    spread = spread.join(slim, "node").join(sets, "node")
-    more = spread.groupBy("key", "left", "right").applyInArrow(_list_links(num, den), "a bigint, b bigint")
-    own_labels = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    final = store(components(store(more, "more").unionByName(own_labels)), "labels")
+    members = store(lists.select("node", "key").join(heads, "key").select("head", "node").distinct(), "members")
+    sizes = members.groupBy("head").agg(F.count(F.lit(1)).alias("members"))
+
+    # the texts of the nodes that share keys
+    needed = members.select("node").distinct().join(nodes.select("node", "doc", "class"), "node")
+    squeezed = rows.mapInArrow(_squeezed, f"doc_id {kind}, text binary")
+    by_id = squeezed.join(needed.where("doc IS NOT NULL").withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "node", "class")
+    no_id = squeezed.where("doc_id IS NULL").select("text", F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("binary").alias("class"))
+    found = by_id.unionByName(no_id).mapInArrow(_bodies(shingle_words), "node bigint, class binary, body binary")
+    nameless = found.where("node IS NULL").select("class", "body").join(needed.where("doc IS NULL").select("node", "class"), "class")
+    bodies = found.where("node IS NOT NULL").select("node", "body").unionByName(nameless.select("node", "body"))
+    bodies = store(bodies.groupBy("node").agg(F.first("body").alias("body")), "bodies")
+
+    def linked_within(placed: DataFrame) -> DataFrame:
+        """Links among rows (head, node, label, block, left, right)."""
+        full = placed.join(nodes.select("node", "n", "signature"), "node").join(bodies, "node")
+        return full.groupBy("head", "left", "right").applyInArrow(_list_links(shingle_words, num, den), "a bigint, b bigint")
+
+    zero = F.lit(0)
+    small = members.join(sizes.where(F.col("members") <= list_block), "head").select(
+        "head", "node", F.col("node").alias("label"), zero.alias("block"), zero.alias("left"), zero.alias("right")
+    )
+    links = store(linked_within(small), "links")
+    large = members.join(sizes.where(F.col("members") > list_block), "head")
+    if not large.isEmpty():
+        links = links.unionByName(_links_of_large(large.select("head", "node"), nodes, bodies, linked_within, shingle_words, num, den, list_block))
+    final = store(components(links), "labels")
 
     # components named by their smallest document
     named = nodes.select("node", "class", "doc").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -301,23 +312,36 @@ def near_duplicates(
     return alone.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _sets(size: int):
-    def run(batches):
-        for batch in in_pieces(batches):
-            nodes, classes, sets = [], [], []
-            for text, node, known in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "class")), strict=True):
-                shingles = shingle_set(text, size)
-                own = _class(shingles)
-                if len(shingles) and known in (None, own):
-                    nodes.append(node)
-                    classes.append(own)
-                    sets.append(shingles.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(classes, pa.binary()), pa.array(sets, pa.binary())],
-                names=["node", "class", "shingles"],
-            )
-
-    return run
+def _links_of_large(
+    large: DataFrame, nodes: DataFrame, bodies: DataFrame, linked_within, size: int, num: int, den: int, list_block: int
+) -> DataFrame:
+    """Links that connect the nodes of large tables (head, node) as far as they are connected."""
+    large = store(large, "large")
+    # all nodes against the centre and one more
+    second = large.groupBy("head").agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("q"))
+    pairs = large.join(second, "head").select("node", F.explode(F.array_distinct(F.array("head", "q"))).alias("p")).where("node <> p")
+    pairs = pairs.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
+    slim = nodes.select("node", "signature")
+    pairs = pairs.join(slim.toDF("a", "ga"), "a").join(slim.toDF("b", "gb"), "b").mapInArrow(_colliding, "a bigint, b bigint")
+    pairs = store(pairs, "pairs").join(bodies.toDF("a", "sa"), "a").join(bodies.toDF("b", "sb"), "b")
+    stars = store(pairs.mapInArrow(_pairs_confirmed(size, num, den), "a bigint, b bigint"), "stars")
+    labels = store(components(stars), "labels")
+
+    # across components: the largest of a table against the others, and the others among themselves
+    labelled = store(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    parts = labelled.groupBy("head", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("head").agg(
+        F.count(F.lit(1)).alias("n_labels"), F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("k")
+    ).where("n_labels > 1").select("head", F.col("top.label").alias("major"), F.col("top.k").alias("k_major"), "k")
+    blocks_major = F.ceil(F.col("k_major") / list_block).cast("int")
+    blocks_minor = F.ceil((F.col("k") - F.col("k_major")) / list_block).cast("int")
+    is_major = F.col("label") == F.col("major")
+    own = F.when(is_major, -1 - F.pmod(F.xxhash64("node"), blocks_major)).otherwise(F.pmod(F.xxhash64("node"), blocks_minor)).cast("int")
+    minors, majors = F.sequence(F.lit(0), blocks_minor - 1), F.sequence(F.lit(-1), -blocks_major, F.lit(-1))
+    partners = F.when(is_major, minors).otherwise(F.concat(minors, majors))
+    pair = lambda y: F.struct(F.greatest("block", y).alias("left"), F.least("block", y).alias("right"))
+    placed = labelled.join(parts, "head").withColumn("block", own).withColumn("w", F.explode(F.transform(partners, pair)))
+    across = store(linked_within(placed.select("head", "node", "label", "block", "w.left", "w.right")), "across")
+    return across.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
