@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webledger.functions import urls as url_rules
-from webledger.scale import HOT_ROWS, hot_keys, join_to_one, with_row_number
+from webledger.scale import HOT_ROWS, hot_keys, join_to_one, store, with_row_number
 
 # What a link carries of its site and level; the same for all links of a site within a level. The
 # level is data, not a literal, so that Spark compiles the plan of a level only once.
@@ -109,7 +109,7 @@ def cut_budget(
         accepted,
         ["site_id"],
         ["url_norm"],
-        hot=[] if cut_early or hot_rows is None else hot_keys(open_urls, ["site_id"], hot_rows),
+        hot=False if cut_early or hot_rows is None else hot_keys(open_urls, ["site_id"], hot_rows),
     )
     admitted = counted.where(F.col("_rank") <= F.col("max_pages") - F.col("accepted"))
     rank = (F.col("accepted") + F.col("_rank") - 1).cast("bigint")
@@ -129,11 +129,7 @@ def link_verdicts(
     entry = admitted.select("site_id", "level", "url_norm", F.lit(True).alias("_admitted"))
     final = decided.where(F.col("url_norm").isNotNull()).join(entry, keys, "left")
     final = final.select(*keys, F.col("offer").alias("_first"), F.col("verdict").alias("_verdict"), "_admitted")
-    heavy = decided.where((F.col("links") >= hot_rows) & F.col("url_norm").isNotNull())
-    hot = [tuple(r) for r in heavy.orderBy(F.desc("links"), *keys).limit(1000).select(*keys).collect()]
-    if not hot and not decided.where(F.col("url_norm").isNull() & (F.col("links") >= hot_rows)).isEmpty():
-        # only malformed links are many: any key turns the spreading of null keys on
-        hot = [tuple(r) for r in decided.select(*keys).where(F.col("url_norm").isNotNull()).limit(1).collect()]
+    hot = store(decided.where(F.col("links") >= hot_rows).select(*keys), "hot")
     joined = join_to_one(cand, final, keys, ["source_rank", "pos"], hot=hot)
     verdict = (
         F.when(F.col("url_norm").isNull(), "malformed")

@@ -3,7 +3,7 @@
 The rule "slot = max(arrival, previous slot + interval)" has a closed form: with k requests before
 it, a request's slot is ``k * interval + max(arrival_j - j * interval)`` over all j up to itself.
 Counts and maxima can be put together from parts, so a host that holds most of the log is cut into
-ordered chunks, each handled by its own task.
+ordered chunks, each handled by its own task. Requests without a host are those of one host.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webledger.params import interval_ms
-from webledger.scale import HOT_ROWS, has_hot_key, join_to_one, ordered_chunks
+from webledger.scale import HOT_ROWS, join_null_safe, join_to_one, ordered_chunks, split_hot
 
 
 def _interval(rate: float):
@@ -50,27 +50,29 @@ def pace_schedule(
         requests = join_to_one(requests, free, ["host"], ["request_id"], hot_rows=hot_rows)
         ready = F.greatest("arrival_ms", "next_free_ms")
     requests = requests.withColumn("_ready", ready.cast(_slot_type(requests, rate)))
-    if has_hot_key(requests, ["host"], hot_rows):
-        chunks = ordered_chunks(requests, ["host"], list(order))
-        inside = Window.partitionBy("host", "_chunk").orderBy(*order)
-        numbered = chunks.withColumn("_k", F.row_number().over(inside) - 1)
-        numbered = numbered.withColumn("_lead", F.col("_ready") - F.col("_k") * step)
-        parts = numbered.groupBy("host", "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.max("_lead").alias("_top"))
-        parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier_chunks("host")), F.lit(0)))
-        parts = parts.withColumn("_carry", F.max(F.col("_top") - F.col("_before") * step).over(_earlier_chunks("host")))
-        local = F.max("_lead").over(_up_to("host", "_chunk", order=order))
-        joined = numbered.withColumn("_lead", local).join(parts.drop("_n", "_top"), ["host", "_chunk"])
-        best = F.greatest(F.col("_carry"), F.col("_lead") - F.col("_before") * step)
-        slots = joined.withColumn("slot_ms", (F.col("_before") + F.col("_k")) * step + best)
-        slots = slots.drop("_chunk", "_before", "_carry")
-    else:
-        inside = Window.partitionBy("host").orderBy(*order)
-        numbered = requests.withColumn("_k", F.row_number().over(inside) - 1)
-        best = F.max(F.col("_ready") - F.col("_k") * step).over(_up_to("host", order=order))
-        slots = numbered.withColumn("slot_ms", F.col("_k") * step + best)
-    return slots.withColumn("wait_ms", F.col("slot_ms") - F.col("arrival_ms")).drop(
-        "_k", "_lead", "_ready", "next_free_ms"
-    )
+    heavy, rest = split_hot(requests, ["host"], hot_rows)
+    inside = Window.partitionBy("host").orderBy(*order)
+    numbered = rest.withColumn("_k", F.row_number().over(inside) - 1)
+    best = F.max(F.col("_ready") - F.col("_k") * step).over(_up_to("host", order=order))
+    slots = numbered.withColumn("slot_ms", F.col("_k") * step + best)
+    if heavy is not None:
+        slots = slots.unionByName(_slots_in_chunks(heavy, order, step).select(slots.columns))
+    return slots.withColumn("wait_ms", F.col("slot_ms") - F.col("arrival_ms")).drop("_k", "_ready", "next_free_ms")
+
+
+def _slots_in_chunks(requests: DataFrame, order: tuple[str, ...], step) -> DataFrame:
+    """Slots of hosts with very many requests, put together from chunks."""
+    chunks = ordered_chunks(requests, ["host"], list(order))
+    inside = Window.partitionBy("host", "_chunk").orderBy(*order)
+    numbered = chunks.withColumn("_k", F.row_number().over(inside) - 1)
+    numbered = numbered.withColumn("_lead", F.col("_ready") - F.col("_k") * step)
+    parts = numbered.groupBy("host", "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.max("_lead").alias("_top"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier_chunks("host")), F.lit(0)))
+    parts = parts.withColumn("_carry", F.max(F.col("_top") - F.col("_before") * step).over(_earlier_chunks("host")))
+    local = F.max("_lead").over(_up_to("host", "_chunk", order=order))
+    joined = join_null_safe(numbered.withColumn("_lead", local), parts.drop("_n", "_top"), ["host", "_chunk"])
+    best = F.greatest(F.col("_carry"), F.col("_lead") - F.col("_before") * step)
+    return joined.withColumn("slot_ms", (F.col("_before") + F.col("_k")) * step + best)
 
 
 def next_free(schedule: DataFrame, rate: float) -> DataFrame:
@@ -82,15 +84,15 @@ def pace_violations(log: DataFrame, rate: float, hot_rows: int = HOT_ROWS) -> Da
     """Requests (``request_id, host, at_ms``) that follow the one before them too soon."""
     step = _interval(rate)
     order = ("at_ms", "request_id")
-    if has_hot_key(log, ["host"], hot_rows):
-        chunks = ordered_chunks(log, ["host"], list(order))
+    heavy, rest = split_hot(log, ["host"], hot_rows)
+    before = rest.withColumn("_prev", F.lag("at_ms").over(Window.partitionBy("host").orderBy(*order)))
+    if heavy is not None:
+        chunks = ordered_chunks(heavy, ["host"], list(order))
         inside = Window.partitionBy("host", "_chunk").orderBy(*order)
         parts = chunks.groupBy("host", "_chunk").agg(F.max("at_ms").alias("_last"))
         parts = parts.select("host", "_chunk", F.max("_last").over(_earlier_chunks("host")).alias("_carry"))
-        followed = chunks.withColumn("_own", F.lag("at_ms").over(inside)).join(parts, ["host", "_chunk"])
-        before = followed.withColumn("_prev", F.coalesce("_own", "_carry")).drop("_own", "_carry", "_chunk")
-    else:
-        inside = Window.partitionBy("host").orderBy(*order)
-        before = log.withColumn("_prev", F.lag("at_ms").over(inside))
+        followed = join_null_safe(chunks.withColumn("_own", F.lag("at_ms").over(inside)), parts, ["host", "_chunk"])
+        followed = followed.withColumn("_prev", F.coalesce("_own", "_carry"))
+        before = before.unionByName(followed.select(before.columns))
     gaps = before.withColumn("gap_ms", F.col("at_ms") - F.col("_prev")).drop("_prev")
     return gaps.where(F.col("gap_ms") < step)

@@ -147,7 +147,7 @@ def robots_hosts(robots: DataFrame, agent: str = params.ANY_AGENT) -> DataFrame:
 
 
 def join_host_state(
-    urls: DataFrame, hosts: DataFrame, hot: list[tuple] | None = None, hot_rows: int = HOT_ROWS
+    urls: DataFrame, hosts: DataFrame, hot: DataFrame | bool | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``state`` and ``rules`` of its host to every URL; a host with very many URLs is salted."""
     named = urls.withColumn("host", url_rules.host_of(F.col("url")))
@@ -169,7 +169,7 @@ def match_rules(urls: DataFrame) -> DataFrame:
 
 
 def permitted(
-    urls: DataFrame, hosts: DataFrame, hot: list[tuple] | None = None, hot_rows: int = HOT_ROWS
+    urls: DataFrame, hosts: DataFrame, hot: DataFrame | bool | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``allowed`` to URLs, given the packed table of :func:`robots_hosts`."""
     joined = match_rules(join_host_state(urls, hosts, hot, hot_rows))

@@ -197,7 +197,7 @@ def _asked(urls: DataFrame, answers: DataFrame | None, hot_rows: int | None) ->
         joined = urls.join(ready, ["url"], "left")
         return joined.withColumn("allowed", F.coalesce("_allowed", F.lit(True))).drop("_allowed")
     if hot_rows is None:
-        return permitted(urls, answers, hot=[])
+        return permitted(urls, answers, hot=False)
     return permitted(urls, answers, hot_rows=hot_rows)
 
 

@@ -1,8 +1,9 @@
 """What the jobs share to stay even under skew and to survive lost executors.
 
 Working tables are written as Parquet under ``spark.checkpoint.dir``, so a lost executor costs a
-re-read and no recomputation. Keys with very many rows are found by a counted, bounded look at the
-data and then salted (joins) or cut into ordered chunks (windows); no row is ever left out.
+re-read and no recomputation. Keys with very many rows are found by a counted look at the
+data and then salted (joins) or cut into ordered chunks (windows). Null keys are keys like any other
+in windows, and rows that match nothing in joins; no row is ever left out.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ from pyspark.sql import functions as F
 
 # A key with at least this many rows is treated as hot.
 HOT_ROWS = 1_000_000
-# At most this many hot keys are salted; any further one holds under 1/1000 of the rows.
-MAX_HOT_KEYS = 1000
 # A whole table is broadcast only when its measured size stays under this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -55,13 +54,20 @@ def store_bucketed(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     return spark.table(table)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[tuple]:
-    """The heaviest keys of ``df``, at most ``MAX_HOT_KEYS`` of them, null keys left aside."""
-    counted = df.groupBy(*keys).count().where(F.col("count") >= hot_rows)
-    for key in keys:
-        counted = counted.where(F.col(key).isNotNull())
-    top = counted.orderBy(F.desc("count"), *keys).limit(MAX_HOT_KEYS).select(*keys)
-    return [tuple(row) for row in top.collect()]
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """All keys of ``df`` with at least ``hot_rows`` rows, null ones too, as a stored table.
+
+    There are no more of them than rows of ``df`` divided by ``hot_rows``.
+    """
+    return store(df.groupBy(*keys).count().where(F.col("count") >= hot_rows).select(*keys), "hot")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null equals null; the result has the keys once, as in ``left``."""
+    other = {k: f"_other_{k}" for k in keys}
+    named = right.select(*[F.col(k).alias(other.get(k, k)) for k in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()]
+    return left.join(named, same, how).drop(*other.values())
 
 
 def join_to_one(
@@ -70,26 +76,24 @@ def join_to_one(
     keys: Sequence[str],
     spread: Sequence[str | Column],
     how: str = "left",
-    hot: list[tuple] | None = None,
+    hot: DataFrame | bool | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``many`` to ``one`` (unique by ``keys``) without a hot key filling one task.
 
     Rows of a hot key are spread over as many tasks as there are shuffle partitions, by a hash of
     the ``spread`` columns, and its single partner row is copied to each of them. Rows with a null
-    key, which match nothing, are spread too. ``hot`` may be given when the caller knows the keys;
-    without hot keys this is the ordinary join and Spark picks how to do it.
+    key, which match nothing, are spread too. ``hot`` may be given as a table of keys, or False when
+    the caller knows that there are none; without hot keys this is the ordinary join and Spark picks
+    how to do it.
     """
     keys = list(keys)
     if hot is None:
         hot = hot_keys(many, keys, hot_rows)
-    if not hot:
+    if hot is False or hot.isEmpty():
         return many.join(one, keys, how)
-    spark = many.sparkSession
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    listed = F.broadcast(
-        spark.createDataFrame(hot, many.select(*keys).schema).withColumn("_hot", F.lit(True))
-    )
+    salts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = hot.dropna().withColumn("_hot", F.lit(True))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
@@ -119,9 +123,12 @@ def join_small(many: DataFrame, one: DataFrame, keys: Sequence[str], spread: Seq
     return join_to_one(many, one, keys, spread, how)
 
 
-def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
-    heaviest = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"]
-    return (heaviest or 0) >= hot_rows
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame | None, DataFrame]:
+    """(rows of hot keys, or None if there is no such key; all other rows)."""
+    hot = hot_keys(df, keys, hot_rows)
+    if hot.isEmpty():
+        return None, df
+    return join_null_safe(df, hot, keys, "left_semi"), join_null_safe(df, hot, keys, "left_anti")
 
 
 def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -143,13 +150,16 @@ def with_row_number(
     ``hot_rows=None``: the caller knows that no key is hot.
     """
     keys, order = list(keys), list(order)
-    if hot_rows is None or not has_hot_key(df, keys, hot_rows):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    chunks = ordered_chunks(df, keys, order)
+    heavy, rest = (None, df) if hot_rows is None else split_hot(df, keys, hot_rows)
+    plain = rest.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if heavy is None:
+        return plain
+    chunks = ordered_chunks(heavy, keys, order)
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = chunks.groupBy(*keys, "_chunk").count().select(
         *keys, "_chunk", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before")
     )
     inside = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order))
-    numbered = chunks.withColumn(out, inside).join(offsets, [*keys, "_chunk"])
-    return numbered.withColumn(out, F.col(out) + F.col("_before")).drop("_chunk", "_before")
+    numbered = join_null_safe(chunks.withColumn(out, inside), offsets, [*keys, "_chunk"])
+    total = (F.col(out) + F.col("_before")).cast(plain.schema[out].dataType)
+    return plain.unionByName(numbered.withColumn(out, total).drop("_chunk", "_before"))
