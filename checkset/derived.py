@@ -226,24 +226,33 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- hops from pages --------------------------------------------------------------------------
 
-HOPS_SQL = """
+# Every page's URL redirects to that of the next page, in chains of a few hops, some of 37, and loops.
+HOPS_SQL = (
+    CANON_SQL
+    + """,
 hops AS (
-  SELECT page_id, 'https://h.example/' || page_id AS url,
-    CASE WHEN page_id % 4 = 3 AND page_id % 40 NOT BETWEEN 30 AND 36 THEN 200
-         WHEN page_id % 9 = 8 THEN NULL ELSE 301 END AS status,
-    'https://h.example/' || CASE WHEN page_id % 40 = 21 THEN page_id - 1 ELSE page_id + 1 END AS location
-  FROM pages)"""
+  SELECT c.page_id, c.url_norm AS url,
+    CASE WHEN c.page_id % 200 BETWEEN 102 AND 138 THEN 301
+         WHEN c.page_id % 4 = 3 AND c.page_id % 40 NOT BETWEEN 30 AND 36 THEN 200
+         WHEN c.page_id % 9 = 8 THEN NULL ELSE 301 END AS status, n.url_norm AS location
+  FROM canon c LEFT JOIN canon n ON n.page_id = CASE WHEN c.page_id % 40 = 21 AND c.page_id % 200 NOT BETWEEN 102 AND 138
+    THEN c.page_id - 1 ELSE c.page_id + 1 END)"""
+)
 
 
 def hops(spark: SparkSession, sf: str) -> DataFrame:
     page = F.col("page_id")
+    long = (page % 200).between(102, 138)
     answered = (page % 4 == 3) & ~(page % 40).between(30, 36)
-    target = F.when(page % 40 == 21, page - 1).otherwise(page + 1)
-    return table(spark, sf, "pages").select(
-        F.concat(F.lit("https://h.example/"), page).alias("url"),
-        F.when(answered, 200).when(page % 9 == 8, None).otherwise(301).alias("status"),
-        F.concat(F.lit("/"), target).alias("location"),
+    target = F.when((page % 40 == 21) & ~long, page - 1).otherwise(page + 1)
+    pages = table(spark, sf, "pages")
+    named = pages.select(F.col("page_id").alias("target"), F.col("url").alias("location"))
+    asked = pages.select(
+        "url",
+        F.when(long, 301).when(answered, 200).when(page % 9 == 8, None).otherwise(301).alias("status"),
+        target.alias("target"),
     )
+    return asked.join(named, "target", "left").drop("target")
 
 
 # --- link graphs ------------------------------------------------------------------------------

@@ -132,6 +132,24 @@ def admit_bodies(spark, sf):
     )
 
 
+@query
+def decode_bodies(spark, sf):
+    """Page bodies in six charsets, some of them broken: cut inside a character, or labelled wrongly."""
+    pages, kind = derived.table(spark, sf, "pages"), F.col("page_id") % 6
+    utf8, wide = F.encode("html", "UTF-8"), F.encode("html", "UTF-16LE")
+    body = F.when(kind == 3, wide.substr(F.lit(1), F.length(wide) - 1)).when(kind == 4, F.encode("html", "UTF-16BE")).otherwise(utf8)
+    names = ["utf-8", "iso-8859-1", "us-ascii", "utf-16le", "UTF-16BE", "windows-1252"]
+    label = F.concat(F.lit("text/html; charset="), F.element_at(F.array(*map(F.lit, names)), (kind + 1).cast("int")))
+    raw = pages.select(
+        F.concat(F.lit("https://b.example/"), "page_id").alias("url"), F.lit(None).cast("string").alias("final_url"),
+        F.lit(200).alias("status"), F.create_map(F.lit("Content-Type"), label).alias("headers"), body.alias("body"),
+        F.lit(1.0).alias("elapsed_ms"), F.lit(None).cast("string").alias("fetch_error"),
+    )
+    taken = captures.ingest_captures(raw, 2**30)
+    page = F.regexp_extract("url", r"(\d+)$", 1).cast("bigint")
+    return taken.select(page.alias("page_id"), F.length("text").alias("n"), F.md5("text").alias("text_md5"))
+
+
 @query
 def deadline(spark, sf):
     timed = captures.apply_deadline(derived.responses(spark, sf).drop("text"), 0.5)
@@ -290,6 +308,23 @@ def pace_violations(spark, sf):
     return pacing.pace_violations(log, derived.RATE)
 
 
+def _seventh_hostless(requests: DataFrame) -> DataFrame:
+    """Every seventh host unknown, so that the null host is the heaviest of all."""
+    return requests.withColumn("host", F.when(F.col("host") % 7 != 0, F.col("host")))
+
+
+@query
+def pace_schedule_hot(spark, sf):
+    """Every host of more than a few requests counts as hot: the path of chunks, null host included."""
+    return pacing.pace_schedule(_seventh_hostless(derived.requests(spark, sf)), derived.RATE, hot_rows=8)
+
+
+@query
+def pace_violations_hot(spark, sf):
+    log = _seventh_hostless(derived.requests(spark, sf)).withColumnRenamed("arrival_ms", "at_ms")
+    return pacing.pace_violations(log, derived.RATE, hot_rows=8)
+
+
 # --- checks -----------------------------------------------------------------------------------
 
 
@@ -320,7 +355,7 @@ def own_check(spark, sf):
 
 @query
 def redirect_chains(spark, sf):
-    return checks.redirect_chains(derived.hops(spark, sf)).select("url", "final_url", "hops", "endless")
+    return checks.redirect_chains(derived.hops(spark, sf)).select("url", "final_url", "hops", "loop", "over_limit")
 
 
 @query

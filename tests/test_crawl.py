@@ -205,7 +205,8 @@ def test_audit_finds_reports_and_writes(spark, tmp_path):
     unreached = captured("s", {"https://e.com/unlinked": "<p>"})
     sites = spark.createDataFrame([("s", SEED, 3, 20)], SITES)
     hops = spark.createDataFrame(
-        [(SEED, "/b", 301), ("https://e.com/b", "/c", 302)], "url string, location string, status int"
+        [(SEED, "/b", 301), ("https://e.com/b", "/c", 302), ("https://e.com/unlinked", "/b", 301)],
+        "url string, location string, status int",
     )
 
     def mention(rows):
@@ -229,6 +230,7 @@ def test_audit_finds_reports_and_writes(spark, tmp_path):
     assert not any(page == "https://e.com/unlinked" for page, *_ in found)
     (row,) = done.report.collect()
     assert (row.errors, row.gate, row.pages_crawled) == (1, 1, 3)
+    assert row.warnings == sum(severity == "warning" for _, _, severity, _, _ in found)
     assert row.finished_at >= row.started_at
     shown = {(r.section, r["item"], r.amount) for r in summary(done.crawl.visits, done.findings).collect()}
     assert {("status", "2xx", 2.0), ("status", "4xx", 1.0), ("broken", "https://e.com/gone", 1.0)} <= shown

@@ -21,7 +21,7 @@ from webledger.operators.joins import link_status
 from webledger.operators.urls import parseable
 from webledger.scale import HOT_ROWS, join_to_one, store
 
-# Redirects a client follows before it gives a chain up.
+# Redirects a client follows before it gives a chain up; longer chains are labelled, not cut.
 MAX_HOPS = 20
 
 
@@ -183,8 +183,9 @@ def redirect_chains(hops: DataFrame, max_hops: int = MAX_HOPS, hot_rows: int = H
     """Where every redirecting URL (``url, location, status``) ends, and after how many hops.
 
     Every round joins the chains found so far to themselves and so doubles the length they may
-    have. A chain that has not ended after ``max_hops`` is ``endless``: a cycle, or too long to be
-    followed; its end and length are null.
+    have. As long as a chain with an end is not followed to it, each round ends some of its URLs; when
+    a round ends none, all that still go on are a ``loop`` or lead into one, and have no end and
+    length. ``over_limit`` marks loops and chains of more than ``max_hops``, which clients give up.
     """
     site = [F.col("site_id")] if "site_id" in hops.columns else [F.lit("").alias("site_id")]
     moved = hops.where(F.col("status").between(300, 399) & F.col("location").isNotNull())
@@ -193,9 +194,9 @@ def redirect_chains(hops: DataFrame, max_hops: int = MAX_HOPS, hot_rows: int = H
     named = url_rules.canonicalize(url_rules.canonicalize(named, "url", "_from"), "_next", "_to")
     steps = named.where(F.col("_from").isNotNull() & F.col("_to").isNotNull())
     chains = steps.groupBy("site_id", F.col("_from").alias("url")).agg(F.min("_to").alias("end"))
-    chains = store(chains.withColumns({"hops": F.lit(1), "going": F.lit(True)}), "chains")
-    reach = 1
-    while True:
+    chains = store(chains.withColumns({"hops": F.lit(1).cast("bigint"), "going": F.lit(True)}), "chains")
+    before, left = -1, chains.where("going").count()
+    while left and left != before:
         onward = chains.select(
             "site_id", F.col("url").alias("end"), F.col("end").alias("_end"),
             F.col("hops").alias("_hops"), F.col("going").alias("_going"),
@@ -212,23 +213,23 @@ def redirect_chains(hops: DataFrame, max_hops: int = MAX_HOPS, hot_rows: int = H
             ),
             "chains",
         )
-        reach *= 2
-        if reach > max_hops or chains.where("going").isEmpty():
-            break
-    endless = F.col("going") | (F.col("hops") > max_hops)
+        before, left = left, chains.where("going").count()
+    loop = F.col("going")
     return chains.select(
         "site_id",
         "url",
-        F.when(~endless, F.col("end")).alias("final_url"),
-        F.when(~endless, F.col("hops")).alias("hops"),
-        endless.alias("endless"),
+        F.when(~loop, F.col("end")).alias("final_url"),
+        F.when(~loop, F.col("hops")).alias("hops"),
+        loop.alias("loop"),
+        (loop | (F.col("hops") > max_hops)).alias("over_limit"),
     )
 
 
 def check_redirects(chains: DataFrame, min_hops: int = 2) -> DataFrame:
-    """Pages reached only over several redirects (see :func:`redirect_chains`)."""
-    long = chains.where(F.col("hops") >= min_hops).withColumnRenamed("url", "page_url")
-    message = F.concat(F.lit("redirect chain length "), F.col("hops").cast("string"))
+    """Pages reached only over several redirects, and those that are never reached (see :func:`redirect_chains`)."""
+    long = chains.where(F.col("loop") | (F.col("hops") >= min_hops)).withColumnRenamed("url", "page_url")
+    counted = F.concat(F.lit("redirect chain length "), F.col("hops").cast("string"))
+    message = F.when(F.col("loop"), "redirect loop").otherwise(counted)
     return _as_findings(long, finding("links", "warning", message))
 
 

@@ -19,17 +19,16 @@ from webledger.scale import HOT_ROWS, hot_keys, join_to_one, store, with_row_num
 # What a link carries of its site and level; the same for all links of a site within a level. The
 # level is data, not a literal, so that Spark compiles the plan of a level only once.
 SITE_SCOPE = ("scope_host", "max_depth", "max_pages")
-# Offers are ordered by (rank of the page, position on it), packed into one BIGINT.
-_POSITIONS = 1 << 24
+# Offers are ordered by (rank of the page, position on it), packed into one BIGINT: ranks stay under a
+# page budget and positions under the length of an array, which are INTs both.
+_POSITIONS = 1 << 31
 # Spark cuts a ranked window inside the map tasks up to this rank.
 _GROUP_LIMIT = 1000
 
 
 def _offer():
     """Order of an offer as one number, so that its minimum is a plain hash aggregate."""
-    packed = F.col("source_rank") * _POSITIONS + F.col("pos")
-    too_many = F.raise_error(F.lit(f"a page has more than {_POSITIONS} links"))
-    return F.when(F.col("pos") < _POSITIONS, packed).otherwise(too_many.cast("bigint"))
+    return F.col("source_rank").cast("bigint") * F.lit(_POSITIONS).cast("bigint") + F.col("pos")
 
 
 def first_offer(cand: DataFrame) -> DataFrame:
@@ -44,8 +43,8 @@ def first_offer(cand: DataFrame) -> DataFrame:
     )
     return offered.withColumns(
         {
-            "source_rank": F.floor(F.col("offer") / _POSITIONS).cast("bigint"),
-            "pos": F.pmod("offer", F.lit(_POSITIONS)).cast("int"),
+            "source_rank": F.shiftright("offer", 31),
+            "pos": F.col("offer").bitwiseAND(F.lit(_POSITIONS - 1)).cast("int"),
         }
     )
 

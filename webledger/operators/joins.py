@@ -9,6 +9,23 @@ from webledger.functions import urls as url_rules
 from webledger.scale import join_small, join_to_one
 
 
+def pick(rows: DataFrame, keys: list[str], first: list[str]) -> DataFrame:
+    """One row per key: the smallest by the columns ``first``, nulls first, then by all others.
+
+    The one rule for repeated captures; a null ``fetch_error`` is a successful fetch.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    orderable = [c for c in rest if not rows.schema[c].dataType.simpleString().startswith("map")]
+    order = [c for c in first if c in orderable] + [c for c in orderable if c not in first]
+    row = F.struct(*order, *[c for c in rest if c not in orderable])
+    least = F.min_by(row, F.struct(*order)) if len(orderable) < len(rest) else F.min(row)
+    return rows.groupBy(*keys).agg(least.alias("_p")).select(*keys, *[F.col(f"_p.{c}").alias(c) for c in rest])
+
+
+# What decides between captures of one page.
+CAPTURE_ORDER = ["fetch_error", "final_url", "status"]
+
+
 def with_site(df: DataFrame, sites: DataFrame) -> DataFrame:
     """Add the parameters of its site to every row; the row's other columns spread a hot site."""
     spread = [c for c in df.columns if c != "site_id"]
@@ -38,9 +55,12 @@ def visit(frontier: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def lookup(urls: DataFrame, responses: DataFrame) -> DataFrame:
-    """Captures by URL with the rules of :func:`visit`, for a table with any number of asks."""
+    """Captures by URL with the rules of :func:`visit`, for a table with any number of asks.
+
+    Every ask stays one row: of several captures of a URL, :func:`pick` takes one.
+    """
     keys = [c for c in ("site_id", "url") if c in urls.columns]
-    captured = responses.withColumn("_captured", F.lit(True))
+    captured = pick(responses, keys, CAPTURE_ORDER).withColumn("_captured", F.lit(True))
     spread = [c for c in urls.columns if c not in keys] or keys
     joined = join_to_one(urls, captured, keys, spread)
     return joined.withColumns(
@@ -68,7 +88,8 @@ def link_status(links: DataFrame, responses: DataFrame) -> DataFrame:
     keys), so on a large capture pass a stored table.
     """
     keyed = links if "url_norm" in links.columns else url_rules.canonicalize(links)
-    slim = responses.select("site_id", "url", F.col("status").alias("target_status"))
-    target = url_rules.canonicalize(slim, "url").where(F.col("url_norm").isNotNull())
-    target = target.groupBy("site_id", "url_norm").agg(F.min("target_status").alias("target_status"))
+    slim = responses.select("site_id", "url", *[c for c in CAPTURE_ORDER if c in responses.columns])
+    target = url_rules.canonicalize(slim, "url").where(F.col("url_norm").isNotNull()).drop("url")
+    target = pick(target, ["site_id", "url_norm"], CAPTURE_ORDER)
+    target = target.select("site_id", "url_norm", F.col("status").alias("target_status"))
     return join_to_one(keyed, target, ["site_id", "url_norm"], ["page_url", "pos"])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from webledger import params
 from webledger.functions import urls as url_rules
+from webledger.operators.joins import pick
 from webledger.scale import HOT_ROWS, join_to_one
 
 _RULE = "struct<allow:boolean,pattern:string,prefix:string,regex:string,pattern_len:int>"
@@ -130,7 +131,8 @@ def select_group(rules: DataFrame, agent: str = params.ANY_AGENT) -> DataFrame:
 
 def robots_hosts(robots: DataFrame, agent: str = params.ANY_AGENT) -> DataFrame:
     """One row per host: its state and, packed, the rules that hold for our token."""
-    read = robots_state(robots).withColumn(
+    once = pick(robots.select("host", "status", "text", "fetch_error"), ["host"], ["fetch_error", "status"])
+    read = robots_state(once).withColumn(
         "_groups", F.when(F.col("state") == "rules", _groups(F.col("text")))
     )
     read = read.withColumn(
@@ -143,7 +145,7 @@ def robots_hosts(robots: DataFrame, agent: str = params.ANY_AGENT) -> DataFrame:
         )
     )
     rules = F.coalesce(F.transform(lines, _packed_rule), F.array().cast(f"array<{_RULE}>"))
-    return read.select("host", "state", rules.alias("rules")).dropDuplicates(["host"])
+    return read.select("host", "state", rules.alias("rules"))
 
 
 def join_host_state(

@@ -44,7 +44,7 @@ def audit(
         checks.check_broken(links, _known_statuses(reached, responses)),
     ]
     if hops is not None:
-        found.append(checks.check_redirects(checks.redirect_chains(hops, hot_rows=hot_rows)))
+        found.append(checks.check_redirects(_chains_of_reached(hops, reached, hot_rows)))
     if extra_checks:
         fetched = reached.visits.where("outcome = 'fetched' and has_text").select("site_id", "url")
         pages = canonicalize(responses.where("text is not null"), "url", "url")
@@ -56,6 +56,15 @@ def audit(
     return Audit(reached, findings, report)
 
 
+def _chains_of_reached(hops: DataFrame, reached: Crawl, hot_rows: int) -> DataFrame:
+    """Redirect chains that start at visited pages; hops without a site hold for every site."""
+    chains = checks.redirect_chains(hops, hot_rows=hot_rows)
+    visited = reached.visits.where("outcome <> 'robots'").select("site_id", "url")
+    if "site_id" in hops.columns:
+        return chains.join(visited, ["site_id", "url"], "left_semi")
+    return chains.drop("site_id").join(visited, "url")
+
+
 def _known_statuses(reached: Crawl, responses: DataFrame) -> DataFrame:
     """Statuses of captured pages, and the 404 of visited ones that no capture holds."""
     asked = reached.visits.where("outcome = 'fetched'").select("site_id", "url", "status")

@@ -193,7 +193,8 @@ def _asked(urls: DataFrame, answers: DataFrame | None, hot_rows: int | None) ->
     if answers is None:
         return urls.withColumn("allowed", F.lit(True))
     if "allowed" in answers.columns:
-        ready = answers.select("url", F.col("allowed").alias("_allowed")).dropDuplicates(["url"])
+        # a denial among several answers holds
+        ready = answers.groupBy("url").agg(F.min("allowed").alias("_allowed"))
         joined = urls.join(ready, ["url"], "left")
         return joined.withColumn("allowed", F.coalesce("_allowed", F.lit(True))).drop("_allowed")
     if hot_rows is None:

@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from webledger import params
 from webledger.functions.urls import canonicalize
+from webledger.operators.joins import pick
 
 # Media types whose bodies are read.
 TEXT_TYPES = ("text/html", "text/plain")
 
-# Charset names and the Java charsets that Spark can decode them with.
-_CHARSETS = {
-    "iso-8859-1": "ISO-8859-1",
-    "latin-1": "ISO-8859-1",
-    "latin1": "ISO-8859-1",
-    "us-ascii": "ISO-8859-1",
-    "ascii": "ISO-8859-1",
-    "utf-16": "UTF-16",
-    "utf-16le": "UTF-16LE",
-    "utf-16be": "UTF-16BE",
-}
+# Names of the charsets that Spark expressions decode.
+_LATIN1 = ("iso-8859-1", "latin-1", "latin1", "iso8859-1", "l1")
+_ASCII = ("us-ascii", "ascii")
+_CP1252_NAMES = ("windows-1252", "cp1252")
+_UTF8 = ("", "utf-8", "utf8")
+# Windows-1252 for the bytes 80 to 9F; U+FFFD where it has none.
+CP1252 = "€�‚ƒ„…†‡ˆ‰Š‹Œ�Ž��‘’“”•–—˜™š›œ�žŸ"
 
 
 def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -33,10 +32,10 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 
 def read_robots(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Robots captures, one row per host name."""
+    """Robots captures, one row per host name: a successful one before a failed one, then by status."""
     raw = spark.read.schema(params.ROBOTS_CAPTURES).format(fmt).load(path)
     named = raw.withColumn("host", F.lower(F.regexp_replace("host", r":\d+$", "")))
-    return named.dropDuplicates(["host"])
+    return pick(named, ["host"], ["fetch_error", "status"])
 
 
 def robots_urls(hosts: DataFrame) -> DataFrame:
@@ -75,15 +74,42 @@ def body_state(content_type, declared, size, cap: int):
     )
 
 
-def _decoded_body(body, content_type):
-    """Body text in its declared charset, else UTF-8; bytes that are not text are replaced."""
-    charset = F.lower(F.regexp_extract(content_type, r"(?i)charset\s*=\s*[\"']?([^\s;\"']+)", 1))
-    out = None
-    for java in dict.fromkeys(_CHARSETS.values()):
-        named = charset.isin([name for name, target in _CHARSETS.items() if target == java])
-        text = F.decode(body, java)
-        out = F.when(named, text) if out is None else out.when(named, text)
-    return out.otherwise(F.make_valid_utf8(body.cast("string")))
+@F.pandas_udf(StringType())
+def _decode_rare(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
+    """Bodies in charsets that Spark does not know, or whose broken bytes it does not replace."""
+
+    def decode(body, charset):
+        if body is None or charset is None:
+            return None
+        try:
+            return bytes(body).decode(charset, "replace")
+        except (LookupError, ValueError):
+            return bytes(body).decode("utf-8", "replace")
+
+    return pd.Series([decode(b, c) for b, c in zip(bodies, charsets, strict=True)], dtype=object)
+
+
+def _charset(content_type):
+    return F.lower(F.regexp_extract(content_type, r"(?i)charset\s*=\s*[\"']?([^\s;\"']+)", 1))
+
+
+def _decoded_body(body, charset):
+    """Body text in its declared charset, else UTF-8; bytes that are not text are replaced.
+
+    The common charsets are expressions. Only bodies in other ones are handed to Python codecs; for
+    all other rows that function is given nulls.
+    """
+    latin = F.decode(body, "ISO-8859-1")
+    high = "".join(map(chr, range(0x80, 0xA0)))
+    common = charset.isin(*_UTF8, *_LATIN1, *_ASCII, *_CP1252_NAMES)
+    rare = _decode_rare(F.when(~common, body), F.when(~common, charset))
+    return (
+        F.when(charset.isin(*_UTF8), F.make_valid_utf8(body.cast("string")))
+        .when(charset.isin(*_LATIN1), latin)
+        .when(charset.isin(*_ASCII), F.regexp_replace(latin, "[\u0080-\u00ff]", "\ufffd"))
+        .when(charset.isin(*_CP1252_NAMES), F.translate(latin, high, CP1252))
+        .otherwise(rare)
+    )
 
 
 def ingest_captures(
@@ -104,6 +130,9 @@ def ingest_captures(
     failed = F.col("fetch_error").isNotNull()
     state = body_state(F.col("content_type"), F.col("_declared"), F.octet_length("body"), cap)
     judged = timed.withColumn("body_state", F.when(~failed & F.col("body").isNotNull(), state))
+    # a body that is not read is not decoded either
+    judged = judged.withColumn("_read", F.when(F.col("body_state") == "text", F.col("body")))
+    judged = judged.withColumn("_charset", _charset(F.col("content_type")))
     texts = judged.select(
         *site,
         "url",
@@ -111,7 +140,7 @@ def ingest_captures(
         "status",
         "elapsed_ms",
         "content_type",
-        F.when(F.col("body_state") == "text", _decoded_body(F.col("body"), F.col("content_type"))).alias("text"),
+        _decoded_body(F.col("_read"), F.col("_charset")).alias("text"),
         "fetch_error",
         "body_state",
     )
