@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webledger.llm.common import in_pieces, texts
+from webledger.llm.common import claim, in_pieces, texts
 from webledger.scale import store
 
 WINDOW = 13
@@ -93,6 +93,7 @@ _BUILT: dict[str, Scanner] = {}
 
 
 def _scanner(key: str, block: dict) -> Scanner:
+    claim("decontam", _BUILT.clear)
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = Scanner(block)

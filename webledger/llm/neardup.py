@@ -38,13 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webledger.llm.common import in_pieces, texts
+from webledger.llm.common import claim, in_pieces, texts
 from webledger.scale import store
 
 COORDINATES, MATCHES = 64, 34
 # Nodes that are compared with each other in one task.
 LIST_BLOCK = 512
-_WORDS = 300_000
+_WORDS = 200_000
 
 _A = np.array([int.from_bytes(hashlib.sha256(f"a{i}".encode()).digest()[:8], "big") | 1 for i in range(COORDINATES)], np.uint64)
 _B = np.array([int.from_bytes(hashlib.sha256(f"b{i}".encode()).digest()[:8], "big") for i in range(COORDINATES)], np.uint64)
@@ -100,6 +100,7 @@ def _class(shingles: np.ndarray) -> bytes:
 
 def _signed(size: int):
     def run(batches):
+        claim("neardup", _known.clear)
         for batch in in_pieces(batches):
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -172,6 +173,7 @@ def _bodies(size: int):
     """Texts of nodes, compressed; rows whose text is not that of the class are left out."""
 
     def run(batches):
+        claim("neardup", _known.clear)
         for batch in in_pieces(batches):
             nodes, classes, bodies = [], [], []
             for text, node, known in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "class")), strict=True):
@@ -218,6 +220,7 @@ def _list_links(size: int, num: int, den: int):
     """Links between components inside one block (or across two blocks) of nodes that share keys."""
 
     def run(table: pa.Table) -> pa.Table:
+        claim("neardup", _known.clear)
         rows = table.to_pydict()
         sig = np.frombuffer(b"".join(rows["signature"]), np.uint64).reshape(-1, COORDINATES)
         label, n, own = rows["label"], np.array(rows["n"]), np.array(rows["block"])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webledger.llm import learn
-from webledger.llm.common import SPACE, fold, in_pieces, texts
+from webledger.llm.common import SPACE, claim, fold, in_pieces, texts
 from webledger.llm.rules import repeated_words
 from webledger.scale import store
 
@@ -63,6 +63,7 @@ def statistics(text: bytes) -> list[float]:
 
 
 def _measured(batches):
+    claim("quality", int)
     for batch in in_pieces(batches):
         rows = [statistics(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webledger.llm.common import in_pieces, new_folder, open_folder, texts
+from webledger.llm.common import claim, in_pieces, new_folder, open_folder, texts
 from webledger.scale import store
 
 BLOCK = 4096
@@ -105,7 +105,9 @@ class Encoder:
 
     @classmethod
     def of(cls, key: str, model: str) -> Encoder:
+        claim("tokens", cls._own.clear)
         if key not in cls._own:
+            cls._own.clear()
             cls._own[key] = cls(model)
         return cls._own[key]
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webledger.llm import learn
-from webledger.llm.common import fold, in_pieces, texts
+from webledger.llm.common import claim, fold, in_pieces, texts
 from webledger.scale import store
 
 # Terms and stems in the lexicon, at most: the heaviest stay.
@@ -224,6 +224,7 @@ def measure(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     key = repr(sorted(lexicon.items()))
 
     def run(batches):
+        claim("toxicity", _MATCHERS.clear)
         if key not in _MATCHERS:
             _MATCHERS.clear()
             _MATCHERS[key] = Matcher(lexicon)
