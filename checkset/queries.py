@@ -47,7 +47,7 @@ def canonical_urls(spark, sf):
 
 @query
 def distinct_urls(spark, sf):
-    return urls.dedupe_urls(derived.table(spark, sf, "pages"), pick="page_id").select("url_norm", "page_id")
+    return urls.dedupe_urls(derived.table(spark, sf, "pages"), pick="page_id", keep=("page_id",))
 
 
 @query

@@ -30,14 +30,14 @@ def _tag_pattern(tag: str) -> str:
 
 _COMMENT = r"!--(?:.*?-->|.*+)"
 _RAW_TEXT = rf"({{0}}(?=[\s/>]){_ATTRIBUTES}>).*?(?:</{{0}}\s*+>|\z)"
-_SCRIPT = _RAW_TEXT.format("script")
-_STYLE = _RAW_TEXT.format("style")
-_UNRENDERED = rf"(?is)<(?:{_COMMENT}|{_SCRIPT}|{_STYLE})"
+# Elements whose content is text, not markup; that of a title is read by itself.
+_RAW_ELEMENTS = ("script", "style", "textarea", "xmp", "iframe", "noembed", "noframes")
+_UNRENDERED = rf"(?is)<(?:{_COMMENT}|{'|'.join(_RAW_TEXT.format(tag) for tag in _RAW_ELEMENTS)})"
 
 
 def rendered(text: Column) -> Column:
-    """The document without comments and without the bodies of scripts and style sheets."""
-    return F.regexp_replace(text, _UNRENDERED, "<$1$2")
+    """The document without comments and without the bodies of elements that hold raw text."""
+    return F.regexp_replace(text, _UNRENDERED, "<" + "".join(f"${i + 1}" for i in range(len(_RAW_ELEMENTS))))
 
 
 # The entities that every HTML writer must escape with.
@@ -88,16 +88,16 @@ def attribute_values(document: Column, tag: str, name: str) -> Column:
     return F.regexp_extract_all(document, F.lit(_attribute_pattern(tag, name)), F.lit(1))
 
 
-_ANCHORS = (
-    rf"(?is)<(?:{_COMMENT}|script(?=[\s/>]){_ATTRIBUTES}>.*?(?:</script\s*+>|\z)"
-    rf"|style(?=[\s/>]){_ATTRIBUTES}>.*?(?:</style\s*+>|\z)|{_attribute_body('a', 'href')})"
+_SKIPPED = "|".join(
+    rf"{tag}(?=[\s/>]){_ATTRIBUTES}>.*?(?:</{tag}\s*+>|\z)" for tag in (*_RAW_ELEMENTS, "title")
 )
+_ANCHORS = rf"(?is)<(?:{_COMMENT}|{_SKIPPED}|{_attribute_body('a', 'href')})"
 
 
 def raw_hrefs(text: Column) -> Column:
     """The href values of all anchors of a document, as written, in document order.
 
-    One pass: comments, scripts and style sheets are matched whole, and yield nothing.
+    One pass: comments and elements of raw text are matched whole, and yield nothing.
     """
     return F.array_remove(F.regexp_extract_all(text, F.lit(_ANCHORS), F.lit(1)), "")
 

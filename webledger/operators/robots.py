@@ -160,7 +160,9 @@ def join_host_state(
 def _fitting() -> Column:
     return F.filter(
         "rules",
-        lambda r: F.col("_target").startswith(r["prefix"]) & F.rlike(F.col("_target"), r["regex"]),
+        # a pattern that is all prefix needs no regular expression
+        lambda r: F.col("_target").startswith(r["prefix"])
+        & ((r["prefix"] == r["pattern"]) | F.rlike(F.col("_target"), r["regex"])),
     )
 
 

@@ -93,13 +93,20 @@ def links_from_hrefs(hrefs: DataFrame) -> DataFrame:
     return resolve_links(written).withColumn("text", F.lit(""))
 
 
-def dedupe_urls(df: DataFrame, url_col: str = "url", pick: str | None = None) -> DataFrame:
-    """One row per canonical URL: the one with the smallest ``pick`` value, or any one."""
+def dedupe_urls(
+    df: DataFrame, url_col: str = "url", pick: str | None = None, keep: tuple[str, ...] | None = None
+) -> DataFrame:
+    """One row per canonical URL: the one with the smallest ``pick`` value, or any one.
+
+    Only the columns in ``keep`` (default: all) are moved; leave bodies out.
+    """
     canonical = df if "url_norm" in df.columns else canonicalize(df, url_col)
     canonical = canonical.where(F.col("url_norm").isNotNull())
+    others = [c for c in (canonical.columns if keep is None else keep) if c != "url_norm"]
     if pick is None:
-        return canonical.dropDuplicates(["url_norm"])
-    others = [c for c in canonical.columns if c != "url_norm"]
+        return canonical.select(*others, "url_norm").dropDuplicates(["url_norm"])
+    if others == [pick]:
+        return canonical.groupBy("url_norm").agg(F.min(pick).alias(pick)).select(pick, "url_norm")
     picked = canonical.groupBy("url_norm").agg(F.min_by(F.struct(*others), F.col(pick)).alias("_row"))
     return picked.select(*[F.col(f"_row.{c}").alias(c) for c in others], "url_norm")
 

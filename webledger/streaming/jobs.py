@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from webledger.functions.urls import canonicalize
 from webledger.operators.checks import PAGE_CHECKS, with_checks
@@ -66,36 +65,25 @@ def stream_pace(
     spark = requests.sparkSession
     log = f"{ckpt.rstrip('/')}/booked"
 
-    def entries(of: str) -> DataFrame | None:
-        try:
-            return spark.read.schema("host string, next_free_ms double").parquet(of)
-        except AnalysisException:
-            return None
+    def booked_before(batch: int, base: int) -> DataFrame | None:
+        """When hosts are free again after the batches before; each of them has written its entry.
 
-    def booked_before(batch: int) -> DataFrame | None:
-        base = batch - batch % _COMPACT_EVERY
-        parts = [entries(f"{log}/base={base}")] if base else []
-        parts += [entries(f"{log}/batch={b}") for b in range(base, batch)]
-        kept = [p for p in parts if p is not None]
-        if not kept:
+        A missing entry is an error of the folder, not an absence of bookings, and is not hidden.
+        """
+        paths = [f"{log}/base={base}"] if base else []
+        paths += [f"{log}/batch={b}" for b in range(base, batch)]
+        if not paths:
             return None
-        whole = kept[0]
-        for part in kept[1:]:
-            whole = whole.unionByName(part)
+        whole = spark.read.schema("host string, next_free_ms double").parquet(*paths)
         return whole.groupBy("host").agg(F.max("next_free_ms").alias("next_free_ms"))
 
     def grant(batch_rows: DataFrame, batch: int) -> None:
-        if batch and batch % _COMPACT_EVERY == 0:
-            old = f"{log}/base={batch - _COMPACT_EVERY}"
-            parts = [entries(old)] + [entries(f"{log}/batch={b}") for b in range(batch - _COMPACT_EVERY, batch)]
-            kept = [p for p in parts if p is not None]
-            whole = kept[0]
-            for part in kept[1:]:
-                whole = whole.unionByName(part)
-            merged = whole.groupBy("host").agg(F.max("next_free_ms").alias("next_free_ms"))
+        base = batch - batch % _COMPACT_EVERY
+        if batch and batch == base:
+            merged = booked_before(batch, batch - _COMPACT_EVERY)
             merged.write.mode("overwrite").parquet(f"{log}/base={batch}")
         # the schedule looks at its requests more than once
-        slots = pace_schedule(store(batch_rows, "requests"), rate, booked_before(batch), hot_rows)
+        slots = pace_schedule(store(batch_rows, "requests"), rate, booked_before(batch, base), hot_rows)
         target = f"{out.rstrip('/')}/batch={batch}"
         slots.write.mode("overwrite").parquet(target)
         granted = spark.read.schema(slots.schema).parquet(target)
