@@ -16,7 +16,7 @@ from webledger.operators import checks, joins, pacing, robots, urls
 from webledger.plans import report
 from webledger.plans.audit import audit
 from webledger.plans.crawl import Crawl, crawl
-from webledger.scale import work_dir
+from webledger.scale import store, work_dir
 from webledger.sources import captures
 from webledger.streaming import jobs
 
@@ -45,6 +45,20 @@ def canonical_urls(spark, sf):
     return urls.canonicalize(derived.table(spark, sf, "pages")).select("page_id", "url_norm")
 
 
+@query
+def canonical_forms(spark, sf):
+    """Page URLs without a scheme, with doubled slashes, or with a parameter that has no value."""
+    kind, bare = F.col("page_id") % 3, F.regexp_replace("url", "#.*$", "")
+    flagged = F.concat(bare, F.when(bare.contains("?"), F.lit("&flag")).otherwise(F.lit("?flag")))
+    written = (
+        F.when(kind == 0, F.regexp_replace("url", "^https?://", ""))
+        .when(kind == 1, F.regexp_replace("url", "^(https?://[^/?#]+)/", "$1//"))
+        .otherwise(flagged)
+    )
+    pages = derived.table(spark, sf, "pages").select("page_id", written.alias("url"))
+    return urls.canonicalize(pages).select("page_id", "url_norm")
+
+
 @query
 def distinct_urls(spark, sf):
     return urls.dedupe_urls(derived.table(spark, sf, "pages"), pick="page_id", keep=("page_id",))
@@ -431,6 +445,15 @@ def audit_summary(spark, sf):
     )
 
 
+@query
+def audit_written(spark, sf):
+    """The report of the trees, written and read back."""
+    done = audit(derived.tree_sites(spark), derived.tree_responses(spark, sf), derived.tree_robots(spark))
+    path = f"{work_dir(spark)}/summary-{uuid.uuid4().hex}"
+    captures.write_summary(done.report, path)
+    return spark.read.parquet(path).select("site_id", "pages_crawled", "errors", "warnings", "completed", "gate")
+
+
 @query
 def audit_jsonl(spark, sf):
     done = audit(derived.tree_sites(spark), derived.tree_responses(spark, sf), derived.tree_robots(spark))
@@ -528,3 +551,20 @@ def stream_pace(spark, sf):
     jobs.stream_pace(asked, derived.RATE, out, _folder(spark, "stream-progress")).awaitTermination()
     granted = spark.read.schema("request_id bigint, host string, arrival_ms bigint, slot_ms bigint").parquet(out)
     return granted.select("request_id", "host", "arrival_ms", "slot_ms")
+
+
+@query
+def stream_pace_batches(spark, sf):
+    """The events in eight files by time, a batch each: what earlier batches booked holds later ones back."""
+    asked = derived.requests(spark, sf)
+    low, high = asked.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
+    part = F.floor((F.col("arrival_ms") - low) * 8 / (high - low + 1))
+    parted = store(asked.withColumn("part", part.cast("int")), "requests")
+    folder = _folder(spark, "requests")
+    for i in range(8):  # the stream takes files by their time of writing
+        parted.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    arriving = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = _folder(spark, "stream-pace")
+    jobs.stream_pace(arriving, derived.RATE, out, _folder(spark, "stream-progress")).awaitTermination()
+    granted = spark.read.schema("request_id bigint, host string, arrival_ms bigint, slot_ms bigint").parquet(out)
+    return granted.select("request_id", "host", "arrival_ms", "slot_ms")
