@@ -6,7 +6,9 @@
    fewer than ``MATCHES`` coordinates with a chance of about one in a million. Pairs that agree in
    at least that many share a key among the first COORDINATES - MATCHES + 1 keys of each, in any
    common order; rarest keys first, this prefix leaves out what many texts have in common, and
-   keys that one node alone has are dropped before anything is paired.
+   keys that one node alone has are dropped before anything is paired. Sets of very different size
+   cannot be linked: a list is split into classes of size, each a quarter larger than the one before (at 0.8),
+   and a node stands in its own class and the next.
 3. Every list is named by its most central node, and lists of one name are put together: the nodes of
    a group of near copies share dozens of keys, but meet a few times only. In a table of at most
    ``LIST_BLOCK`` nodes, collisions of signatures are counted pair by pair in one task; pairs above
@@ -42,6 +44,10 @@ from webledger.llm.common import claim, in_pieces, texts
 from webledger.scale import store
 
 COORDINATES, MATCHES = 64, 34
+# The numbers of nodes end in their class of size, in so many bits.
+_SIZE_BITS = 6
+# Bits of the filter that keeps texts nobody asks for out of a join: 2 MB at any size of the corpus.
+_FILTER_BITS = 24
 # Nodes that are compared with each other in one task.
 LIST_BLOCK = 512
 _WORDS = 200_000
@@ -191,12 +197,35 @@ def _bodies(size: int):
     return run
 
 
-def _squeezed(batches):
-    for batch in in_pieces(batches):
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([zlib.compress(t, 1) for t in batch.column("text").to_pylist()], pa.binary())],
-            names=["doc_id", "text"],
-        )
+def _squeezed(asked):
+    """Texts compressed; only those whose doc_id may be asked for (or is null)."""
+
+    def run(batches):
+        bits = np.unpackbits(np.frombuffer(asked.value, np.uint8), bitorder="little")
+        for batch in in_pieces(batches):
+            batch = batch.filter(pa.array(bits[batch.column("place").to_numpy()].astype(bool)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([zlib.compress(t, 1) for t in batch.column("text").to_pylist()], pa.binary())],
+                names=["doc_id", "text"],
+            )
+
+    return run
+
+
+def _place(doc_id: str):
+    """The bit of a doc_id in the filter; a null has one too."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << _FILTER_BITS)).cast("int")
+
+
+def _filter_of(needed: DataFrame) -> bytes:
+    """A bit for every doc_id, as bytes: the words of 32 bits that are not zero come to the driver."""
+    words = needed.select(_place("doc").alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, p & 31)")).alias("bits")
+    )
+    found = words.toArrow()
+    out = np.zeros(1 << (_FILTER_BITS - 5), "<u4")
+    out[found.column("w").to_numpy()] = found.column("bits").to_numpy().astype("<u4")
+    return out.tobytes()
 
 
 def _pairs_confirmed(size: int, num: int, den: int):
@@ -264,7 +293,11 @@ def near_duplicates(
     nodes = signed.where("class IS NOT NULL").groupBy("class").agg(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
     )
-    nodes = store(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # sets within the limit differ by less than one class of size, whatever the threshold
+    grown = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9) if num < den else F.lit(0)
+    grown = F.least(grown, F.lit((1 << _SIZE_BITS) - 1)).cast("bigint")
+    numbered = F.monotonically_increasing_id() * (1 << _SIZE_BITS) + grown
+    nodes = store(nodes.withColumn("node", numbered), "nodes")
 
     # the rarest keys of each node, without those that it alone has
     posted = nodes.select("node", "signature").mapInArrow(_posted, "node bigint, key bigint")
@@ -275,15 +308,19 @@ def near_duplicates(
     room = F.lit(1 - MATCHES) + F.size("keys")
     shared = shared.where(room > 0).select("node", "central", F.slice("keys", F.lit(1), room).alias("keys"))
     lists = store(shared.select("node", "central", F.explode("keys.key").alias("key")), "lists")
-    heads = lists.groupBy("key").agg(
+    grade = F.col("node").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1).cast("bigint"))
+    graded = lists.withColumn("grade", F.explode(F.array(grade, grade + 1)))
+    heads = graded.groupBy("key", "grade").agg(
         F.max(F.struct("central", "node"))["node"].alias("head"), F.count(F.lit(1)).alias("size")
     ).where("size > 1")
-    members = store(lists.select("node", "key").join(heads, "key").select("head", "node").distinct(), "members")
+    members = graded.select("node", "key", "grade").join(heads, ["key", "grade"]).select("head", "node").distinct()
+    members = store(members, "members")
     sizes = members.groupBy("head").agg(F.count(F.lit(1)).alias("members"))
 
     # the texts of the nodes that share keys
-    needed = members.select("node").distinct().join(nodes.select("node", "doc", "class"), "node")
-    squeezed = rows.mapInArrow(_squeezed, f"doc_id {kind}, text binary")
+    needed = store(members.select("node").distinct().join(nodes.select("node", "doc", "class"), "node"), "needed")
+    asked = docs.sparkSession.sparkContext.broadcast(_filter_of(needed))
+    squeezed = rows.withColumn("place", _place("doc_id")).mapInArrow(_squeezed(asked), f"doc_id {kind}, text binary")
     by_id = squeezed.join(needed.where("doc IS NOT NULL").withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "node", "class")
     no_id = squeezed.where("doc_id IS NULL").select("text", F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("binary").alias("class"))
     found = by_id.unionByName(no_id).mapInArrow(_bodies(shingle_words), "node bigint, class binary, body binary")
