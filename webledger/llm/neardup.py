@@ -50,7 +50,7 @@ _SIZE_BITS = 6
 _FILTER_BITS = 24
 # Nodes that are compared with each other in one task.
 LIST_BLOCK = 512
-_WORDS = 200_000
+_WORDS = 100_000
 
 _A = np.array([int.from_bytes(hashlib.sha256(f"a{i}".encode()).digest()[:8], "big") | 1 for i in range(COORDINATES)], np.uint64)
 _B = np.array([int.from_bytes(hashlib.sha256(f"b{i}".encode()).digest()[:8], "big") for i in range(COORDINATES)], np.uint64)

@@ -38,7 +38,7 @@ from webledger.llm.common import claim, in_pieces, new_folder, open_folder, text
 from webledger.scale import store
 
 BLOCK = 4096
-KNOWN = 600_000
+KNOWN = 350_000
 _MAGIC = b"WLPACK01"
 _FOOTER = struct.Struct("<8sBxxxIQQQQ")  # magic, bits, ids a block, ids, documents, blocks, bytes of blocks
 
