@@ -46,6 +46,35 @@ def test_pieces_are_whole_texts(direct):
             tokens.KNOWN = old
 
 
+def test_capitals_with_combining_marks(direct):
+    from pathlib import Path
+
+    encoder = tokens.Encoder(Path(tokenizer_file()).read_text())
+    pairs = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"]
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    every = " ".join(letter + mark for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for mark in marks)
+    bodies = [*pairs, *[f"The END. {p}x, X{p}. The End." for p in pairs], every, every.lower()]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([b.encode() for b in bodies])]
+    assert got == [e.ids for e in direct.encode_batch(bodies, add_special_tokens=False)]
+    assert b"the" in encoder.known and b"The" not in encoder.known
+
+
+def test_added_tokens_are_found_by_name():
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_file())
+    model.add_special_tokens(["[Sep]"])
+    encoder = tokens.Encoder(model.to_str())
+    assert encoder.folds
+    bodies = ["One [Sep] Two.", "One [SEP] Two, x.", "one [sep] x"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([b.encode() for b in bodies])]
+    assert got == [e.ids for e in model.encode_batch(bodies, add_special_tokens=False)]
+    model.add_special_tokens(["two words"])
+    assert not tokens.Encoder(model.to_str()).drops_space
+
+
 def test_a_tokenizer_that_keeps_spaces():
     from pathlib import Path
 

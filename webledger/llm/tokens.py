@@ -12,9 +12,12 @@ name; only files in the manifest count.
 
 Words repeat, so each Python worker encodes a piece of text once and keeps its ids in a table of at
 most ``KNOWN`` pieces. Pieces end at white space if the tokenizer drops it and never looks across;
-for one that also lower-cases and parts words from marks, ASCII letters are lowered and a full stop
-or comma after a word is a piece of its own. Which of this holds is asked of the tokenizer
-itself; one that does neither encodes whole texts. The ids are the same in every case.
+for one that also lower-cases and parts words from marks, pieces that are all ASCII are lowered and a
+full stop or comma after a word is a piece of its own. Pieces with other characters stay as written: a
+tokenizer composes characters before it lower-cases, and a capital with a combining mark need not have
+a composed form where the small letter has one. So do texts that hold the name of an added token, in
+any case. Which of this holds is asked of the tokenizer itself; one that does neither encodes whole
+texts.
 
 Defined cases: a null text is empty and has the end id alone; null doc_ids come first; repeated
 doc_ids are documents of their own, ordered by a hash of their texts; an empty table writes no file.
@@ -75,7 +78,7 @@ def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
     return out.reshape(-1)[:count]
 
 
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
+_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[\x20\x09-\x0D])")
 
 
 class Encoder:
@@ -92,16 +95,22 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known: dict[bytes, bytes] = {}
+        # names of added tokens are looked for in the text as written, where case matters
+        self.names = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        self.drops_space = ids(" ab\n\t c ") == ids("ab") + ids("c")
+        self.drops_space = ids(" ab\n\t c ") == ids("ab") + ids("c") and all(len(n.split()) == 1 for n in self.names)
         same_case = ids("THE End") == ids("the") + ids("end") and ids("\u00c9T\u00c9") == ids("\u00e9t\u00e9")
         self.folds = self.drops_space and same_case and ids("ab, c. d") == sum(map(ids, ("ab", ",", "c", ".", "d")), [])
 
     def split(self, body: bytes) -> list[bytes]:
-        # names of special tokens begin so, and their case matters
-        if self.folds and b"<|" not in body:
-            body = _STOP.sub(rb" \1", body.lower())
-        return body.split()
+        if not self.folds:
+            return body.split()
+        low = body.lower()
+        if any(name in low for name in self.names):
+            return body.split()
+        if body.isascii():
+            return _STOP.sub(rb" \1", low).split()
+        return [p.lower() if p.isascii() else p for p in _STOP.sub(rb" \1", body).split()]
 
     @classmethod
     def of(cls, key: str, model: str) -> Encoder:
