@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webledger.llm import chat, rules
+from webledger.llm import chat, orchard, rules, spelling
 
 _TAILS = chat._TAILS
 
@@ -111,10 +111,75 @@ SELECT r.a AS doc_id, any_value(n) AS n_shingles, min(r.b) AS component_id, r.a
 FROM reach r JOIN sizes ON sizes.doc_id = r.a GROUP BY r.a
 """
 
+# crc32 by its table of 256 entries, which is worked out bit by bit
+OP12 = rf"""
+WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(256)) AS i))),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+per_doc AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= {spelling.LETTERS} GROUP BY doc_id, run),
+bytes AS (SELECT *, list_prepend(4294967295, flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END
+    FOR c IN string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, '')])) AS b FROM per_doc),
+summed AS (SELECT run, n, xor(list_reduce([CAST(x AS BIGINT) FOR x IN b],
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+turned AS (SELECT CASE WHEN h % {spelling.EDITED} = 0
+    THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM summed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM turned WHERE length(word) >= {spelling.LETTERS}
+  GROUP BY word HAVING sum(n) >= {spelling.OFTEN}),
+cut AS (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS rest, i
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT DISTINCT a.word AS word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT DISTINCT cut.word, words.word FROM cut JOIN words ON words.word = cut.rest
+  UNION SELECT DISTINCT words.word, cut.word FROM cut JOIN words ON words.word = cut.rest),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS best, max(n) AS best_n
+  FROM pairs JOIN (SELECT word AS other, n FROM words) USING (other) GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {spelling.RATIO} * w.n THEN best END AS form,
+    CASE WHEN best_n >= {spelling.RATIO} * w.n THEN best_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM formed),
+{"".join(f"chain{k} AS (SELECT c.word, coalesce(f.form, c.root) AS root FROM chain{k - 1 or ''} c LEFT JOIN formed f ON f.word = c.root)," for k in range(1, 9))}
+ends AS (SELECT * FROM chain8)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
+def _op13() -> str:
+    parts, entries, rounds = orchard.PARTS, orchard.ENTRIES, orchard.ROUNDS
+    nearest = """SELECT vec_id, part, arg_min(entry, (square, entry)) AS entry, min(square) AS square FROM (
+      SELECT v.vec_id, v.part, b.entry, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v.x, b.x)]) AS square
+      FROM pieces v JOIN {book} b ON b.part = v.part) GROUP BY vec_id, part"""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""near{k} AS ({nearest.format(book=f"book{k}")}),
+mean{k} AS (SELECT part, entry, list(CAST(m AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT part, entry, i, (s - ((s % c) + c) % c) // c AS m FROM (
+      SELECT part, entry, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS c
+      FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM near{k} JOIN pieces USING (vec_id, part))
+      GROUP BY part, entry, i)) GROUP BY part, entry),
+book{k + 1} AS (SELECT part, entry, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN mean{k} m USING (part, entry))""")
+    return f"""
+WITH kept AS (SELECT vec_id, label, [CAST(floor({orchard.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains([x IS NULL OR NOT isfinite(x) FOR x IN embedding], true)),
+pieces AS (SELECT vec_id, part, list_slice(v, part * (len(v) // {parts}) + 1, (part + 1) * (len(v) // {parts})) AS x
+  FROM (SELECT vec_id, v, unnest(range({parts})) AS part FROM kept)),
+book0 AS (SELECT part, entry, x FROM pieces JOIN (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (vec_id) WHERE entry < {entries}),
+{",".join(steps)},
+last AS ({nearest.format(book=f"book{rounds}")}),
+coded AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(square) AS BIGINT) AS error FROM last GROUP BY vec_id),
+told AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), told
+"""
+
+
 ORACLES: dict[str, str] = {
     "op4_chat_formatting": OP4,
     "op5_warc": OP5,
     "op6_decontamination": OP6,
     "op8_near_duplicates": OP8,
     "op9_quality_rules": OP9,
+    "op12_spelling_variants": OP12,
+    "op13_vector_codes": _op13(),
 }

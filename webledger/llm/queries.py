@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webledger.llm import chat, decontam, mixing, neardup, pitman_yor, quality, rules, tokens, toxicity, warc
+from webledger.llm import (
+    chat, decontam, mixing, neardup, orchard, pitman_yor, quality, rules, secret_scan, spelling, tokens, toxicity, warc,
+)
 from webledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +87,18 @@ def tokenizer_file() -> str:
 @query
 def op10_token_files(spark, sf):
     return tokens.read_tokens(tokens.write_tokens(table(spark, sf, "documents"), tokenizer_file(), end_id=2))
+
+
+@query
+def op11_secret_scan(spark, sf):
+    return secret_scan.digests(secret_scan.scan(table(spark, sf, "documents")))
+
+
+@query
+def op12_spelling_variants(spark, sf):
+    return spelling.group_spellings(table(spark, sf, "documents"))
+
+
+@query
+def op13_vector_codes(spark, sf):
+    return orchard.digests(*orchard.compress(table(spark, sf, "embeddings")))
