@@ -82,14 +82,15 @@ def extract_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 @cache
-def _written_href():
-    return html.unquoted(F.col("href_raw"))
+def written_href():
+    """A raw href value without quotes and references; null where it is empty, and so no link."""
+    return F.when(~F.col("href_raw").isin('""', "''"), html.unquoted(F.col("href_raw")))
 
 
 def links_from_hrefs(hrefs: DataFrame) -> DataFrame:
     """Raw href values, as cut from the document, to resolved links; empty ones are no links."""
     written = hrefs.where(F.col("href_raw").isNotNull() & ~F.col("href_raw").isin('""', "''"))
-    written = written.withColumn("href_raw", _written_href())
+    written = written.withColumn("href_raw", written_href())
     return resolve_links(written).withColumn("text", F.lit(""))
 
 

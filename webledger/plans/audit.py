@@ -41,7 +41,7 @@ def audit(
     links = store(reached.links.select("site_id", "page_url", "pos", "url_norm"), "links")
     found = [
         reached.page_findings,
-        checks.check_broken(links, _known_statuses(reached, responses)),
+        checks.check_broken(links, _known_statuses(reached)),
     ]
     if hops is not None:
         found.append(checks.check_redirects(_chains_of_reached(hops, reached, hot_rows)))
@@ -65,7 +65,10 @@ def _chains_of_reached(hops: DataFrame, reached: Crawl, hot_rows: int) -> DataFr
     return chains.drop("site_id").join(visited, "url")
 
 
-def _known_statuses(reached: Crawl, responses: DataFrame) -> DataFrame:
-    """Statuses of captured pages, and the 404 of visited ones that no capture holds."""
+def _known_statuses(reached: Crawl) -> DataFrame:
+    """Statuses of captured pages as the crawl itself saw them, and the 404 of visited ones that no capture holds.
+
+    Of several captures of a page the crawl has picked one; a link is judged by that one too.
+    """
     asked = reached.visits.where("outcome = 'fetched'").select("site_id", "url", "status")
-    return responses.select("site_id", "url", "status").unionByName(asked)
+    return reached.statuses.unionByName(asked)

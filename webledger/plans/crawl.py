@@ -1,10 +1,12 @@
 """Breadth-first reach over captured sites: the frontier replayed level by level.
 
-Bodies are read once. One pass turns the capture into a slim table of pages with their raw hrefs,
-bucketed by (site, URL); every level then moves only its frontier to that table. Each level writes
-two small tables, the decisions on the URLs it was offered and the pages it visited, and the next
-level starts from those files. Single links are never stored: counts come from the decisions, and
-the table of all link verdicts is one lazy join over the stored tables.
+Bodies are read once, and URLs are made canonical once. One pass turns the capture into a slim table of pages with their
+canonical links, in folders by a hash of the site and bucketed by (site, URL). A level reads that table once: it moves only
+its frontier to it, reads only the folders that hold a site with an open frontier, and takes along what the pages it visits
+say, links and findings included, so the next level, the verdicts and the audit start from the visited pages alone. Sites
+leave as they finish, and their folders are not read again. Each level writes two tables, the decisions on the URLs it was
+offered and the pages it visited. Verdicts of single links are never stored: counts come from the decisions, and the table
+of all link verdicts is one lazy join over the stored tables.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from webledger import params
@@ -22,9 +24,13 @@ from webledger.operators import frontier
 from webledger.operators.checks import with_checks
 from webledger.operators.joins import visit
 from webledger.operators.robots import permitted, robots_hosts
-from webledger.operators.urls import links_from_hrefs
+from webledger.operators.urls import written_href
 from webledger.scale import BROADCAST_BYTES, HOT_ROWS, store, store_bucketed
 
+# Folders of the slim capture.
+PARTS = 32
+# The folder that a site's pages are in.
+_PART = f"CAST(pmod(xxhash64(site_id), {PARTS}) AS INT)"
 # Levels whose visits are read separately for the seen set before they are written as one table.
 _SEEN_PARTS = 6
 
@@ -55,10 +61,11 @@ def validate_sites(sites: DataFrame) -> DataFrame:
 
 
 def capture_pages(responses: DataFrame, page_checks: tuple[str, ...] = ()) -> DataFrame:
-    """Responses to one slim row per page: no body, but its hrefs and its findings.
+    """Responses to one slim row per page: no body, but its links and its findings.
 
     The only pass over the bodies. Where a page was captured more than once, one capture is picked
-    by its content.
+    by its content. The links are resolved and made canonical row by row and put together again where the pick has left
+    the page, so there is one shuffle.
     """
     read = responses.select(
         "site_id",
@@ -87,7 +94,18 @@ def capture_pages(responses: DataFrame, page_checks: tuple[str, ...] = ()) -> Da
         "checks",
     )
     picked = known.where(F.col("url").isNotNull()).groupBy("site_id", "url").agg(F.min(page).alias("_p"))
-    return picked.select("site_id", "url", "_p.*", F.col("_p.hrefs").isNotNull().alias("has_text"))
+    hrefs = picked.select(
+        "site_id", "url", F.col("_p.final_url").alias("_base"), F.col("_p").dropFields("hrefs").alias("_p"),
+        F.col("_p.hrefs").isNotNull().alias("has_text"), F.posexplode_outer("_p.hrefs").alias("pos", "href_raw"),
+    )
+    written = hrefs.withColumn("href_raw", written_href())
+    found = url_rules.canonicalize(url_rules.resolve(written, "_base", "href_raw", "_link"), "_link", "_link_norm")
+    link = F.struct("pos", F.col("_link").alias("url"), F.col("_link_norm").alias("url_norm"))
+    whole = found.groupBy("site_id", "url").agg(
+        F.first("_p").alias("_p"), F.first("has_text").alias("has_text"),
+        F.sort_array(F.collect_list(F.when(F.col("href_raw").isNotNull(), link))).alias("links"),
+    )
+    return whole.select("site_id", "url", "_p.*", F.when(F.col("has_text"), F.col("links")).alias("links"), "has_text")
 
 
 class Crawl:
@@ -104,21 +122,23 @@ class Crawl:
     @property
     def visits(self) -> DataFrame:
         """Every page admitted, with depth, accept rank, outcome and response."""
-        return self._visits.drop(*frontier.SITE_SCOPE)
+        return self._visits.drop(*frontier.SITE_SCOPE, *_SAID)
 
     @property
     def links(self) -> DataFrame:
         """Every link of every fetched page, resolved and canonical, not yet judged."""
-        return _links(self._visits, self._pages).drop(*frontier.SITE_SCOPE)
+        return _links(self._visits).drop(*frontier.SITE_SCOPE)
+
+    @property
+    def statuses(self) -> DataFrame:
+        """The status of every captured page, reached or not; null where it could not be fetched."""
+        return self._pages.select("site_id", "url", F.when(F.col("fetch_error").isNull(), F.col("status")).alias("status"))
 
     @property
     def page_findings(self) -> DataFrame:
         """Findings of the page checks on fetched pages."""
         fetched = self._visits.where((F.col("outcome") == "fetched") & F.col("has_text"))
-        found = fetched.select("site_id", "url").join(
-            self._pages.select("site_id", "url", "checks"), ["site_id", "url"]
-        )
-        return found.select("site_id", F.col("url").alias("page_url"), F.inline("checks"))
+        return fetched.select("site_id", F.col("url").alias("page_url"), F.inline("checks"))
 
     @property
     def _admitted(self) -> DataFrame:
@@ -159,27 +179,21 @@ class Crawl:
         return counted.groupBy("site_id", "verdict").agg(F.sum("n").alias("n"))
 
 
-def _links(visits: DataFrame, pages: DataFrame) -> DataFrame:
-    """The links of fetched pages. ``pages`` is bucketed by the join keys and does not move."""
-    sources = visits.where((F.col("outcome") == "fetched") & F.col("has_text")).select(
+# What a page says, which visits carry along.
+_SAID = ("links", "checks")
+
+
+def _links(visits: DataFrame) -> DataFrame:
+    """The links of fetched pages; no other page has any."""
+    return visits.select(
         "site_id",
-        "url",
-        "final_url",
         F.col("accept_rank").alias("source_rank"),
         (F.col("depth") + 1).alias("level"),
         *frontier.SITE_SCOPE,
-    )
-    found = sources.join(pages.select("site_id", "url", "hrefs"), ["site_id", "url"])
-    hrefs = found.select(
-        "site_id",
-        "source_rank",
-        "level",
-        *frontier.SITE_SCOPE,
         F.col("url").alias("page_url"),
         F.col("final_url").alias("source_url"),
-        F.posexplode("hrefs").alias("pos", "href_raw"),
+        F.inline("links"),
     )
-    return url_rules.canonicalize(links_from_hrefs(hrefs))
 
 
 def _robots_answers(robots: DataFrame | None, agent: str) -> DataFrame | None:
@@ -207,7 +221,7 @@ def _visited(
 ) -> DataFrame:
     """Admitted URLs with what came of them: robots denial, failed fetch, or a response."""
     asked = _asked(admitted, answers, hot_rows)
-    answered = visit(asked, pages.drop("hrefs", "checks"))
+    answered = visit(asked, pages)
     outcome = (
         F.when(~F.col("allowed"), "robots")
         .when(F.col("fetch_error").isNotNull(), "fetch_error")
@@ -217,13 +231,19 @@ def _visited(
     fetched = F.col("outcome") == "fetched"
     columns = {c: F.when(fetched, F.col(c)) for c in ("status", "elapsed_ms", "content_type", "final_url")}
     columns["fetch_error"] = F.when(F.col("outcome") == "fetch_error", F.col("fetch_error"))
-    columns["has_text"] = F.coalesce(fetched & F.col("has_text"), F.lit(False))
+    said = F.coalesce(fetched & F.col("has_text"), F.lit(False))
+    columns |= {"has_text": said, **{c: F.when(said, F.col(c)) for c in _SAID}}
     return answered.withColumns(columns).select(
         "site_id", "url", "depth", "accept_rank", *frontier.SITE_SCOPE, "outcome", "final_url",
-        "status", "elapsed_ms", "content_type", "fetch_error", "has_text",
+        "status", "elapsed_ms", "content_type", "fetch_error", "has_text", *_SAID,
     )
 
 
+def _open_pages(pages: DataFrame, parts: list[int]) -> DataFrame:
+    """The pages in the given folders; no other folder is listed or read."""
+    return pages.where(F.col("part").isin(sorted(parts))).drop("part")
+
+
 def rebind(visited_seeds: DataFrame) -> DataFrame:
     """Seeds that were redirected: the site's host is the one that answered."""
     moved = F.col("has_text") & (F.col("final_url") != F.col("url"))
@@ -260,11 +280,12 @@ def crawl(
     if limits["depth"] is None:
         raise ValueError("there is no site to crawl")
     captured = capture_pages(_captured_for(responses, sites), page_checks)
-    pages = store_bucketed(captured, "pages", ["site_id", "url"])
+    pages = store_bucketed(captured.withColumn("part", F.expr(_PART)), "pages", ["site_id", "url"], "part")
 
     start = seeds.withColumns({"depth": F.lit(0), "accept_rank": F.lit(0).cast("bigint")})
     answers = _robots_answers(robots, agent)
-    visited = store(rebind(_visited(start, pages, answers, hot_rows)), "visits")
+    first = [r["part"] for r in seeds.select(F.expr(_PART).alias("part")).distinct().collect()]
+    visited = store(rebind(_visited(start, _open_pages(pages, first), answers, hot_rows)), "visits")
     levels, decided = [visited], []
     landed = visited.where(F.col("has_text") & (F.col("final_url") != F.col("url")))
     seen = [
@@ -272,13 +293,17 @@ def crawl(
         landed.select("site_id", F.col("final_url").alias("url_norm")),
     ]
     for _ in range(limits["depth"] + 1):
-        offered = _links(visited, pages)
+        offered = _links(visited)
         known = reduce(DataFrame.union, seen)
-        decisions = store(frontier.decide(offered, known), "decisions")
+        # told while the decisions are written: how many URLs are open, and in which folders their sites are, a bit each
+        left, is_open = Observation(), F.col("verdict") == "open"
+        told = F.count_if(is_open).alias("n"), F.bit_or(F.when(is_open, F.expr(f"shiftleft(1L, {_PART})"))).alias("parts")
+        decisions = store(frontier.decide(offered, known).observe(left, *told), "decisions")
         decided.append(decisions)
-        n_open = decisions.where(F.col("verdict") == "open").count()
+        n_open = left.get["n"]
         if not n_open:
             break
+        parts = [p for p in range(PARTS) if left.get["parts"] >> p & 1]
         # ranks are dense, so the last one of a site says how many pages it has accepted
         by_site = visited.groupBy("site_id", "scope_host")
         accepted = by_site.agg((F.max("accept_rank") + 1).alias("accepted"))
@@ -292,7 +317,7 @@ def crawl(
             "accept_rank",
             *frontier.SITE_SCOPE,
         )
-        visited = store(_visited(front, pages, answers, hot), "visits")
+        visited = store(_visited(front, _open_pages(pages, parts), answers, hot), "visits")
         levels.append(visited)
         seen.append(visited.select("site_id", F.col("url").alias("url_norm")))
         if len(seen) > _SEEN_PARTS:

@@ -22,10 +22,15 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for working tables, as the session names it."""
+    """The shared folder for working tables as the session names it, with its file system.
+
+    A path without a scheme is one of the default file system, as Spark's own writers take it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") or "/")
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return system.makeQualified(path).toString().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="webledger-")
@@ -41,15 +46,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def store_bucketed(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+def store_bucketed(df: DataFrame, name: str, keys: Sequence[str], parts: str | None = None) -> DataFrame:
     """Like :func:`store`, bucketed by ``keys``: later joins on them do not move this side.
 
-    ``df`` should come out of a shuffle on the same keys, so that each bucket is one file.
+    ``df`` should come out of a shuffle on the same keys, so that each bucket is one file; one in each folder of
+    the column ``parts``, if one is named: a filter on it leaves whole folders unread.
     """
     spark = df.sparkSession
     table = f"webledger_{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    if parts is not None:
+        writer = writer.partitionBy(parts)
     writer.option("path", f"{work_dir(spark)}/{table}").saveAsTable(table)
     return spark.table(table)
 
