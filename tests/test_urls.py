@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from webledger.functions import html, punycode
 from webledger.functions import urls as rules
 from webledger.operators import urls
 
@@ -40,6 +43,9 @@ CANONICAL = [
     ("http://a]b/", None),
     ("http://[zz]/", None),
     ("http://[1:2:3:4:5:6:7:8:9]/", None),
+    ("https://B\u00dccher.test:443/\u00fc", "https://xn--bcher-kva.test/%C3%BC"),
+    ("http://me@\u65e5\u672c\u3002m\u00fcnchen.test:8080", "http://me@xn--wgv71a.xn--mnchen-3ya.test:8080/"),
+    ("https://XN--BCHER-KVA.test/", "https://xn--bcher-kva.test/"),
     ("mailto:a@b.com", "mailto:a@b.com"),
     ("tel:911", "tel:911"),
     ("", ""),
@@ -68,6 +74,46 @@ def test_a_filter_on_the_canonical_form_does_not_repeat_its_stages(spark):
     assert df.where("url_norm like 'http:%'").count() == sum((wanted or "").startswith("http:") for _, wanted in CANONICAL)
 
 
+def test_punycode_is_that_of_the_standard_library(spark):
+    rng = random.Random(3)
+    letters = "abc-z09\u00e4\u00f6\u00fc\u00df\u00e9\u03b1\u03b2\u0436\u044f\u65e5\u672c\ud55c\U0001f600\U00010348"
+    labels = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 24))) for _ in range(600)} | {"\U0010ffff" * 60, "\u00fc" + "a" * 62}
+    labels = sorted(label for label in labels if not label.isascii())
+    df = spark.createDataFrame([(label,) for label in labels], "label string")
+    code = punycode.encode_label(F.col("label"))
+    for r in df.select("label", code.alias("code"), punycode.decode_label(code).alias("again")).collect():
+        assert r.code == r.label.encode("punycode").decode() and r.again == r.label
+
+
+def test_texts_that_are_no_punycode(spark):
+    def plain(code):
+        try:
+            label = code.encode("ascii").decode("punycode")
+            return label if label.encode() is not None else None
+        except UnicodeError:
+            return None
+
+    rng = random.Random(4)
+    codes = ["".join(rng.choice("abcxyz019-") for _ in range(rng.randrange(0, 14))) for _ in range(800)] + ["", "-", "a-", "999999999", "caf\u00e9-1"]
+    df = spark.createDataFrame([(code,) for code in codes], "code string")
+    got = {r.code: r.label for r in df.select("code", punycode.decode_label(F.col("code")).alias("label")).collect()}
+    assert {c: got[c] for c in codes if c not in ("-", "") and not c.startswith("-")} == {c: plain(c) for c in codes if c not in ("-", "") and not c.startswith("-")}
+    hosts = spark.createDataFrame([("xn--bcher-kva.xn--9.test",), ("plain.test",)], "host string")
+    assert [r.h for r in hosts.select(punycode.host_to_unicode(F.col("host")).alias("h")).collect()] == ["b\u00fccher.xn--9.test", "plain.test"]
+
+
+def test_character_references_are_those_of_the_standard_library(spark):
+    from html import unescape
+    from html.entities import html5
+
+    rng = random.Random(5)
+    bits = ["&amp;", "&amp", "&copy", "&notit;", "&not", "&NotEqualTilde;", "&#150;", "&#x80", "&#x41;", "&#0;", "&#xD800;", "&zzz;", "&", "a", "=", ";", "\u00e9"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 8))) for _ in range(600)] + ["&" + name for name in html5]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", html.unescaped(F.col("t")).alias("u")).collect():
+        assert r.u == unescape(r.t), r.t
+
+
 @pytest.mark.parametrize("canonical", [False, True])
 def test_crawlable(spark, canonical):
     cases = [
@@ -93,9 +139,10 @@ def test_same_host(spark):
 
 
 BASE = "https://e.com/shelf/book/page.html"
+# The first two lines after the examples of RFC 3986, section 5.4.
 HREFS = [
-    "setup.html", "../api/", "/about", "//cdn.e.com/x.js", "https://other.com/a", "#section", "?page=2",
-    "mailto:a@b.com", "http://[::1", "?", "#", " /a", "/a\nb", "/a\n", "/a ", "https:foo", "http:foo", "a//b", "/a//b",
+    "g:h", "g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", "g;x?y#s", "", "..", "../", "../g", "../..", "../../g",
+    "../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g", "./../g", "./g/.", "g/./h", "g/../h", "g;x=1/./y", "g?y/./x", "g#s/../x", "?", "#", " /a", "/a\nb", "/a\n", "/a ", "https:foo", "http:foo", "a//b", "/a//b",
     "../../../../x", "./", "..", ".", "/../x", "/a/./b/..", "x/../y?z#w", "https://e.com", "HTTPS://E.com/Q?",
     "///p", "//", "a b", "/x?y=/../z", "javascript:void(0)", "a/", "/", "b//", " ", "//[::1]/x", "é/ü", "x:y",
     "//[zz]/", "/.hidden/a", "a;b", "?a=b#c", "https:/x", "https://e.com/a/../b",
@@ -139,6 +186,7 @@ def links_of(spark, text, base=BASE):
         ("<title><a href=/t></title><textarea><a href=/u></textarea><XMP><a href=/v></xmp><a href=/w><iframe><a href=/i>", ["https://e.com/w"]),
         ('<a href="/x?a=1&amp;b=2&#x2F;&#233;">', ["https://e.com/x?a=1&b=2/é"]),
         ('<a href="&amp;lt;&#38;lt;">', ["https://e.com/shelf/book/&lt;&lt;"]),
+        ('<a href="/&eacute;&eacute&eacutes&copy=1&copy;=&sol;&nosuch;&not&#x96;">', ["https://e.com/\u00e9\u00e9&eacutes&copy=1\u00a9=/&nosuch;\u00ac\u2013"]),
     ],
 )
 def test_extracted_links(spark, text, wanted):

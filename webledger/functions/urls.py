@@ -15,6 +15,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webledger.functions.punycode import host_to_ascii
+
 # Query parameters that only track where a visitor came from.
 TRACKING_PARAMS = (
     "utm_source",
@@ -175,10 +177,12 @@ def _canonical_stages(url_col: str) -> tuple[dict[str, Column], Column]:
     has_authority = c("_tail").startswith("//")
     hierarchical = c("_scheme").isin(*CRAWLABLE_SCHEMES, "ftp", "")
     host = (
-        F.when(c("_scheme") == "https", F.regexp_replace(F.lower("_host"), r"\.*(?::(?:443)?)?$", ""))
-        .when(c("_scheme") == "http", F.regexp_replace(F.lower("_host"), r"\.*(?::(?:80)?)?$", ""))
-        .otherwise(F.lower("_host"))
+        F.when(c("_scheme") == "https", F.regexp_replace(F.lower("_named"), r"\.*(?::(?:443)?)?$", ""))
+        .when(c("_scheme") == "http", F.regexp_replace(F.lower("_named"), r"\.*(?::(?:80)?)?$", ""))
+        .otherwise(F.lower("_named"))
     )
+    port = r":[0-9]*$"
+    ascii_host = F.concat(host_to_ascii(F.regexp_replace("_host", port, "")), F.regexp_extract("_host", port, 0))
     untracked = ~F.substring_index("_query", "=", 1).isin(*TRACKING_PARAMS)
     working = {
         "_fast": c(url_col).rlike(_ALREADY_CANONICAL),
@@ -198,6 +202,7 @@ def _canonical_stages(url_col: str) -> tuple[dict[str, Column], Column]:
         ).otherwise(c("_tail")),
         "_user": F.regexp_extract("_authority", "^(.*@)", 1),
         "_host": F.regexp_replace("_authority", "^.*@", ""),
+        "_named": F.when(c("_host").rlike(r"[^\x00-\x7f]"), ascii_host).otherwise(c("_host")),
         "_bad": F.coalesce(bracket_fault(c("_authority")), F.lit(False)),
         "_legal": F.when(c("_path") == "", F.when(has_authority, "/").otherwise(""))
         .when(c("_path").rlike(rf"^[/{_PATH_SAFE}]*$"), c("_path"))
@@ -225,7 +230,7 @@ def _canonical_stages(url_col: str) -> tuple[dict[str, Column], Column]:
 def canonicalize(df: DataFrame, url_col: str = "url", out: str = "url_norm") -> DataFrame:
     """Add the canonical form of ``url_col``; null where the URL is malformed.
 
-    Lower-case scheme and host, no default port, no fragment, dot segments and doubled slashes
+    Lower-case scheme and host, the host in ASCII (``xn--``), no default port, no fragment, dot segments and doubled slashes
     resolved, escapes made uniform, tracking parameters dropped, the rest sorted by (key, value).
     """
     return _staged(df, *_canonical_stages(url_col), out)
