@@ -1,3 +1,7 @@
+import gzip
+import random
+import zlib
+
 import pytest
 
 from webledger.operators import checks, joins
@@ -51,12 +55,51 @@ def test_declared_length_deadline_and_lost_urls(spark):
         captures.ingest_captures(spark.createDataFrame(rows, RAW_CAPTURES), 0)
 
 
-def test_ingest_is_one_narrow_pass(spark):
-    raw = spark.createDataFrame([], RAW_CAPTURES)
-    plan = captures.ingest_captures(raw)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
-    # only bodies in charsets that expressions cannot decode are handed to Python; the others as nulls
-    assert plan.count("ArrowEvalPython") == 1 and "_decode_rare(CASE WHEN NOT _charset" in plan
+def encoded(spark, body, coding, cap=4096, kind="text/html"):
+    raw = spark.createDataFrame([("s", "https://e.com/a", None, 200, {"content-type": kind, "Content-Encoding": coding}, body, 5.0, None)], RAW_CAPTURES)
+    (row,) = captures.ingest_captures(raw, cap).collect()
+    return row.text, row.status, row.body_state, row.fetch_error
+
+
+def test_encoded_bodies(spark):
+    plain, bare = HTML.encode(), zlib.compressobj(wbits=-15)
+    raw = bare.compress(plain) + bare.flush()
+    for body, coding in [(gzip.compress(plain), "GZIP"), (zlib.compress(plain), "deflate"), (raw, "Deflate"), (gzip.compress(zlib.compress(plain)), "deflate, gzip"),
+                         (plain, "identity"), (plain, "br"), (gzip.compress(plain) + b"more", "identity,gzip")]:
+        assert encoded(spark, body, coding) == (HTML, 200, "text", None), coding
+    # in a charset that only Python knows
+    assert encoded(spark, gzip.compress("\u043c\u0438\u0440".encode("koi8-r")), "gzip", kind="text/html; charset=koi8-r")[0] == "\u043c\u0438\u0440"
+    # small on the wire, over the cap; just at the cap
+    assert encoded(spark, gzip.compress(b"y" * 4097), "gzip") == (None, 200, "too_long", None)
+    assert encoded(spark, gzip.compress(b"y" * 4096), "gzip")[0] == "y" * 4096
+    # cut, and not what the header says
+    assert encoded(spark, gzip.compress(b"y" * 90, 0)[:45], "gzip") == ("y" * 30, 200, "text", None)
+    assert encoded(spark, b"<p>", "gzip") == (None, None, None, "undecodable body")
+    assert encoded(spark, b"", "gzip")[0] == "" and encoded(spark, b"<p>", "gzip", kind="image/png") == (None, 200, "not_text", None)
+
+
+def test_inflation_stops_at_the_cap():
+    made = []
+    bomb = gzip.compress(bytes(50_000_000))
+    decoder = captures._Deflated("gzip")
+    for piece in decoder.pieces(iter([bomb])):
+        made.append(len(piece))
+        if sum(made) > 200_000:
+            break
+    assert max(made) <= captures._PIECE and captures.inflated(bomb, ["gzip"], 100_000) is None
+    rng = random.Random(1)
+    for n in (0, 1, 65_535, 65_536, 65_537, 300_000):
+        body = rng.randbytes(n)
+        assert captures.inflated(gzip.compress(body), ["gzip"], n) == body
+
+
+def test_only_rare_bodies_are_handed_to_python(spark, tmp_path):
+    spark.createDataFrame([], RAW_CAPTURES).write.parquet(str(tmp_path / "raw"))
+    plan = captures.ingest_captures(spark.read.parquet(str(tmp_path / "raw")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 2
+    # one of two branches; its rows are filtered before they cross
+    assert plan.count("MapInArrow") == 1
+    assert "Filter" in plan[plan.index("MapInArrow") :]
 
 
 def test_reading(spark, tmp_path):
