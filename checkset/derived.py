@@ -86,6 +86,45 @@ raw AS (
     (page_id * 37 % 997) * 20.0 AS elapsed_ms, html
   FROM pages)"""
 
+# Every third body has a content coding: whole, grown past the cap, not what its header says, or cut.
+ENCODED_SQL = f"""{RAW_SQL},
+encoded AS (
+  SELECT page_id, url, content_type, declared, elapsed_ms, page_id % 3 = 0 AND page_id // 3 % 5 = 3 AS broken,
+    CASE WHEN page_id % 3 > 0 THEN html WHEN page_id // 3 % 5 = 2 THEN repeat(html, 40)
+         WHEN page_id // 3 % 5 = 4 THEN repeat('x', 700) ELSE html END AS html
+  FROM raw)"""
+
+
+def _encode(batches):
+    """Bodies with their content coding, as the rule of ENCODED_SQL says."""
+    import gzip
+    import zlib
+
+    import pyarrow as pa
+
+    def one(page_id: int, html: str) -> tuple[bytes, str | None]:
+        body, kind = html.encode(), page_id // 3 % 5
+        if page_id % 3:
+            return body, None
+        if kind == 0:
+            return gzip.compress(body, mtime=0), "gzip"
+        if kind == 1:
+            return zlib.compress(body), "Deflate"
+        if kind == 2:
+            raw = zlib.compressobj(wbits=-15)
+            return raw.compress(body * 40) + raw.flush(), "deflate"
+        if kind == 3:
+            return body, "gzip"
+        # 10 bytes of header, 5 of a stored block, then the bytes as they are
+        return gzip.compress(b"x" * 1000, 0, mtime=0)[: 15 + 700], "identity, gzip"
+
+    for batch in batches:
+        made = [one(*row) for row in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())],
+            names=["page_id", "url", "body", "coding"],
+        )
+
 
 def raw_captures(spark: SparkSession, sf: str) -> DataFrame:
     page = F.col("page_id")
@@ -98,15 +137,17 @@ def raw_captures(spark: SparkSession, sf: str) -> DataFrame:
     )
     declared = F.when(page % 7 == 2, "99999999999999999999").when(page % 7 == 3, "many").when(page % 7 == 4, "10")
     headers = F.map_filter(
-        F.create_map(F.lit("Content-Type"), kind, F.lit("content-length"), declared), lambda k, v: v.isNotNull()
+        F.create_map(F.lit("Content-Type"), kind, F.lit("content-length"), declared, F.lit("Content-Encoding"), F.col("coding")),
+        lambda k, v: v.isNotNull(),
     )
-    return table(spark, sf, "pages").select(
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return pages.mapInArrow(_encode, "page_id bigint, url string, body binary, coding string").select(
         F.lit("s").alias("site_id"),
         "url",
         F.col("url").alias("final_url"),
         F.lit(200).alias("status"),
         headers.alias("headers"),
-        F.col("html").cast("binary").alias("body"),
+        "body",
         ((page * 37 % 997) * 20.0).cast("double").alias("elapsed_ms"),
         F.lit(None).cast("string").alias("fetch_error"),
     )
@@ -149,6 +190,91 @@ def pages_with_metadata(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# --- URLs at internationalised hosts ----------------------------------------------------------
+
+# A label in front of each host, by page; its ASCII form is the standard library's.
+LABELS = ("b\u00fccher", "m\u00fcnchen", "fa\u00e7ade", "espa\u00f1a", "\u65e5\u672c\u8a9e", "\ud55c\uad6d\uc5b4", "\u043f\u0440\u0438\u043c\u0435\u0440", "\u03b5\u03bb\u03bb\u03ac\u03b4\u03b1-1")
+ASCII_LABELS = tuple("xn--" + label.encode("punycode").decode() for label in LABELS)
+
+
+def _label_sql(labels) -> str:
+    return "CASE page_id % 8 " + " ".join(f"WHEN {i} THEN '{label}'" for i, label in enumerate(labels)) + " END"
+
+
+def international_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """(page_id, url): every page URL in four forms of its host."""
+    upper = lambda labels: tuple(label.upper() for label in labels)
+    forms = [F.expr(_label_sql(labels)) for labels in (LABELS, ASCII_LABELS, upper(LABELS), upper(ASCII_LABELS))]
+    pages = table(spark, sf, "pages").select("page_id", "url", F.explode(F.array(*forms)).alias("label"))
+    at = F.concat(F.regexp_extract("url", "^(https?://)", 1), F.col("label"), F.lit("."), F.regexp_replace("url", "^https?://", ""))
+    return pages.select("page_id", at.alias("url"))
+
+
+INTERNATIONAL_SQL = f"""{CANON_SQL},
+named AS (SELECT page_id, url_norm, regexp_extract(url_norm, '^(https?://)', 1) AS scheme, regexp_replace(url_norm, '^https?://', '') AS rest,
+  {_label_sql(ASCII_LABELS)} AS ascii, {_label_sql(LABELS)} AS label FROM canon)"""
+
+# --- bodies written with character references -------------------------------------------------
+
+# (condition, body, target of its link)
+_REFERENCES = [
+    ("page_id % 2 = 0", '<a href="/a?x=1&amp;copy=2&copy=3&reg;&lang=en">', "'/a?x=1&copy=2&copy=3' || chr(174) || '&lang=en'"),
+    ("page_id % 3 = 0", "<a href='/&eacute;t&eacute&#46;html'>", "'/' || chr(233) || 't' || chr(233) || '.html'"),
+    ("page_id % 5 = 0", "<a href=/&notit;&notin;&NotEqualTilde;>", "'/&notit;' || chr(8713) || chr(8770) || chr(824)"),
+    ("true", '<a href="/q&#150;&#x80;&#0;&lt">', "'/q' || chr(8211) || chr(8364) || chr(65533) || '<'"),
+    ("page_id % 4 = 0", "<title>&Tab;&#32;&NewLine;</title>", None),
+    ("page_id % 4 = 1", "<title>&notit</title>", None),
+    ("page_id % 3 = 1", '<img src="http&colon;//img.example/&eacute;.png">', None),
+]
+
+
+def referenced_pages(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [F.when(F.expr(when), body).otherwise("") for when, body, _ in _REFERENCES]
+    return table(spark, sf, "pages").select(
+        "page_id", F.lit("s").alias("site_id"), "url", F.col("url").alias("final_url"), F.concat(*parts, F.col("html")).alias("text")
+    )
+
+
+REFERENCED_SQL = f"""
+targets AS (
+  SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root,
+    list_concat([x FOR x IN [{", ".join(f"CASE WHEN {when} THEN {target} END" for when, _, target in _REFERENCES if target)}] IF x IS NOT NULL],
+      regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS t
+  FROM pages)"""
+
+# --- conflicting captures ---------------------------------------------------------------------
+
+# Captures of a link target by kind: (status, fetch_error) each.
+_CONFLICTS = [[(None, "timeout"), (404, None)], [(None, "refused"), (200, None)], [(404, None), (200, None)], []]
+
+
+def conflicting_captures(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(sites, responses): every page a site, its link targets captured twice, with different outcomes, or not at all."""
+    from webledger.operators.urls import extract_links
+
+    pages = table(spark, sf, "pages").select(
+        F.col("page_id").cast("string").alias("site_id"), "page_id", "url", F.col("url").alias("final_url"), F.col("html").alias("text")
+    )
+    n = pages.count()
+    sites = pages.select("site_id", F.col("url").alias("seed_url"), F.lit(1).alias("max_depth"), F.lit(PER_PAGE * n).alias("max_pages"))
+    kind = (F.length("url_norm") + F.col("page_id")) % len(_CONFLICTS)
+    targets = canonicalize(extract_links(pages, keep=("page_id",))).select("site_id", "page_id", "url_norm").distinct()
+    outcome = lambda status, fault: F.struct(F.lit(status).cast("int").alias("status"), F.lit(fault).cast("string").alias("fetch_error"))
+    taken = F.when(F.lit(False), F.array(outcome(None, None)))
+    for i, kinds in enumerate(_CONFLICTS):
+        if kinds:
+            taken = taken.when(kind == i, F.array(*[outcome(*k) for k in kinds]))
+    twice = targets.select("site_id", F.col("url_norm").alias("url"), F.explode(taken).alias("o")).select(
+        "site_id", "url", F.col("url").alias("final_url"), "o.status", F.lit(2.5).alias("elapsed_ms"), F.lit("text/html").alias("content_type"),
+        F.lit(None).cast("string").alias("text"), "o.fetch_error",
+    )
+    own = pages.select(
+        "site_id", "url", "final_url", F.lit(200).alias("status"), F.lit(1.5).alias("elapsed_ms"), F.lit("text/html").alias("content_type"),
+        "text", F.lit(None).cast("string").alias("fetch_error"),
+    )
+    return sites, own.unionByName(twice)
+
+
 # --- robots from hosts ------------------------------------------------------------------------
 
 _ROBOTS = [
@@ -273,36 +399,47 @@ def _graph_text(links) -> str:
     return " || ".join(f"CASE WHEN {when} THEN {html} ELSE '' END" for when, html, _ in links)
 
 
+# The seed of site t1 answers at another host, where all of its other pages are.
+_TREE_HOST = "CASE WHEN s = '1' AND k > 0 THEN 'www.g1.example' ELSE 'g' || s || '.example' END"
+_TREE_FINAL = "CASE WHEN s = '1' AND k = 0 THEN 'https://www.g1.example/0' END"
+
+
 def tree_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Four sites, each a tree over a quarter of the page ids, with links up and out of it."""
+    """Four sites, each a tree over a quarter of the pages: their real bodies, with links up and down the tree behind."""
     pages = table(spark, sf, "pages").select(
-        F.expr("CAST(page_id % 4 AS STRING)").alias("s"), F.expr("CAST(floor(page_id / 4) AS BIGINT)").alias("k")
+        F.expr("CAST(page_id % 4 AS STRING)").alias("s"), F.expr("CAST(floor(page_id / 4) AS BIGINT)").alias("k"), "html"
     )
     failed = F.col("k") % 11 == 5
     return pages.select(
         F.concat(F.lit("t"), F.col("s")).alias("site_id"),
-        F.expr("'https://g' || s || '.example/' || k").alias("url"),
-        F.lit(None).cast("string").alias("final_url"),
+        F.expr(f"'https://' || {_TREE_HOST} || '/' || k").alias("url"),
+        F.expr(_TREE_FINAL).alias("final_url"),
         F.when(~failed, F.when(F.col("k") % 13 == 6, 500).otherwise(200)).alias("status"),
         F.when(~failed, (F.col("k") * 37 % 101) + 0.5).cast("double").alias("elapsed_ms"),
         F.lit("text/html").alias("content_type"),
-        F.when(F.col("k") % 17 != 9, F.expr(_graph_text(_TREE_LINKS))).alias("text"),
+        F.when(F.col("k") % 17 != 9, F.concat(F.coalesce("html", F.lit("")), F.expr(_graph_text(_TREE_LINKS)))).alias("text"),
         F.when(failed, "refused").alias("fetch_error"),
     )
 
 
-TREE_SITES = [
-    ("t0", "https://g0.example/0", 30, 1_000_000),
-    ("t1", "HTTPS://G1.example:443/0#home", 30, 20),
-    ("t2", "https://g2.example/0", 30, 1_000_000),
-    ("t3", "https://g3.example/0", 3, 1_000_000),
-]
+def _rows(spark: SparkSession, sf: str, name: str) -> int:
+    return table(spark, sf, name).count()
 
 
-def tree_sites(spark: SparkSession) -> DataFrame:
+# Limits that never bind, from a count of the table: no page is deeper than there are pages, and none links to so many.
+PER_PAGE = 64
+
+
+def tree_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """t1 has a budget of 20 pages and t3 three levels; the other limits never bind."""
     from webledger.params import SITES
 
-    return spark.createDataFrame(TREE_SITES, SITES)
+    n = _rows(spark, sf, "pages")
+    rows = [
+        ("t0", "https://g0.example/0", n, PER_PAGE * n), ("t1", "HTTPS://G1.example:443/0#home", n, 20),
+        ("t2", "https://g2.example/0", n, PER_PAGE * n), ("t3", "https://g3.example/0", 3, PER_PAGE * n),
+    ]
+    return spark.createDataFrame(rows, SITES)
 
 
 def tree_robots(spark: SparkSession) -> DataFrame:
@@ -338,13 +475,11 @@ _ORDER_LINKS = [
     ("k % 6 = 0", "'<a href=\"https://pay.example/' || c || '\">'", "'https://pay.example/' || c"),
 ]
 
-ORDER_SITES = [("shop", "https://shop.example/0", 9, 1_000_000)]
-
-
-def order_sites(spark: SparkSession) -> DataFrame:
+def order_sites(spark: SparkSession, sf: str) -> DataFrame:
     from webledger.params import SITES
 
-    return spark.createDataFrame(ORDER_SITES, SITES)
+    n = _rows(spark, sf, "orders")
+    return spark.createDataFrame([("shop", "https://shop.example/0", n, PER_PAGE * n)], SITES)
 
 
 def _link_rows(links, root: str) -> str:
@@ -358,20 +493,29 @@ def _link_rows(links, root: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+# Links of the real bodies come first, those of the tree behind them.
 TREE_GRAPH_SQL = f"""
 graph AS (
-  SELECT 't' || (page_id % 4) AS site_id, CAST(page_id % 4 AS VARCHAR) AS s, page_id // 4 AS k,
-    'https://g' || (page_id % 4) || '.example/' || (page_id // 4) AS url FROM pages),
+  SELECT 't' || s AS site_id, s, k, html, 'https://' || {_TREE_HOST} || '/' || k AS url,
+    'https://' || CASE WHEN s = '1' THEN 'www.g1.example' ELSE 'g' || s || '.example' END AS root
+  FROM (SELECT CAST(page_id % 4 AS VARCHAR) AS s, page_id // 4 AS k, coalesce(html, '') AS html FROM pages)),
 node AS (
   SELECT site_id, url, CASE WHEN k % 11 = 5 THEN 'refused' END AS fetch_error,
     CASE WHEN k % 11 = 5 THEN NULL WHEN k % 13 = 6 THEN 500 ELSE 200 END AS status,
     CASE WHEN k % 11 = 5 THEN NULL ELSE CAST((k * 37 % 101) + 0.5 AS DOUBLE) END AS elapsed_ms,
     k % 11 <> 5 AND k % 17 <> 9 AS has_text FROM graph),
-link AS ({_link_rows(_TREE_LINKS, "'https://g' || s || '.example'")}),
-site AS (SELECT * FROM (VALUES
-  ('t0', 'https://g0.example/0', 'g0.example', 30, 1000000), ('t1', 'https://g1.example/0', 'g1.example', 30, 20),
-  ('t2', 'https://g2.example/0', 'g2.example', 30, 1000000), ('t3', 'https://g3.example/0', 'g3.example', 3, 1000000)
-) AS v(site_id, url, host, max_depth, max_pages))"""
+real AS (
+  SELECT site_id, url, root, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS n
+  FROM (SELECT site_id, url, root, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM graph)),
+link AS (
+  SELECT site_id, url AS page, n - 1000000 AS pos, root || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS target FROM real
+  UNION ALL {_link_rows(_TREE_LINKS, "root")}),
+landed AS (SELECT 't1' AS site_id, 'https://www.g1.example/0' AS url),
+site AS (SELECT site_id, url, host, coalesce(depth, n) AS max_depth, coalesce(pages, {PER_PAGE} * n) AS max_pages
+  FROM (SELECT count(*) AS n FROM pages), (VALUES
+    ('t0', 'https://g0.example/0', 'g0.example', NULL, NULL), ('t1', 'https://g1.example/0', 'www.g1.example', NULL, 20),
+    ('t2', 'https://g2.example/0', 'g2.example', NULL, NULL), ('t3', 'https://g3.example/0', 'g3.example', 3, NULL)
+  ) AS v(site_id, url, host, depth, pages))"""
 TREE_ALLOWED = "NOT (url LIKE 'https://g2.example/1%' AND url <> 'https://g2.example/12')"
 
 ORDER_GRAPH_SQL = f"""
@@ -381,8 +525,9 @@ node AS (
   SELECT site_id, url, {NONE} AS fetch_error, 200 AS status, CAST((k * 31 % 1009) + 0.25 AS DOUBLE) AS elapsed_ms, true AS has_text
   FROM graph),
 link AS ({_link_rows(_ORDER_LINKS, "'https://shop.example'")}),
-site AS (SELECT * FROM (VALUES ('shop', 'https://shop.example/0', 'shop.example', 9, 1000000))
-  AS v(site_id, url, host, max_depth, max_pages))"""
+landed AS (SELECT {NONE} AS site_id, {NONE} AS url WHERE false),
+site AS (SELECT 'shop' AS site_id, 'https://shop.example/0' AS url, 'shop.example' AS host, count(*) AS max_depth,
+  {PER_PAGE} * count(*) AS max_pages FROM orders)"""
 
 
 def crawl_sql(graph: str, allowed: str, levels: int) -> str:
@@ -399,7 +544,7 @@ def crawl_sql(graph: str, allowed: str, levels: int) -> str:
     start = "SELECT site_id, url, 0 AS depth, CAST(0 AS BIGINT) AS rank, host, max_depth, max_pages FROM site"
     ctes = [graph, f"v0 AS MATERIALIZED ({visited(start)})"]
     for d in range(1, levels + 1):
-        seen = " UNION ALL ".join(f"SELECT site_id, url FROM v{e}" for e in range(d))
+        seen = " UNION ALL ".join([f"SELECT site_id, url FROM v{e}" for e in range(d)] + ["SELECT site_id, url FROM landed"])
         ctes.append(f"""
 c{d} AS MATERIALIZED (
   SELECT v.site_id, v.rank, v.url AS page_url, l.pos, l.target, v.host, v.max_depth, v.max_pages

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from checkset import derived
 from webledger import params
+from webledger.functions import punycode
 from webledger.functions import urls as url_rules
 from webledger.operators import attempts as att
 from webledger.operators import checks, joins, pacing, robots, urls
@@ -64,6 +65,17 @@ def distinct_urls(spark, sf):
     return urls.dedupe_urls(derived.table(spark, sf, "pages"), pick="page_id", keep=("page_id",))
 
 
+@query
+def international_hosts(spark, sf):
+    """Every page URL at an internationalised host, in Unicode and in ASCII, small and capital: one canonical URL."""
+    canonical = urls.canonicalize(derived.international_pages(spark, sf))
+    shown = punycode.host_to_unicode(url_rules.host_of(F.col("url_norm")))
+    return canonical.groupBy("page_id").agg(
+        F.countDistinct("url").alias("forms"), F.countDistinct("url_norm").alias("canonical"),
+        F.min("url_norm").alias("url_norm"), F.min(shown).alias("shown"),
+    )
+
+
 @query
 def malformed_urls(spark, sf):
     pages = derived.table(spark, sf, "pages")
@@ -88,6 +100,21 @@ def page_links(spark, sf):
     return links.select("page_id", "source_url", "pos", "href_raw", "url", "text")
 
 
+@query
+def referenced_links(spark, sf):
+    """Links of pages whose hrefs and titles are written with character references of every kind."""
+    pages = derived.referenced_pages(spark, sf)
+    links = urls.extract_links(pages, keep=("page_id",))
+    return links.select("page_id", "pos", "url")
+
+
+@query
+def referenced_findings(spark, sf):
+    """Page checks on the same bodies: titles of references alone, and resources asked for by them."""
+    found = checks.page_findings(derived.referenced_pages(spark, sf), ("title", "mixed"))
+    return found.select("page_url", "message", "subject")
+
+
 @query
 def canonical_links(spark, sf):
     links = urls.canonicalize(urls.extract_links(_pages(spark, sf), keep=("page_id",)))
@@ -116,7 +143,7 @@ def crawlable_links(spark, sf):
 @query
 def same_host_links(spark, sf):
     pages = derived.tree_responses(spark, sf)
-    kept = urls.same_host(urls.extract_links(pages), derived.tree_sites(spark))
+    kept = urls.same_host(urls.extract_links(pages), derived.tree_sites(spark, sf))
     return kept.groupBy("page_url").agg(F.count(F.lit(1)).alias("links"))
 
 
@@ -191,15 +218,15 @@ def read_robots(spark, sf):
 
 @query
 def lookup(spark, sf):
-    """Every page asks for a URL, a third of them for the same one; every second is in the capture."""
+    """Every page asks for its URL, a third of them for that of page 0; of every page with an even id there is a capture."""
     pages, page = derived.table(spark, sf, "pages"), F.col("page_id")
-    asked = pages.select(
-        F.concat(F.lit("https://h.example/"), F.when(page % 3 == 0, 0).otherwise(page)).alias("url"), "page_id"
-    )
-    known = pages.select(
-        F.concat(F.lit("https://h.example/"), page * 2).alias("url"),
+    named = urls.canonicalize(pages, "url", "url")
+    home = named.where(page == 0).select(F.col("url").alias("home"))
+    asked = named.join(F.broadcast(home), F.lit(True), "left").select(F.when(page % 3 == 0, F.col("home")).otherwise(F.col("url")).alias("url"), "page_id")
+    known = named.where(page % 2 == 0).select(
+        "url",
         F.lit(None).cast("string").alias("final_url"),
-        F.when(page % 5 > 0, 200).alias("status"),
+        F.when(page % 5 > 0, F.length("html")).alias("status"),
         F.lit(None).cast("string").alias("content_type"),
         F.when(page % 5 == 0, "timeout").alias("fetch_error"),
     )
@@ -383,12 +410,12 @@ def redirect_findings(spark, sf):
 
 def crawl_trees(spark, sf) -> Crawl:
     return crawl(
-        derived.tree_sites(spark), derived.tree_responses(spark, sf), derived.tree_robots(spark)
+        derived.tree_sites(spark, sf), derived.tree_responses(spark, sf), derived.tree_robots(spark)
     )
 
 
 def crawl_orders(spark, sf) -> Crawl:
-    return crawl(derived.order_sites(spark), derived.order_responses(spark, sf))
+    return crawl(derived.order_sites(spark, sf), derived.order_responses(spark, sf))
 
 
 @query
@@ -411,7 +438,7 @@ def crawl_verdict_counts(spark, sf):
 @query
 def crawl_report(spark, sf):
     done = crawl_trees(spark, sf)
-    row = report.build_report(derived.tree_sites(spark), done.visits, done.verdict_counts)
+    row = report.build_report(derived.tree_sites(spark, sf), done.visits, done.verdict_counts)
     return row.select(
         "site_id", "pages_crawled", "links_found", F.to_json("status_counts").alias("status_counts"), "errors",
         "fetch_errors", "skipped_off_host", "skipped_robots", "skipped_non_http", "completed",
@@ -432,13 +459,23 @@ def order_verdict_counts(spark, sf):
 @query
 def audit_report(spark, sf):
     """The whole audit of the trees: crawl, page checks, broken links, counters."""
-    done = audit(derived.tree_sites(spark), derived.tree_responses(spark, sf), derived.tree_robots(spark))
+    done = audit(derived.tree_sites(spark, sf), derived.tree_responses(spark, sf), derived.tree_robots(spark))
     return done.report.select("site_id", "pages_crawled", "errors", "warnings", "completed", "gate")
 
 
+@query
+def audit_conflicts(spark, sf):
+    """An audit where every link target was captured twice: failed and 404, failed and 200, or 404 and 200."""
+    sites, captured = derived.conflicting_captures(spark, sf)
+    done = audit(sites, captured)
+    found = done.findings.where("severity = 'error'").groupBy("site_id").agg(F.count(F.lit(1)).alias("broken"))
+    shown = done.report.select("site_id", "pages_crawled", "errors", "gate")
+    return shown.join(found, "site_id", "left").withColumn("broken", F.coalesce("broken", F.lit(0)).cast("bigint"))
+
+
 @query
 def audit_summary(spark, sf):
-    done = audit(derived.tree_sites(spark), derived.tree_responses(spark, sf), derived.tree_robots(spark))
+    done = audit(derived.tree_sites(spark, sf), derived.tree_responses(spark, sf), derived.tree_robots(spark))
     shown = report.summary(done.crawl.visits, done.findings)
     return shown.groupBy("site_id", "section").agg(
         F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount")
@@ -448,7 +485,7 @@ def audit_summary(spark, sf):
 @query
 def audit_written(spark, sf):
     """The report of the trees, written and read back."""
-    done = audit(derived.tree_sites(spark), derived.tree_responses(spark, sf), derived.tree_robots(spark))
+    done = audit(derived.tree_sites(spark, sf), derived.tree_responses(spark, sf), derived.tree_robots(spark))
     path = f"{work_dir(spark)}/summary-{uuid.uuid4().hex}"
     captures.write_summary(done.report, path)
     return spark.read.parquet(path).select("site_id", "pages_crawled", "errors", "warnings", "completed", "gate")
@@ -456,7 +493,7 @@ def audit_written(spark, sf):
 
 @query
 def audit_jsonl(spark, sf):
-    done = audit(derived.tree_sites(spark), derived.tree_responses(spark, sf), derived.tree_robots(spark))
+    done = audit(derived.tree_sites(spark, sf), derived.tree_responses(spark, sf), derived.tree_robots(spark))
     path = f"{work_dir(spark)}/jsonl-{uuid.uuid4().hex}"
     captures.write_report_jsonl(done.crawl.visits, done.findings, path)
     schema = (
@@ -534,7 +571,8 @@ def stream_dedupe(spark, sf):
 
 @query
 def stream_counts(spark, sf):
-    kinds = _page_stream(spark, sf).select((F.col("page_id") % 3 * 100 + 200).cast("int").alias("status"))
+    size = F.length("html") + F.length("url")
+    kinds = _page_stream(spark, sf).select((size % 3 * 100 + 200).cast("int").alias("status"))
     return _to_memory(spark, jobs.stream_counts(kinds, "status_class"), "complete")
 
 
@@ -558,13 +596,12 @@ def stream_pace_batches(spark, sf):
     """The events in eight files by time, a batch each: what earlier batches booked holds later ones back."""
     asked = derived.requests(spark, sf)
     low, high = asked.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
-    part = F.floor((F.col("arrival_ms") - low) * 8 / (high - low + 1))
-    parted = store(asked.withColumn("part", part.cast("int")), "requests")
+    part = F.floor((F.col("arrival_ms") - low) * 8 / (high - low + 1)).cast("int")
     folder = _folder(spark, "requests")
-    for i in range(8):  # the stream takes files by their time of writing
-        parted.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(folder)
-    arriving = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = _folder(spark, "stream-pace")
-    jobs.stream_pace(arriving, derived.RATE, out, _folder(spark, "stream-progress")).awaitTermination()
+    asked.withColumn("part", part).write.partitionBy("part").parquet(folder)
+    out, progress = _folder(spark, "stream-pace"), _folder(spark, "stream-progress")
+    for i in range(8):  # an eighth arrives, the stream is started again and goes on where it was
+        arriving = spark.readStream.schema(asked.schema).parquet(f"{folder}/part=[0-{i}]")
+        jobs.stream_pace(arriving, derived.RATE, out, progress).awaitTermination()
     granted = spark.read.schema("request_id bigint, host string, arrival_ms bigint, slot_ms bigint").parquet(out)
     return granted.select("request_id", "host", "arrival_ms", "slot_ms")
