@@ -7,7 +7,8 @@ head, whose ``Content-Length`` and the payload digest still describe the full pa
 back, the three kinds are brought together by their concurrent-to identifier in one grouping,
 one nested row per capture.
 
-Only digests that occur twice are joined back to the pages; that table is written first, so Spark
+The numbered pages are written first: a shuffled or randomly ordered input would be numbered otherwise the next time
+it is read. Only digests that occur twice are joined back to the pages; that table is written first, so Spark
 knows its size and picks the join (a hot digest is split by the adaptive skew join).
 
 Defined cases: a null html is an empty payload, and empty payloads are equal ones; null page_ids come
@@ -81,7 +82,8 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES, file_bytes: int
     folder, run = new_folder(spark, "warc"), uuid.uuid4().hex
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.unhex(F.sha1("payload")))
+    # numbers of rows hold for one run of a plan only, so numbered rows are written before they are used twice
+    rows = store(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.unhex(F.sha1("payload"))), "pages")
     whole = F.length("payload") >= min_bytes
     pick = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row")
     twice = rows.where(whole).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(pick).alias("first"))
