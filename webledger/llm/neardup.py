@@ -2,9 +2,10 @@
 
 1. Every text becomes a set of word shingles, and a signature of ``COORDINATES`` minima. Texts with
    equal sets are one class from here on; a class is one node.
-2. A signature is posted under its (coordinate, value) pairs. Two sets of similarity 0.8 agree in
-   fewer than ``MATCHES`` coordinates with a chance of about one in a million. Pairs that agree in
-   at least that many share a key among the first COORDINATES - MATCHES + 1 keys of each, in any
+2. A signature is posted under its (coordinate, value) pairs. The number of coordinates that a pair must agree
+   in follows from the similarity asked for (:func:`matches_for`; 34 of 64 at 0.8): two sets just alike enough agree in
+   fewer with a chance under ``MISS``. Pairs that agree in
+   at least m share a key among the first COORDINATES - m + 1 keys of each, in any
    common order; rarest keys first, this prefix leaves out what many texts have in common, and
    keys that one node alone has are dropped before anything is paired. Sets of very different size
    cannot be linked: a list is split into classes of size, each a quarter larger than the one before (at 0.8),
@@ -25,7 +26,8 @@ blocks.
 Defined cases: null texts and texts without words have an empty set, link to nothing and stay; of
 fewer words than a shingle, the whole sequence is one; a row without a doc_id takes part, names no
 component, and is kept only where its component has no document with one; rows that repeat a doc_id
-are judged by their own texts; an empty table gives an empty result.
+are judged by their own texts; ties between rows of one class go to the smallest doc_id; very long texts are
+hashed whole; only doc_id and text are read, so other columns cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,9 @@ from pyspark.sql import functions as F
 from webledger.llm.common import claim, in_pieces, texts
 from webledger.scale import store
 
-COORDINATES, MATCHES = 64, 34
+COORDINATES = 64
+# The chance, at most, that two sets just alike enough agree in fewer coordinates than are asked for.
+MISS = 1e-6
 # The numbers of nodes end in their class of size, in so many bits.
 _SIZE_BITS = 6
 # Bits of the filter that keeps texts nobody asks for out of a join: 2 MB at any size of the corpus.
@@ -52,6 +57,20 @@ _FILTER_BITS = 24
 LIST_BLOCK = 512
 _WORDS = 100_000
 
+
+
+def matches_for(num: int, den: int) -> int:
+    """Coordinates that two sets of similarity ``num / den`` must agree in: as many as keeps the chance under ``MISS``."""
+    alike, chance = num / den, 0.0
+    for k in range(COORDINATES + 1):
+        chance += comb(COORDINATES, k) * alike**k * (1 - alike) ** (COORDINATES - k)
+        if chance > MISS:
+            if not k:
+                raise ValueError(f"{COORDINATES} coordinates are too few for a similarity of {num}/{den}")
+            return k
+    return COORDINATES
+
+
 _A = np.array([int.from_bytes(hashlib.sha256(f"a{i}".encode()).digest()[:8], "big") | 1 for i in range(COORDINATES)], np.uint64)
 _B = np.array([int.from_bytes(hashlib.sha256(f"b{i}".encode()).digest()[:8], "big") for i in range(COORDINATES)], np.uint64)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -112,11 +131,12 @@ def _signed(size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("body_key"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_class(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "class", "signature"],
+                names=["doc_id", "body_key", "n_shingles", "class", "signature"],
             )
 
     return run
@@ -238,14 +258,17 @@ def _pairs_confirmed(size: int, num: int, den: int):
     return run
 
 
-def _colliding(batches):
-    for batch in in_pieces(batches, 2000):
-        a, b = batch.column("ga").to_pylist(), batch.column("gb").to_pylist()
-        keep = [agreeing(x, y) >= MATCHES for x, y in zip(a, b, strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _colliding(matches: int):
+    def run(batches):
+        for batch in in_pieces(batches, 2000):
+            a, b = batch.column("ga").to_pylist(), batch.column("gb").to_pylist()
+            keep = [agreeing(x, y) >= matches for x, y in zip(a, b, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
-def _list_links(size: int, num: int, den: int):
+def _list_links(size: int, num: int, den: int, matches: int):
     """Links between components inside one block (or across two blocks) of nodes that share keys."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -272,7 +295,7 @@ def _list_links(size: int, num: int, den: int):
             others = second[at + 1 :] if left == right else second
             fits = den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i])
             others = others[fits]
-            for j in others[(sig[others] == sig[i]).sum(1) >= MATCHES]:
+            for j in others[(sig[others] == sig[i]).sum(1) >= matches]:
                 x, y = find(label[i]), find(label[j])
                 if x != y and linked(shingles(i), shingles(j), num, den):
                     top[y] = x
@@ -286,9 +309,24 @@ def near_duplicates(
     docs: DataFrame, shingle_words: int = 5, num: int = 80, den: int = 100, list_block: int = LIST_BLOCK
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
+    signed, named = _named(docs, shingle_words, num, den, list_block)
+    lowest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
+    named = named.join(lowest, "label").select("class", "component_id")
+    alone = signed.where("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rest = signed.where("class IS NOT NULL").select("doc_id", "n_shingles", "class").join(named, "class", "left").drop("class")
+    return alone.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _named(docs: DataFrame, shingle_words: int, num: int, den: int, list_block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, body_key, n_shingles, class, signature) of every row, and (class, doc, label) of every class.
+
+    ``body_key`` is a hash of the text, ``doc`` the smallest doc_id of a class, ``label`` its component.
+    """
+    matches = matches_for(num, den)
     rows = texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = rows.mapInArrow(_signed(shingle_words), f"doc_id {kind}, n_shingles bigint, class binary, signature binary")
+    source = rows.withColumn("body_key", F.xxhash64("text"))
+    signed = source.mapInArrow(_signed(shingle_words), f"doc_id {kind}, body_key bigint, n_shingles bigint, class binary, signature binary")
     signed = store(signed, "signed")
     nodes = signed.where("class IS NOT NULL").groupBy("class").agg(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
@@ -305,7 +343,7 @@ def near_duplicates(
     shared = posted.join(often, "key").groupBy("node").agg(
         F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"), F.sum("n").alias("central")
     )
-    room = F.lit(1 - MATCHES) + F.size("keys")
+    room = F.lit(1 - matches) + F.size("keys")
     shared = shared.where(room > 0).select("node", "central", F.slice("keys", F.lit(1), room).alias("keys"))
     lists = store(shared.select("node", "central", F.explode("keys.key").alias("key")), "lists")
     grade = F.col("node").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1).cast("bigint"))
@@ -331,7 +369,7 @@ def near_duplicates(
     def linked_within(placed: DataFrame) -> DataFrame:
         """Links among rows (head, node, label, block, left, right)."""
         full = placed.join(nodes.select("node", "n", "signature"), "node").join(bodies, "node")
-        return full.groupBy("head", "left", "right").applyInArrow(_list_links(shingle_words, num, den), "a bigint, b bigint")
+        return full.groupBy("head", "left", "right").applyInArrow(_list_links(shingle_words, num, den, matches), "a bigint, b bigint")
 
     zero = F.lit(0)
     small = members.join(sizes.where(F.col("members") <= list_block), "head").select(
@@ -340,20 +378,14 @@ def near_duplicates(
     links = store(linked_within(small), "links")
     large = members.join(sizes.where(F.col("members") > list_block), "head")
     if not large.isEmpty():
-        links = links.unionByName(_links_of_large(large.select("head", "node"), nodes, bodies, linked_within, shingle_words, num, den, list_block))
+        links = links.unionByName(_links_of_large(large.select("head", "node"), nodes, bodies, linked_within, shingle_words, num, den, matches, list_block))
     final = store(components(links), "labels")
-
-    # components named by their smallest document
     named = nodes.select("node", "class", "doc").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    named = named.join(lowest, "label").select("class", "component_id")
-    alone = signed.where("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    rest = signed.where("class IS NOT NULL").select("doc_id", "n_shingles", "class").join(named, "class", "left").drop("class")
-    return alone.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return signed, named.select("class", "doc", "label")
 
 
 def _links_of_large(
-    large: DataFrame, nodes: DataFrame, bodies: DataFrame, linked_within, size: int, num: int, den: int, list_block: int
+    large: DataFrame, nodes: DataFrame, bodies: DataFrame, linked_within, size: int, num: int, den: int, matches: int, list_block: int
 ) -> DataFrame:
     """Links that connect the nodes of large tables (head, node) as far as they are connected."""
     large = store(large, "large")
@@ -362,7 +394,7 @@ def _links_of_large(
     pairs = large.join(second, "head").select("node", F.explode(F.array_distinct(F.array("head", "q"))).alias("p")).where("node <> p")
     pairs = pairs.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
     slim = nodes.select("node", "signature")
-    pairs = pairs.join(slim.toDF("a", "ga"), "a").join(slim.toDF("b", "gb"), "b").mapInArrow(_colliding, "a bigint, b bigint")
+    pairs = pairs.join(slim.toDF("a", "ga"), "a").join(slim.toDF("b", "gb"), "b").mapInArrow(_colliding(matches), "a bigint, b bigint")
     pairs = store(pairs, "pairs").join(bodies.toDF("a", "sa"), "a").join(bodies.toDF("b", "sb"), "b")
     stars = store(pairs.mapInArrow(_pairs_confirmed(size, num, den), "a bigint, b bigint"), "stars")
     labels = store(components(stars), "labels")
@@ -385,6 +417,30 @@ def _links_of_large(
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """One document of each component stays, with all its columns; rows without a doc_id stay too."""
-    gone = near_duplicates(docs, shingle_words).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component stays, with all its columns: the one with the smallest doc_id (nulls last).
+
+    Rows are told apart by doc_id and text, so rows that share a doc_id but not a text are judged each for themselves; of
+    rows that share both, one stays. Rows without words are linked with nothing and stay.
+    """
+    signed, named = _named(docs, shingle_words, 80, 100, LIST_BLOCK)
+    rows = signed.where("class IS NOT NULL").select("doc_id", "body_key", "class").join(named.select("class", "label"), "class")
+    rows = rows.groupBy("label", "doc_id", "body_key").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body_key")
+    first = rows.groupBy("label").agg(F.min(order).alias("f"))
+    judged = rows.join(first, "label").withColumn("first", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("body_key") == F.col("f.body_key")))
+    judged = store(judged.where("NOT first OR n > 1").select("doc_id", "body_key", "first"), "judged")
+    keyed = docs.withColumn(_KEY, F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+    def among(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        other = right.select(F.col("doc_id").alias("_other"), F.col("body_key").alias("_other_key"))
+        return left.join(other, F.col("doc_id").eqNullSafe(F.col("_other")) & (F.col(_KEY) == F.col("_other_key")), how)
+
+    kept = among(keyed, judged.where("NOT first"), "left_anti")
+    twice = judged.where("first")
+    if not twice.isEmpty():
+        again = among(kept, twice, "left_semi").dropDuplicates(["doc_id", _KEY])
+        kept = among(kept, twice, "left_anti").unionByName(again)
+    return kept.select(docs.columns)
+
+
+_KEY = "_neardup_body_key"
