@@ -25,8 +25,12 @@ def labelled_ids(labels: DataFrame, label: str, training: Column, rows: int = SA
 
 
 def training_matrix(features: DataFrame, picked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows and labels of the picked documents, as arrays on the driver."""
-    sample = features.join(F.broadcast(picked), "doc_id").select("features", "label").toArrow()
+    """Feature rows and labels of the picked documents, as arrays on the driver: one row for each id.
+
+    Of several rows with one doc_id, that with the least figures counts.
+    """
+    known = features.join(F.broadcast(picked), "doc_id").groupBy("doc_id")
+    sample = known.agg(F.min("features").alias("features"), F.first("label").alias("label")).select("features", "label").toArrow()
     y = sample.column("label").to_numpy().astype(float)
     if not len(y):
         return np.empty((0, 0)), y
