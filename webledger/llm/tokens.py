@@ -12,10 +12,11 @@ name; only files in the manifest count.
 
 Words repeat, so each Python worker encodes a piece of text once and keeps its ids in a table of at
 most ``KNOWN`` pieces. Pieces end at white space if the tokenizer drops it and never looks across;
-for one that also lower-cases and parts words from marks, pieces that are all ASCII are lowered and a
-full stop or comma after a word is a piece of its own. Pieces with other characters stay as written: a
+for one that also lower-cases and parts words from marks, ASCII letters are lowered and a
+full stop or comma after a word is a piece of its own. In texts with marks that compose with ASCII letters, only
+pieces that are all ASCII are lowered: a
 tokenizer composes characters before it lower-cases, and a capital with a combining mark need not have
-a composed form where the small letter has one. So do texts that hold the name of an added token, in
+a composed form where the small letter has one. Unchanged stay texts that hold the name of an added token, in
 any case. Which of this holds is asked of the tokenizer itself; one that does neither encodes whole
 texts.
 
@@ -34,6 +35,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +80,8 @@ def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
     return out.reshape(-1)[:count]
 
 
+# The first byte of every mark that composes with an ASCII letter (U+0300 to U+0338).
+_MARK = b"\xcc"
 _STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[\x20\x09-\x0D])")
 
 
@@ -108,7 +112,7 @@ class Encoder:
         low = body.lower()
         if any(name in low for name in self.names):
             return body.split()
-        if body.isascii():
+        if _MARK not in body:
             return _STOP.sub(rb" \1", low).split()
         return [p.lower() if p.isascii() else p for p in _STOP.sub(rb" \1", body).split()]
 
@@ -216,10 +220,16 @@ class TokenFile:
 
 
 def file_order(docs: DataFrame) -> list[Column] | None:
-    """Columns by which rows stand in the Parquet files behind ``docs``; None if there are no files."""
-    if not docs.inputFiles():
+    """Columns by which rows stand in the Parquet files behind ``docs``; None if there are no files.
+
+    Spark numbers the files that it writes; the number has five digits or more, so it is taken as one.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
         return None
-    return [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("bigint"), name, F.col("_metadata.row_index")]
 
 
 _MANIFEST = "part int, path string, n_ids bigint, n_docs bigint"
