@@ -131,3 +131,11 @@ def test_toxicity_awkward_rows(spark):
     one = toxicity.score_toxicity(awkward(spark), labels(spark, [(i, 1, 0) for i in range(9)])).collect()
     assert len(one) == 11 and not any(r.predicted for r in one)
     assert toxicity.score_toxicity(docs(spark, []), labels(spark, [(1, 1, 0)])).count() == 0
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    rows = [(i % 5, prose(i, 20)) for i in range(200)]
+    features = quality.measure(docs(spark, rows))
+    picked = learn.labelled_ids(labels(spark, [(i, i % 2, 0) for i in range(5)]), "quality", learn.F.lit(True), 2)
+    x, y = learn.training_matrix(features, picked)
+    assert x.shape[0] == y.shape[0] == 2

@@ -74,7 +74,7 @@ def test_awkward_rows(spark):
     assert by[7].component_id == 1 and not by[7].kept and by[1].kept
     assert by[2].component_id == 2 and by[2].n_shingles == 0 and by[3].kept and by[6].kept
     kept = neardup.drop_near_duplicates(df)
-    assert kept.columns == df.columns and kept.count() == 10
+    assert kept.columns == df.columns and kept.count() == 9
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
     nameless = neardup.near_duplicates(docs(spark, [(None, prose(1, 50)), (None, prose(1, 50) + " more"), (9, prose(1, 50))])).collect()
     assert sorted((str(r.doc_id), r.component_id, r.kept) for r in nameless) == [("9", 9, True), ("None", 9, False), ("None", 9, False)]
@@ -97,3 +97,56 @@ def test_signatures_estimate_similarity():
     got = neardup.agreeing(neardup.signature(a).tobytes(), neardup.signature(b).tobytes()) / neardup.COORDINATES
     assert abs(got - alike) < 0.2
     assert neardup.linked(a, a, 80, 100) and not neardup.linked(a, a[: len(a) // 2], 80, 100)
+
+
+def kept_by_brute_force(rows, size):
+    """Of each component the row with the smallest (doc_id, hash of the text); rows without words all stay."""
+    sets = [plain_set(t, size) for _, t in rows]
+    top = list(range(len(rows)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, j in combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            top[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        key = (doc_id is None, doc_id or 0)
+        least[find(i)] = min(least.get(find(i), key), key)
+    wordless = sorted((str(d), t) for (d, t), x in zip(rows, sets, strict=True) if not x)
+    return wordless, sorted(least[r] for r in {find(i) for i in range(len(rows)) if sets[i]}), [find(i) for i in range(len(rows))]
+
+
+def test_no_text_is_lost_and_no_copy_stays(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    kept = lambda rows: sorted((str(r.doc_id), r.text) for r in neardup.drop_near_duplicates(docs(spark, rows)).collect())
+    assert kept([(5, a), (5, b), (3, b), (7, a)]) == [("3", b), ("5", a)]
+    assert kept([(5, a)] * 3) == [("5", a)]
+    assert kept([(None, a), (None, a + " more"), (9, a)]) == [("9", a)]
+    assert len(kept([(None, a), (None, a)])) == 1
+    assert kept([(1, ""), (1, ""), (2, None)]) == [("1", ""), ("1", ""), ("2", None)]
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(90)]), text) for _, text in corpus(11) for _ in range(rng.choice([1, 1, 2]))]
+    wordless, least, _ = kept_by_brute_force(rows, 5)
+    left = neardup.drop_near_duplicates(docs(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left if not plain_set(r.text, 5)) == wordless
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left if plain_set(r.text, 5)) == least
+
+
+def test_matches_follow_the_similarity(spark):
+    assert neardup.matches_for(80, 100) == 34
+    asked = [neardup.matches_for(n, 100) for n in (50, 60, 70, 80, 90, 99)]
+    assert asked == sorted(asked) and asked[0] < 20 and neardup.matches_for(1, 1) == neardup.COORDINATES
+    with pytest.raises(ValueError):
+        neardup.matches_for(10, 100)
+    rng = random.Random(8)
+    base = prose(5, 120, 5000).split()
+    rows = [(i, " ".join(changed(rng, base, 0.11))) for i in range(40)]
+    sets = [plain_set(t, 2) for _, t in rows]
+    got = neardup.near_duplicates(docs(spark, rows), shingle_words=2, num=55).collect()
+    linked = [(i, j) for i, j in combinations(range(40), 2) if 100 * len(sets[i] & sets[j]) >= 55 * len(sets[i] | sets[j])]
+    component = {r.doc_id: r.component_id for r in got}
+    assert len(linked) > 20 and all(component[i] == component[j] for i, j in linked)

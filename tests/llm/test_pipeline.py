@@ -73,3 +73,16 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_file_numbers_order_as_numbers(spark, tmp_path):
+    from webledger.llm import tokens
+
+    for number, doc_id in (("99999", 1), ("100000", 2), ("100001", 3)):
+        docs(spark, [(doc_id, f"text {doc_id}")]).coalesce(1).write.parquet(str(tmp_path / number))
+        (part,) = (tmp_path / number).glob("part-*.parquet")
+        (tmp_path / "all").mkdir(exist_ok=True)
+        (tmp_path / "all" / f"part-{number}-x.parquet").write_bytes(part.read_bytes())
+    read = spark.read.parquet(str(tmp_path / "all"))
+    assert [r.doc_id for r in read.orderBy(*tokens.file_order(read)).select("doc_id").collect()] == [1, 2, 3]
+    assert tokens.file_order(docs(spark, [(1, "x")])) is None

@@ -53,3 +53,16 @@ def test_empty_and_orphans(spark):
     records = warc.read_records(warc.write_archives(pages(spark, ROWS[:1])))
     lone = warc.assemble(records.where("kind = 'request'")).collect()
     assert len(lone) == 1 and lone[0].response is None and lone[0].request is not None
+
+
+def test_pages_from_a_shuffle_or_in_random_order(spark):
+    from pyspark.sql import functions as F
+
+    base = spark.range(400).select(
+        F.col("id").alias("page_id"), F.concat(F.lit("https://e.com/"), "id").alias("url"), F.concat(F.lit("<p>"), F.col("id") % 40).alias("html")
+    )
+    for pages in (base.repartition(7), base.orderBy(F.rand()), base.repartition(5).join(base.select("page_id").repartition(3), "page_id")):
+        rows = warc.with_referred(warc.assemble(warc.read_records(warc.write_archives(pages)))).collect()
+        assert len(rows) == 400
+        for r in rows:
+            assert (r.record_type, r.refers_to) == (("response", None) if r.page_id < 40 else ("revisit", r.page_id % 40))
