@@ -308,6 +308,28 @@ def robots(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# --- many rules of one host, from pages -------------------------------------------------------
+
+_ALL_PATHS = "CASE WHEN p LIKE '/%' THEN p ELSE '/' || p END"
+_RULE_PATTERN = "CASE WHEN page_id % 7 = 0 THEN '/*' || right(path, 4) || '$' ELSE left(path, CAST(3 + page_id % 12 AS INT)) END"
+
+MANY_RULES_SQL = f"""
+paths AS (SELECT page_id, {_ALL_PATHS} AS path FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) AS p FROM pages)),
+rules AS (SELECT page_id, page_id % 3 = 0 AS allow, {_RULE_PATTERN} AS pattern, path FROM paths)"""
+
+
+def one_host_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """(page_id, path, url): the paths of all pages, at one host."""
+    path = F.regexp_extract("url", "^https?://[^/?#]*([^#]*)", 1)
+    pages = table(spark, sf, "pages").select("page_id", path.alias("p")).selectExpr("page_id", f"{_ALL_PATHS} AS path")
+    return pages.withColumn("url", F.concat(F.lit("https://one.example"), F.col("path")))
+
+
+def many_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """(host, allow, pattern): a rule of that host for every page."""
+    return one_host_urls(spark, sf).selectExpr("'one.example' AS host", "page_id % 3 = 0 AS allow", f"{_RULE_PATTERN} AS pattern")
+
+
 # --- attempts and requests from events --------------------------------------------------------
 
 ATTEMPTS_SQL = """

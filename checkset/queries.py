@@ -304,6 +304,15 @@ def robots_matches(spark, sf):
     return matched.select("page_id", F.size("matched").alias("matches"))
 
 
+@query
+def robots_rule_rows(spark, sf):
+    """All pages at one host that has a rule for every page: rules found by their prefix."""
+    asked = derived.one_host_urls(spark, sf)
+    found = robots.match_rule_rows(asked, robots.rule_rows(derived.many_rules(spark, sf)))
+    joined = asked.join(found, "url", "left")
+    return joined.select("page_id", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("allow", F.lit(True)).alias("allowed"))
+
+
 @query
 def robots_allowed(spark, sf):
     asked = derived.table(spark, sf, "pages").select("page_id", "url")

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from webledger.operators import robots
@@ -72,3 +75,45 @@ def test_rules_as_a_table(spark):
     assert rows == [("*", False, "/y", 2), ("*", True, "/x", 2), ("a", False, "/y", 2), ("a", True, "/x", 2), ("c", False, "/", 1)]
     assert {r.agent for r in robots.select_group(rules, "c").collect()} == {"c"}
     assert {r.agent for r in robots.select_group(rules, "zzz").collect()} == {"*"}
+
+
+def plain_fit(pattern, target):
+    """Rules of RFC 9309, one pattern and one path."""
+    anchored = pattern.endswith("$")
+    pieces = (pattern[:-1] if anchored else pattern).split("*")
+    return re.match("".join([".*".join(map(re.escape, pieces)), "$" if anchored else ""]), target, re.DOTALL) is not None
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 50])
+def test_thousands_of_rules_on_one_host(spark, hot_rows):
+    rng = random.Random(6)
+
+    def path():
+        return "/" + "/".join(rng.choice(["a", "b", "item", "x1", "new"]) for _ in range(rng.randrange(1, 5)))
+
+    rules = [(rng.random() < 0.4, path()[: rng.randrange(1, 14)]) for _ in range(4990)]
+    rules += [(True, "/*/item$"), (False, "/a*b"), (False, "/*"), (True, "/x1/*/new"), (False, "/b/item?q=*$"), (True, "/b/item?q="),
+              (False, "/new/new/new$"), (True, "/item/*$"), (False, "/*a$"), (True, "/x1")]
+    paths = sorted({path() for _ in range(150)} | {"/b/item?q=1", "/zzz", "/", "/x1/a/b/new/a"})
+    text = "User-agent: *\n" + "\n".join(f"{'Allow' if allow else 'Disallow'}: {p}" for allow, p in rules)
+
+    def decided(target):
+        fitting = [(len(p), allow) for allow, p in rules if plain_fit(p, target)]
+        return max(fitting)[1] if fitting else True
+
+    assert allowed(spark, text, on(*paths), hot_rows=hot_rows) == [decided(p) for p in paths]
+    table = spark.createDataFrame([("example.com", *r) for r in rules], "host string, allow boolean, pattern string")
+    asked = spark.createDataFrame([(u,) for u in on(*paths)], "url string")
+    got = {r.url: r.matches for r in robots.match_rule_rows(asked, robots.rule_rows(table)).collect()}
+    assert [got.get(u, 0) for u in on(*paths)] == [sum(plain_fit(p, t) for _, p in rules) for t in paths]
+
+
+def test_few_rules_stay_packed_beside_many(spark):
+    many = "User-agent: *\n" + "\n".join(f"Disallow: /{i}/" for i in range(robots.PACKED_RULES + 1))
+    captured = spark.createDataFrame([("many.test", 200, many, None), ("few.test", 200, "User-agent: *\nDisallow: /7", None),
+                                      ("down.test", 503, None, None)], ROBOTS_CAPTURES)
+    urls = ["https://many.test/7/x", "https://many.test/7", "https://few.test/7/x", "https://few.test/8", "https://down.test/", "https://none.test/7"]
+    asked = spark.createDataFrame([(u,) for u in urls], "url string")
+    by_url = {r.url: r.allowed for r in robots.robots_allows(asked, captured).collect()}
+    assert [by_url[u] for u in urls] == [False, True, False, True, False, True]
+    assert robots.wide_rules(robots.robots_hosts(captured)).select("host").distinct().count() == 1

@@ -1,7 +1,9 @@
 """robots.txt as tables: host states, rule groups, and permission per URL.
 
 A robots file is one row, so all of its lines are handled inside that row with array functions.
-Rules stay packed per host: asking about a URL costs one join on its host and no row per rule.
+Rules of a host with few of them stay packed: asking about a URL costs one join on its host and no row per rule. Many rules
+are rows, found by their literal prefix: a URL is posted under those of its own prefixes that are as long as some rule's
+at its host, and joined to the rules that begin so. Only those are tried, so the work grows with the rules that may fit.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 from webledger import params
 from webledger.functions import urls as url_rules
 from webledger.operators.joins import pick
-from webledger.scale import HOT_ROWS, join_to_one
+from webledger.scale import HOT_ROWS, join_to_one, store
 
+# A host with more rules than this has them as rows; they do not travel with its URLs.
+PACKED_RULES = 100
 _RULE = "struct<allow:boolean,pattern:string,prefix:string,regex:string,pattern_len:int>"
 
 
@@ -53,12 +57,15 @@ def _pattern_regex(pattern: Column) -> Column:
 
 
 def _packed_rule(line: Column) -> Column:
-    written = F.substring(line, F.lit(3), F.length(line))
+    return _rule(F.substring(line, F.lit(3), F.length(line)), line.startswith("+"))
+
+
+def _rule(written: Column, allow: Column) -> Column:
     beyond_ascii = written.rlike(r"[^\x00-\x7F]")
     escaped = F.replace(url_rules.escaped_path(written), F.lit("%3F"), F.lit("?"))
     pattern = F.when(beyond_ascii, escaped).otherwise(written)
     return F.struct(
-        line.startswith("+").alias("allow"),
+        allow.alias("allow"),
         pattern.alias("pattern"),
         F.regexp_extract(pattern, r"^([^*$]*)", 1).alias("prefix"),
         _pattern_regex(pattern).alias("regex"),
@@ -172,12 +179,52 @@ def match_rules(urls: DataFrame) -> DataFrame:
     return target.withColumn("matched", _fitting()).drop("_target")
 
 
+def rule_rows(rules: DataFrame) -> DataFrame:
+    """Rules (host, allow, pattern) with what is needed to match them."""
+    return rules.select("host", _rule(F.col("pattern"), F.col("allow")).alias("_r")).select("host", "_r.*")
+
+
+def match_rule_rows(urls: DataFrame, rules: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(url, matches, allow) of every distinct URL that some rule fits: how many do, and what the decisive one says.
+
+    ``rules`` has a row per rule (see :func:`rule_rows`). No URL meets a rule that does not begin like it.
+    """
+    asked = urls.select("url").where(F.col("url").isNotNull()).distinct()
+    named = asked.select("url", url_rules.host_of(F.col("url")).alias("host"), url_rules.path_and_query(F.col("url")).alias("_target"))
+    # at most as many lengths as the longest prefix has characters, however many rules there are
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    placed = join_to_one(named, lengths, ["host"], ["url"], how="inner", hot_rows=hot_rows)
+    size = F.length("_target")
+    posted = placed.select("url", "host", "_target", F.explode(F.filter("_lengths", lambda n: n <= size)).alias("_n"))
+    posted = posted.select("url", "host", "_target", F.substring(F.col("_target"), F.lit(1), F.col("_n")).alias("prefix"))
+    rule = F.struct("allow", "pattern", "regex", "pattern_len")
+    begun = rules.groupBy("host", "prefix").agg(F.collect_list(rule).alias("_rules"))
+    met = join_to_one(posted, begun, ["host", "prefix"], ["url"], how="inner", hot_rows=hot_rows)
+    fits = F.filter("_rules", lambda r: (r["pattern"] == F.col("prefix")) | F.rlike(F.col("_target"), r["regex"]))
+    fitting = met.select("url", F.inline(fits))
+    best = F.max(F.struct("pattern_len", "allow"))["allow"]
+    return fitting.groupBy("url").agg(F.count(F.lit(1)).alias("matches"), best.alias("allow"))
+
+
+def wide_rules(hosts: DataFrame) -> DataFrame | None:
+    """The rules of hosts with more than ``PACKED_RULES`` as a stored table of rows; None if there is no such host."""
+    rows = store(hosts.where(F.size("rules") > PACKED_RULES).select("host", F.inline("rules")), "rules")
+    return None if rows.isEmpty() else rows
+
+
 def permitted(
-    urls: DataFrame, hosts: DataFrame, hot: DataFrame | bool | None = None, hot_rows: int = HOT_ROWS
+    urls: DataFrame, hosts: DataFrame, hot: DataFrame | bool | None = None, hot_rows: int = HOT_ROWS, wide: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``allowed`` to URLs, given the packed table of :func:`robots_hosts`."""
-    joined = match_rules(join_host_state(urls, hosts, hot, hot_rows))
-    return joined.withColumn("allowed", _verdict()).drop("host", "state", "rules", "matched")
+    """Add ``allowed`` to URLs, given the packed table of :func:`robots_hosts` and what :func:`wide_rules` says of it."""
+    if wide is None:
+        joined = match_rules(join_host_state(urls, hosts, hot, hot_rows))
+        return joined.withColumn("allowed", _verdict()).drop("host", "state", "rules", "matched")
+    packed = hosts.withColumn("rules", F.when(F.size("rules") > PACKED_RULES, F.array().cast(f"array<{_RULE}>")).otherwise(F.col("rules")))
+    joined = match_rules(join_host_state(urls, packed, hot, hot_rows))
+    by_rows = match_rule_rows(urls, wide, hot_rows).select("url", F.col("allow").alias("_by_rows"))
+    joined = join_to_one(joined, by_rows, ["url"], ["host"], hot_rows=hot_rows)
+    verdict = F.when(F.col("state") == "rules", F.coalesce("_by_rows", _verdict())).otherwise(_verdict())
+    return joined.withColumn("allowed", verdict).drop("host", "state", "rules", "matched", "_by_rows")
 
 
 @cache
@@ -194,4 +241,5 @@ def robots_allows(
 
     A host without a robots capture answers like one without a robots file.
     """
-    return permitted(urls, robots_hosts(robots, agent), hot_rows=hot_rows)
+    hosts = robots_hosts(robots, agent)
+    return permitted(urls, hosts, hot_rows=hot_rows, wide=wide_rules(hosts))

@@ -23,7 +23,7 @@ from webledger.functions import urls as url_rules
 from webledger.operators import frontier
 from webledger.operators.checks import with_checks
 from webledger.operators.joins import visit
-from webledger.operators.robots import permitted, robots_hosts
+from webledger.operators.robots import permitted, robots_hosts, wide_rules
 from webledger.operators.urls import written_href
 from webledger.scale import BROADCAST_BYTES, HOT_ROWS, store, store_bucketed
 
@@ -196,28 +196,32 @@ def _links(visits: DataFrame) -> DataFrame:
     )
 
 
-def _robots_answers(robots: DataFrame | None, agent: str) -> DataFrame | None:
-    """Robots captures read into rules once for the whole crawl; ready answers as they are."""
-    if robots is None or "allowed" in robots.columns:
-        return robots
-    return store(robots_hosts(robots, agent), "robots")
+def _robots_answers(robots: DataFrame | None, agent: str) -> tuple[DataFrame, DataFrame | None] | None:
+    """Robots captures read into rules once for the whole crawl, with those of hosts with many; ready answers as they are."""
+    if robots is None:
+        return None
+    if "allowed" in robots.columns:
+        return robots, None
+    hosts = store(robots_hosts(robots, agent), "robots")
+    return hosts, wide_rules(hosts)
 
 
-def _asked(urls: DataFrame, answers: DataFrame | None, hot_rows: int | None) -> DataFrame:
-    if answers is None:
+def _asked(urls: DataFrame, robots: tuple[DataFrame, DataFrame | None] | None, hot_rows: int | None) -> DataFrame:
+    if robots is None:
         return urls.withColumn("allowed", F.lit(True))
+    answers, wide = robots
     if "allowed" in answers.columns:
         # a denial among several answers holds
         ready = answers.groupBy("url").agg(F.min("allowed").alias("_allowed"))
         joined = urls.join(ready, ["url"], "left")
         return joined.withColumn("allowed", F.coalesce("_allowed", F.lit(True))).drop("_allowed")
     if hot_rows is None:
-        return permitted(urls, answers, hot=False)
-    return permitted(urls, answers, hot_rows=hot_rows)
+        return permitted(urls, answers, hot=False, wide=wide)
+    return permitted(urls, answers, hot_rows=hot_rows, wide=wide)
 
 
 def _visited(
-    admitted: DataFrame, pages: DataFrame, answers: DataFrame | None, hot_rows: int | None
+    admitted: DataFrame, pages: DataFrame, answers: tuple[DataFrame, DataFrame | None] | None, hot_rows: int | None
 ) -> DataFrame:
     """Admitted URLs with what came of them: robots denial, failed fetch, or a response."""
     asked = _asked(admitted, answers, hot_rows)
