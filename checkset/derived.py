@@ -212,7 +212,9 @@ def international_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 INTERNATIONAL_SQL = f"""{CANON_SQL},
 named AS (SELECT page_id, url_norm, regexp_extract(url_norm, '^(https?://)', 1) AS scheme, regexp_replace(url_norm, '^https?://', '') AS rest,
-  {_label_sql(ASCII_LABELS)} AS ascii, {_label_sql(LABELS)} AS label FROM canon)"""
+  {_label_sql(ASCII_LABELS)} AS ascii, {_label_sql(LABELS)} AS label,
+  -- scripts without capitals have three forms
+  CASE WHEN page_id % 8 IN ({", ".join(str(i) for i, label in enumerate(LABELS) if label.upper() == label)}) THEN 3 ELSE 4 END AS forms FROM canon)"""
 
 # --- bodies written with character references -------------------------------------------------
 
@@ -372,6 +374,26 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Requests in six files by time; some come a file late, a few of the early ones four files late.
+FILES = 6
+ARRIVAL_SQL = f"""
+arrival AS (
+  SELECT event_id, user_id, ts, CASE WHEN event_id % 97 = 0 AND f + 4 < {FILES} THEN f + 4
+      WHEN event_id % 50 = 0 AND f + 1 < {FILES} THEN f + 1 ELSE f END AS part,
+    event_id % 97 = 0 AND f + 4 < {FILES} AS too_late
+  FROM (SELECT *, CAST(floor((epoch_us(ts) - lo) * {FILES} / (hi - lo + 1)) AS INT) AS f
+    FROM events, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)))"""
+
+
+def arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """(url, at, part): requests as events, and the file that each comes in."""
+    events = table(spark, sf, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("ts").cast("timestamp").alias("at"), "event_id", "user_id")
+    low, high = events.agg(F.min("us"), F.max("us")).first()
+    placed = events.withColumn("f", F.floor((F.col("us") - low) * FILES / (high - low + 1)).cast("int"))
+    part = f"CASE WHEN event_id % 97 = 0 AND f + 4 < {FILES} THEN f + 4 WHEN event_id % 50 = 0 AND f + 1 < {FILES} THEN f + 1 ELSE f END"
+    return placed.selectExpr("concat('HTTPS://e.example:443/u/', user_id, '?gclid=', event_id) AS url", "at", f"{part} AS part")
+
+
 # --- hops from pages --------------------------------------------------------------------------
 
 # Every page's URL redirects to that of the next page, in chains of a few hops, some of 37, and loops.

@@ -578,6 +578,24 @@ def stream_dedupe(spark, sf):
     return _to_memory(spark, jobs.stream_dedupe(doubled), "append").select("url_norm")
 
 
+@query
+def stream_dedupe_recent(spark, sf):
+    """Events as requests in six files, the stream started again for each: every URL once a day, late rows dropped."""
+    folder, out, progress = _folder(spark, "arrivals"), _folder(spark, "stream-out"), _folder(spark, "stream-progress")
+    derived.arrivals(spark, sf).write.partitionBy("part").parquet(folder)
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    for i in range(derived.FILES):
+        arriving = spark.readStream.schema("url string, at timestamp").parquet(f"{folder}/part=[0-{i}]")
+        once = jobs.stream_dedupe_recent(arriving, delay="6 days")
+        started = once.writeStream.foreachBatch(keep).trigger(availableNow=True).option("checkpointLocation", progress)
+        started.start().awaitTermination()
+    seen = spark.read.schema("url_norm string, seen_from timestamp").parquet(out)
+    return seen.select("url_norm", F.col("seen_from").cast("date").alias("day"))
+
+
 @query
 def stream_counts(spark, sf):
     size = F.length("html") + F.length("url")

@@ -26,3 +26,28 @@ def test_findings_are_appended_as_pages_arrive(spark, tmp_path):
         jobs.stream_audit(stream, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     (line,) = spark.read.json(str(tmp_path / "out")).collect()
     assert line.url == "https://e.com/1" and len(line.checks) == 3 and "text" not in line.asDict()
+
+
+def test_the_state_of_recent_urls_stays_bounded(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start, files = datetime(2024, 1, 1), 8
+    schema, seen = "url string, at timestamp", []
+    for day in range(files):
+        rows = [(f"https://e.com/{day}/{i % 20}#{i}", start + timedelta(days=day, hours=i % 24)) for i in range(40)]
+        if day == 1:
+            rows.append(("https://e.com/late", start))
+        if day == 6:
+            rows.append(("https://e.com/too-late", start))
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/day={day}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / f"in/day=[0-{day}]"))
+        once = jobs.stream_dedupe_recent(stream, delay="2 days")
+        query = once.writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ckpt"))
+        query = query.trigger(availableNow=True).start()
+        query.awaitTermination()
+        seen.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]))
+    urls = sorted(r.url_norm for r in spark.read.json(str(tmp_path / "out")).collect())
+    assert len(urls) == len(set(urls)) == 20 * files + 1
+    assert "https://e.com/late" in urls and "https://e.com/too-late" not in urls
+    # the URLs of some four days, not of all
+    assert max(seen) <= 20 * 4 + 1 and seen[-1] <= seen[3] + 1

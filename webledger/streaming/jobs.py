@@ -45,6 +45,21 @@ def stream_dedupe(urls: DataFrame, url_col: str = "url") -> DataFrame:
     return canonical.select("url_norm").dropDuplicates(["url_norm"])
 
 
+def stream_dedupe_recent(
+    urls: DataFrame, at_col: str = "at", every: str = "1 day", delay: str = "2 days", url_col: str = "url"
+) -> DataFrame:
+    """(url_norm, seen_from): each canonical URL once in every window of event time, with state that does not grow for good.
+
+    ``at_col`` says when a URL was seen. A window is forgotten when the watermark, ``delay`` behind the latest time of earlier
+    batches, has passed its end; rows that come later still are dropped. So the state holds the URLs of the
+    windows within the delay, however long the stream is.
+    """
+    timed = urls.select(url_col, F.col(at_col).alias("_at")).withWatermark("_at", delay)
+    canonical = canonicalize(timed, url_col).where(F.col("url_norm").isNotNull())
+    once = canonical.select("url_norm", F.window("_at", every).alias("_w")).dropDuplicates(["url_norm", "_w"])
+    return once.select("url_norm", F.col("_w.start").alias("seen_from"))
+
+
 def stream_counts(visits: DataFrame, by: str = "status") -> DataFrame:
     """Running counts per status, status class or any other column; for output mode ``complete``."""
     if by == "status_class":
