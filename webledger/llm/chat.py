@@ -8,7 +8,8 @@ no text can end a turn, and :func:`read_back` takes exactly one off again.
 Defined cases: a null text or role is an empty one; a null conversation id is one conversation;
 turns with equal numbers are ordered by role and text, null numbers come first; repeated rows are
 turns of their own; an empty table gives no rows. A conversation is one row of the result, so its
-turns meet in one task; nothing else is gathered.
+turns meet in one task; nothing else is gathered. Very long texts are formatted whole. Only conv_id, turn, role and text are
+read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ for each block over stored rows, so memory stays bounded whatever the benchmark'
 Defined cases: null and empty texts have no words and no hits; an item of fewer words than a window
 is one window; an item without words is never found; repeated item ids are one item; a null item id
 reads as the empty string; repeated or null doc_ids are rows of their own; an empty benchmark
-leaves every document clean.
+leaves every document clean; windows that several items share count for each of them; very long texts are scanned whole, a
+few rows at a time; only ids and texts are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ dropped. What the driver sees: one row per source and one per partition.
 Defined cases: documents without a source form a source of their own; a null or empty text has length
 1, like a single character; repeated rows are mixed one by one; ties of the order are broken by
 doc_id, then length; sources that the weights do not name follow after the named ones; a weight of
-zero or less counts as not named; an empty table gives no rows.
+zero or less counts as not named; a text counts by its length, however long; helper columns have names of their own; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

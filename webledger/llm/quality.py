@@ -6,7 +6,9 @@ labels, language and source are never measured.
 
 Defined cases: null texts are empty ones and get a score too; null or repeated doc_ids are scored
 row by row (a null id counts as the empty text when folds are dealt); without labels every score
-is 0.5; with labels of one class only, scores lean to it; an empty table gives an empty result.
+is 0.5; with labels of one class only, scores lean to it; of equally good splits of a tree the one of the first
+feature and the lowest threshold is taken; very long texts are measured whole, a few rows at a time; only doc_id, text and
+the labels are read, so other columns cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations

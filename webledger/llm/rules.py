@@ -5,7 +5,9 @@ are versioned sets of bits, applied later to the stored ledger without reading a
 ablations are counted by bitwise tests on it.
 
 Defined cases: a null text has no words and fails what an empty one fails; a null or repeated
-doc_id is carried along, each row measured alone; an empty table gives an empty ledger.
+doc_id is carried along, each row measured alone; a measurement equal to a rule's limit passes or fails as the rule says;
+very long texts are measured whole, a few rows at a time; only doc_id and text are read, so other columns cannot clash; an
+empty table gives an empty ledger.
 """
 
 from __future__ import annotations

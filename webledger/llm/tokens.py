@@ -21,7 +21,9 @@ any case. Which of this holds is asked of the tokenizer itself; one that does ne
 texts.
 
 Defined cases: a null text is empty and has the end id alone; null doc_ids come first; repeated
-doc_ids are documents of their own, ordered by a hash of their texts; an empty table writes no file.
+doc_ids are documents of their own, ordered by a hash of their texts; rows that agree in both are alike in every figure but
+their place; very long texts are encoded whole; only doc_id, text and the order are read, so other columns cannot clash; an
+empty table writes no file.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ die after a few. Around each hit, the words of a window tell quotation (quote ma
 
 Defined cases: null texts are empty and get a score; null or repeated doc_ids are scored row by row;
 without labels every score is 0.5, with one class only scores lean to it; an empty lexicon leaves
-the model with the base rate; an empty table gives an empty result.
+the model with the base rate; of terms of equal weight the first in code-point order stay; very long texts are scanned whole, a
+few rows at a time; only doc_id, text and the labels are read, so other columns cannot clash; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

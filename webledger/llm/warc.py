@@ -14,7 +14,8 @@ knows its size and picks the join (a hot digest is split by the adaptive skew jo
 Defined cases: a null html is an empty payload, and empty payloads are equal ones; null page_ids come
 last when the response is picked, and a capture whose page_id is null reads null again; of repeated
 page_ids with one payload, one row is the response and the others revisit it; a null url leaves
-out the target header; line breaks in a url are percent-encoded; an empty table writes nothing.
+out the target header; line breaks in a url are percent-encoded; very long pages are records like others; only page_id, url and
+html are read, so other columns cannot clash; an empty table writes nothing.
 """
 
 from __future__ import annotations
