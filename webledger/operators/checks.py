@@ -188,7 +188,8 @@ def redirect_chains(hops: DataFrame, max_hops: int = MAX_HOPS, hot_rows: int = H
     Every round joins the chains found so far to themselves and so doubles the length they may
     have. As long as a chain with an end is not followed to it, each round ends some of its URLs; when
     a round ends none, all that still go on are a ``loop`` or lead into one, and have no end and
-    length. ``over_limit`` marks loops and chains of more than ``max_hops``, which clients give up.
+    length. ``over_limit`` marks loops and chains of more than ``max_hops``, which clients give up. Of several
+    redirects of one URL the smallest target is followed.
     """
     site = [F.col("site_id")] if "site_id" in hops.columns else [F.lit("").alias("site_id")]
     moved = hops.where(F.col("status").between(300, 399) & F.col("location").isNotNull())

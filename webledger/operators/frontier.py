@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webledger.functions import urls as url_rules
+from webledger.operators.joins import mark_seen
 from webledger.scale import HOT_ROWS, hot_keys, join_to_one, store, with_row_number
 
 # What a link carries of its site and level; the same for all links of a site within a level. The
@@ -61,7 +62,7 @@ def _verdict():
     url = F.col("url_norm")
     return (
         F.when(url.isNull(), "malformed")
-        .when(F.col("_seen"), "duplicate")
+        .when(F.col("seen"), "duplicate")
         .when(~(url.startswith("http://") | url.startswith("https://")), "non_http")
         .when(~F.col("on_host"), "off_host")
         .when(F.col("level") > F.col("max_depth"), "too_deep")
@@ -76,9 +77,8 @@ def decide(cand: DataFrame, seen: DataFrame) -> DataFrame:
     accepted (site_id, url_norm) of earlier levels once, so this join has no hot key.
     """
     offered = first_offer(cand.withColumn("on_host", _on_host()))
-    known = seen.select("site_id", "url_norm", F.lit(True).alias("_seen"))
-    judged = offered.join(known, ["site_id", "url_norm"], "left").withColumn("verdict", _verdict())
-    return judged.drop("_seen", "on_host")
+    judged = mark_seen(offered, seen, unique=True).withColumn("verdict", _verdict())
+    return judged.drop("seen", "on_host")
 
 
 def cut_budget(

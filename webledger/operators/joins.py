@@ -72,11 +72,15 @@ def lookup(urls: DataFrame, responses: DataFrame) -> DataFrame:
     ).drop("_captured")
 
 
-def mark_seen(cand: DataFrame, seen: DataFrame) -> DataFrame:
-    """Add ``seen`` to candidates, every duplicate kept so that it can be counted."""
-    known = seen.select("site_id", "url_norm").distinct().withColumn("_seen", F.lit(True))
+def mark_seen(cand: DataFrame, seen: DataFrame, unique: bool = False) -> DataFrame:
+    """Add ``seen`` to candidates, every duplicate kept so that it can be counted.
+
+    ``unique``: both tables hold a (site_id, url_norm) once, so neither has to be looked at for repeated or hot keys.
+    """
+    known = seen.select("site_id", "url_norm")
+    known = (known if unique else known.distinct()).withColumn("_seen", F.lit(True))
     spread = [c for c in cand.columns if c not in ("site_id", "url_norm")] or ["url_norm"]
-    joined = join_to_one(cand, known, ["site_id", "url_norm"], spread)
+    joined = join_to_one(cand, known, ["site_id", "url_norm"], spread, hot=False if unique else None)
     return joined.withColumn("seen", F.coalesce("_seen", F.lit(False))).drop("_seen")
 
 

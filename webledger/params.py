@@ -97,6 +97,7 @@ ANY_AGENT = "*"
 class RetryPolicy:
     """How often a request may be tried and how long the pauses between tries may grow."""
 
+    # How often and how patiently a client tries.
     attempts: int = 3
     base_delay: float = 0.5
     max_delay: float = 10.0
