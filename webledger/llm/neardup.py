@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webledger.llm.common import claim, in_pieces, texts
-from webledger.scale import store
+from webledger.scale import BROADCAST_BYTES, store
 
 COORDINATES = 64
 # The chance, at most, that two sets just alike enough agree in fewer coordinates than are asked for.
@@ -429,10 +429,13 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     first = rows.groupBy("label").agg(F.min(order).alias("f"))
     judged = rows.join(first, "label").withColumn("first", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("body_key") == F.col("f.body_key")))
     judged = store(judged.where("NOT first OR n > 1").select("doc_id", "body_key", "first"), "judged")
+    # two numbers a row: as long as they are few, the texts need not move to be told apart
+    small = judged.count() * _ROW_BYTES <= BROADCAST_BYTES
     keyed = docs.withColumn(_KEY, F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
     def among(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         other = right.select(F.col("doc_id").alias("_other"), F.col("body_key").alias("_other_key"))
+        other = F.broadcast(other) if small else other
         return left.join(other, F.col("doc_id").eqNullSafe(F.col("_other")) & (F.col(_KEY) == F.col("_other_key")), how)
 
     kept = among(keyed, judged.where("NOT first"), "left_anti")
@@ -444,3 +447,5 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
 
 
 _KEY = "_neardup_body_key"
+# A row of (doc_id, body_key) in the hash table of a broadcast.
+_ROW_BYTES = 48
