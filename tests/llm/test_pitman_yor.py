@@ -142,3 +142,63 @@ def test_a_frequent_cell_is_seated_anew_in_every_sweep():
     chain = py.Chain(1, word, context, count, 200, py.Totals(stats))
     t = np.array([a for a, _, _ in chain.samples()])
     assert np.abs(np.diff(t, axis=0)).max() > 4
+
+
+def test_the_word_before_is_the_context(spark):
+    # every word has its own successor, and all of them end alike
+    rng = np.random.default_rng(4)
+    names = [f"w{i}same" for i in range(60)]
+    after = rng.permutation(60)
+    rows = []
+    for i in range(150):
+        at, said = int(rng.integers(60)), []
+        for _ in range(60):
+            said.append(names[at])
+            at = int(after[at])
+        rows.append((i, " ".join(said)))
+    got = [r for r in py.score_texts(docs(spark, rows)).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in got)
+    # a word in itself is one of sixty; after the one before it is almost certain
+    assert got and sum(r.base_score for r in got) / tokens < -1.7
+    assert sum(r.score for r in got) / tokens > -0.3
+
+
+def test_scores_against_brute_force_where_there_is_no_choice_of_tables(spark):
+    # no training word comes twice, but for the end token, whose parent tables are bounded by its customers
+    from pyspark.sql import functions as F
+
+    rows = [(0, "a b c d e"), (10, "b c"), (11, "c a z"), (12, ""), (13, "z z")]
+    got = {r.doc_id: r for r in py.score_texts(docs(spark, rows), F.col("doc_id") >= 10).collect()}
+    # each word has one customer at one table in the restaurant of the word before, in that one's class, and in the parent
+    v, d = 6, 0.95
+    smooth = (py.STRENGTH + d * v) / (v + 1)
+    known = (1 - d + smooth) / (py.STRENGTH + 6)
+    never = smooth / (py.STRENGTH + 6)
+    seen = {"": "a", "a": "b", "b": "c", "c": "d", "d": "e", "e": ""}
+    kind = {k: py.context_of(k.encode()) for k in [*seen, "z"]}
+
+    def p(before, word):
+        size = sum(kind[k] == kind[before] for k in seen)
+        inside = any(kind[k] == kind[before] and w == word for k, w in seen.items())
+        top = ((1 - d) * inside + (py.STRENGTH + d * size) * (known if word in seen else never)) / (py.STRENGTH + size)
+        if before not in seen:
+            return top
+        return ((1 - d) * (seen[before] == word) + (py.STRENGTH + d) * top) / (py.STRENGTH + 1)
+
+    for i, text in rows:
+        said = ["", *text.split(), ""]
+        want = sum(math.log10(p(a, b)) for a, b in zip(said, said[1:], strict=False))
+        assert abs(got[i].score - want) < 1e-9, (text, got[i].score, want)
+    # of every context, the chances of all words and of an unknown one
+    assert all(abs(sum(p(k, w) for w in seen) + p(k, "z") - 1) < 1e-9 for k in [*seen, "z"])
+
+
+def test_totals_of_contexts_are_whole_over_parts_and_blocks(spark, monkeypatch):
+    rows = [(i, prose(i, i % 40, 200)) for i in range(120)]
+    seen = {}
+    for tokens in (py.BLOCK_TOKENS, 300):
+        monkeypatch.setattr(py, "BLOCK_TOKENS", tokens)
+        seen[tokens] = sum(r.score for r in py.score_texts(docs(spark, rows)).collect())
+    # blocks only cut the work: parts and their counts are the same, so is the chain but for the order of words
+    a, b = seen.values()
+    assert abs(a - b) < 0.01 * abs(a)

@@ -1,25 +1,31 @@
 """A hierarchical Pitman-Yor language model: seating by blocked Gibbs sampling, spread over words.
 
-A word is drawn in the restaurant of its context, the class of the word before it (one of ``CONTEXTS``,
-by its ending; class 0 at the start of a text). All context restaurants share one parent, whose
-base is uniform over the training vocabulary and one unknown word. For a context k and word w
-with c customers at t tables, and the parent's probability P(w)::
-
-    p(w | k) = (c - d t + (s + d T_k) P(w)) / (s + N_k)
-
-The texts are read once. Each task numbers the words of a block of documents, keeps the documents
-as word numbers, and counts (word, context) cells; the block's words are packed by the hash part
-they belong to, a row per block and part. A part holds all counts of its words, so the seating of
-a word lives in one place; what couples the parts are restaurant totals alone. The chain of a part
-(same seed, same counts: same chain) is run twice: once to add up the totals of every sample over
-all parts, once to turn each sample into probabilities with exactly these totals, so that they
-sum to one. During the chain, totals of the other words stand at one table per cell (the state
+A word is drawn in the restaurant of its context, the word before it; the first of a text in that of the
+end token, which no other word follows. The parent of a context's restaurant is that of its class (one of ``CONTEXTS``, by
+the ending of the word before), so that rare words lean on words that end alike. All classes share one parent, whose
+base is uniform over the training vocabulary and one unknown word. In each restaurant, for a word w
+with c customers at t tables, and the chance P(w) that the parent gives it::
+
+    p(w) = (c - d t + (s + d T) P(w)) / (s + N)
+
+with N customers at T tables in the whole restaurant, and the tables of its children as a parent's customers.
+
+The texts are read once. Each task numbers the words of a block of documents and keeps the documents
+as word numbers; the block's words are packed by the hash part they belong to, a row per block and part. Parts
+number their words, the most frequent first, so a word is a number anywhere: that in its part, and the part. With
+these numbers each block counts its (word, word before) cells and packs them by the part of the word. A part
+holds all counts of its words, so the seating of a word lives in one place; what couples the parts are
+restaurant totals alone. The totals of the classes are summed by the driver, those of a word as a context by the part of that
+word, and asked of it: before
+the chain, at one table per cell, by the parts that have cells of several customers; after it, for every sample, by the
+blocks. So probabilities have exactly the totals of their sample, and sum to one. During the chain,
+totals of the other words stand at one table per cell (the state
 of approximate distributed Gibbs sampling before its first exchange). Probabilities are averaged
-over samples, and go back to the blocks that asked for them.
+over samples by the blocks that asked for them.
 
 A sweep of the chain seats all customers of all cells anew: a cell's number of tables is drawn from its
 exact conditional (``_tables``), whatever its count. There are ``BURN_IN`` + ``SAMPLES`` sweeps, each
-preceded by a draw of the parent's tables.
+preceded by draws of the classes' and of the shared parent's tables.
 
 Discounts are estimated from the counts of counts of the whole training part.
 
@@ -33,6 +39,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +47,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webledger.llm.common import fold, in_pieces, texts
-from webledger.scale import store
+from webledger.scale import store, store_bucketed
 
+# Classes of words, as contexts above the words themselves.
 CONTEXTS = 128
 BURN_IN, SAMPLES = 4, 4
 STRENGTH = 5.0
@@ -54,6 +62,7 @@ END = b""  # words are never empty
 
 
 def context_of(word: bytes) -> int:
+    """The class of a word."""
     return 0 if not word else 1 + zlib.crc32(word.rstrip(_MARKS)[-2:]) % (CONTEXTS - 1)
 
 
@@ -75,7 +84,32 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(kind.itemsize, count).T.copy().view(kind).ravel()
 
 
-_BLOCKS = "block bigint, doc_id {kind}, held_out boolean, ids binary, part int, words binary, size bigint, n_cells binary, contexts binary, counts binary"
+def _whole(a: np.ndarray) -> bytes:
+    """Numbers from 0 on, packed in the narrower type that holds them."""
+    return _pack(a.astype(np.uint32 if not len(a) or a.max() < 1 << 32 else np.uint64))
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return _unpack(data).astype(np.int64)
+
+
+def _steps(a: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Runs of growing numbers, packed as the steps between them."""
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out = np.diff(a, prepend=0)
+    out[starts] = a[starts]
+    return _whole(out)
+
+
+def _runs(data: bytes, sizes: np.ndarray) -> np.ndarray:
+    steps = _numbers(data)
+    upto = np.cumsum(steps)
+    some = sizes[sizes > 0]
+    starts = np.cumsum(some) - some
+    return upto - np.repeat(upto[starts] - steps[starts], some)
+
+
+_BLOCKS = "block bigint, doc_id {kind}, held_out boolean, ids binary, part int, words binary, size bigint, counts binary"
 
 
 class _Block:
@@ -100,35 +134,26 @@ class _Block:
         order = np.argsort(part, kind="stable")
         renamed = np.empty(len(words), np.int32)
         renamed[order] = np.arange(len(words), dtype=np.int32)
-        context = np.array([context_of(w) for w in words], np.uint8)[order]
-        all_ids, train = [], []
+        counts = np.zeros(len(words), np.int64)
         columns: dict[str, list] = {n: [] for n in ("block", "doc_id", "held_out", "ids")}
         for doc_id, held_out, old in self.docs:
             ids = renamed[old]
-            all_ids.append(ids)
-            train.append(np.full(len(ids), not held_out))
+            if not held_out:
+                np.add.at(counts, ids, 1)
             columns["block"].append(self.number)
             columns["doc_id"].append(doc_id)
             columns["held_out"].append(held_out)
             columns["ids"].append(_pack(ids))
         yield _batch(columns, names, schema)
-        cells, back = cells_of(all_ids, context)
-        counts = np.bincount(back, np.concatenate(train).astype(np.float64), len(cells)).astype(np.uint32)
-        owner = cells // CONTEXTS
-        n_cells = np.bincount(owner, minlength=len(words)).astype(np.uint16)
         cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
-        at = np.searchsorted(owner, cuts)
-        columns = {n: [] for n in ("block", "part", "words", "size", "n_cells", "contexts", "counts")}
+        columns = {n: [] for n in ("block", "part", "words", "size", "counts")}
         for p in np.flatnonzero(np.diff(cuts)):
             joined = b" ".join([words[i] for i in order[cuts[p] : cuts[p + 1]]])
-            here = slice(at[p], at[p + 1])
             columns["block"].append(self.number)
             columns["part"].append(int(p))
             columns["words"].append(_zip(joined) if joined else b"")
             columns["size"].append(len(joined))
-            columns["n_cells"].append(_pack(n_cells[cuts[p] : cuts[p + 1]]))
-            columns["contexts"].append(_pack((cells[here] % CONTEXTS).astype(np.uint8)))
-            columns["counts"].append(_pack(counts[here]))
+            columns["counts"].append(_whole(counts[cuts[p] : cuts[p + 1]]))
         yield _batch(columns, names, schema)
 
 
@@ -137,14 +162,43 @@ def _batch(columns: dict[str, list], names: list[str], schema: pa.Schema) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), schema.field(c).type) for c in names], schema=schema)
 
 
-def cells_of(all_ids: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (word, context before it) of texts, as word * CONTEXTS + context, and where each token is."""
-    ids = np.concatenate(all_ids).astype(np.int64)
-    before = np.empty(len(ids), np.int64)
-    before[1:] = context[ids[:-1]]
-    starts = np.cumsum([0] + [len(a) for a in all_ids[:-1]])
-    before[starts] = 0
-    return np.unique(ids * CONTEXTS + before, return_inverse=True)
+class _Cells:
+    """The cells that a block's documents ask for, in the order of (part of the word, its number, number of the word before).
+
+    ``part`` and ``number`` are those of the block's words; a word as a context is ``number * parts + part``.
+    """
+
+    def __init__(self, all_ids: list[np.ndarray], part: np.ndarray, number: np.ndarray, parts: int):
+        order = np.lexsort((number, part))
+        self.part, self.number = part[order], number[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.sizes = np.array([len(a) for a in all_ids])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = rank[np.concatenate(all_ids)]
+        before = np.empty(len(self.ids), np.int64)
+        before[1:] = self.ids[:-1]
+        # a text ends with the end token, and begins as if after one
+        before[0] = self.ids[-1]
+        name = self.number * parts + self.part
+        by_name = np.argsort(name)
+        place = np.empty(len(order), np.int64)
+        place[by_name] = np.arange(len(order))
+        cells, self.back = np.unique(self.ids * len(order) + place[before], return_inverse=True)
+        self.word, self.before = cells // len(order), by_name[cells % len(order)]
+        self.context = name[self.before]
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word and class of the distinct (word, class of the word before), and which of them each cell belongs to."""
+        found, up = np.unique(self.word * CONTEXTS + self.number[self.before] % CONTEXTS, return_inverse=True)
+        return found // CONTEXTS, found % CONTEXTS, up
+
+
+def _ids_of(numbered: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Part and number of a block's words, in the order of the block."""
+    rows = sorted(numbered.select(["part", "numbers"]).to_pylist(), key=lambda r: r["part"])
+    numbers = [_numbers(r["numbers"]) for r in rows]
+    return np.repeat(np.array([r["part"] for r in rows], np.int64), [len(n) for n in numbers]), np.concatenate(numbers)
 
 
 def _blocked(parts: int, names: list[str], schema: pa.Schema):
@@ -167,64 +221,212 @@ def _blocked(parts: int, names: list[str], schema: pa.Schema):
     return run
 
 
-_MERGED = (
-    "part int, cell_word binary, cell_context binary, cell_count binary, word_count binary, word_class binary, "
-    "blocks binary, words_each binary, cells_each binary, asked_words binary, asked_cells binary, stats array<bigint>"
-)
-
+def _number(table: pa.Table) -> pa.Table:
+    """The words of a part in numbers, the most frequent of a class first: a row for every block that has some.
 
-def _merge(table: pa.Table) -> pa.Table:
-    """All rows of a part: its words, their cells with training counts, and who asked for which."""
+    What a number leaves over when divided by ``CONTEXTS`` is the word's class.
+    """
     rows = sorted(table.to_pylist(), key=lambda r: r["block"])
     index: dict[bytes, int] = {}
-    asked_words, keys, counts, words_each, cells_each = [], [], [], [], []
+    asked, counts = [], []
     for r in rows:
         joined = pa.decompress(r["words"], r["size"], "zstd", asbytes=True) if r["size"] else b""
         words = joined.split(b" ")
-        ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-        asked_words.append(ids.astype(np.int32))
-        keys.append(np.repeat(ids, _unpack(r["n_cells"])) * CONTEXTS + _unpack(r["contexts"]))
-        counts.append(_unpack(r["counts"]))
-        words_each.append(len(ids))
-        cells_each.append(len(keys[-1]))
-    cells, back = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(back, np.concatenate(counts).astype(np.float64), len(cells)).astype(np.int64)
-    word, context = cells // CONTEXTS, cells % CONTEXTS
-    total = np.bincount(word, count, len(index)).astype(np.int64)
-    kinds = np.bincount(word, count > 0, len(index))
-    stats = [(total > 0).sum(), (kinds == 1).sum(), (kinds == 2).sum(), (count == 1).sum(), (count == 2).sum()]
-    stats += list(np.bincount(context, count, CONTEXTS).astype(np.int64))
-    stats += list(np.bincount(context, count > 0, CONTEXTS).astype(np.int64))
-    out = {
-        "part": [rows[0]["part"]],
-        "cell_word": [_pack(word.astype(np.int32))],
-        "cell_context": [_pack(context.astype(np.uint8))],
-        "cell_count": [_pack(count)],
-        "word_count": [_pack(total)],
-        "word_class": [_pack(np.array([context_of(w) for w in index], np.uint8))],
-        "blocks": [_pack(np.array([r["block"] for r in rows], np.int64))],
-        "words_each": [_pack(np.array(words_each, np.int64))],
-        "cells_each": [_pack(np.array(cells_each, np.int64))],
-        "asked_words": [_pack(np.concatenate(asked_words))],
-        "asked_cells": [_pack(back.astype(np.int32))],
-        "stats": [[int(x) for x in stats]],
-    }
-    types = {"part": pa.int32(), "stats": pa.list_(pa.int64())}
-    return pa.table({n: pa.array(v, types.get(n, pa.binary())) for n, v in out.items()})
+        asked.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
+        counts.append(_numbers(r["counts"]))
+    total = np.bincount(np.concatenate(asked), np.concatenate(counts), len(index))
+    kind = np.array([context_of(w) for w in index], np.int64)
+    order = np.lexsort((-total, kind))
+    sizes = np.bincount(kind)
+    number = np.empty(len(index), np.int64)
+    number[order] = (np.arange(len(index)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) * CONTEXTS + kind[order]
+    return pa.table({
+        "block": pa.array([r["block"] for r in rows], pa.int64()),
+        "part": pa.array([r["part"] for r in rows], pa.int32()),
+        "numbers": pa.array([_whole(number[a]) for a in asked], pa.binary()),
+    })
+
+
+_ASKED = "block bigint, part int, words binary, n_cells binary, contexts binary, counts binary"
+
+
+def _counted(parts: int):
+    """The cells of a block with their training counts, packed by the part of the word."""
+
+    def run(docs: pa.Table, numbered: pa.Table) -> pa.Table:
+        docs = docs.select(["block", "held_out", "ids"]).to_pydict()
+        cells = _Cells([_unpack(x) for x in docs["ids"]], *_ids_of(numbered), parts)
+        train = np.repeat(~np.array(docs["held_out"], bool), cells.sizes)
+        counts = np.bincount(cells.back, train, len(cells.word)).astype(np.int64)
+        n_cells = np.bincount(cells.word, minlength=len(cells.part))
+        found = np.unique(cells.part)
+        low, high = np.searchsorted(cells.part, found), np.searchsorted(cells.part, found, side="right")
+        first, last = np.searchsorted(cells.word, low), np.searchsorted(cells.word, high)
+        words = [slice(a, b) for a, b in zip(low, high, strict=True)]
+        inside = [slice(a, b) for a, b in zip(first, last, strict=True)]
+        return pa.table({
+            "block": pa.array(np.full(len(found), docs["block"][0], np.int64)),
+            "part": pa.array(found.astype(np.int32)),
+            "words": pa.array([_steps(cells.number[x], np.array([x.stop - x.start])) for x in words], pa.binary()),
+            "n_cells": pa.array([_whole(n_cells[x]) for x in words], pa.binary()),
+            "contexts": pa.array([_steps(cells.context[y], n_cells[x]) for x, y in zip(words, inside, strict=True)], pa.binary()),
+            "counts": pa.array([_whole(counts[y]) for y in inside], pa.binary()),
+        })
+
+    return run
+
+
+_MERGED = (
+    "part int, names binary, n_cells binary, contexts binary, counts binary, "
+    "blocks binary, words_each binary, cells_each binary, asked_words binary, asked_cells binary, stats array<bigint>"
+)
+
+
+def _merge(parts: int):
+    """All rows of a part: the cells of its words with training counts, and who asked for which."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        asked, each, context, counts = [], [], [], []
+        for r in rows:
+            n_cells = _numbers(r["n_cells"])
+            asked.append(_runs(r["words"], np.array([len(n_cells)])))
+            each.append(n_cells)
+            context.append(_runs(r["contexts"], n_cells))
+            counts.append(_numbers(r["counts"]))
+        words_each, cells_each = (np.array([len(a) for a in some], np.int64) for some in (asked, counts))
+        names, asked_words = np.unique(np.concatenate(asked), return_inverse=True)
+        word, context = np.repeat(asked_words, np.concatenate(each)), np.concatenate(context)
+        most = int(context.max()) + 1
+        cells, back = np.unique(word * most + context, return_inverse=True)
+        count = np.bincount(back, np.concatenate(counts), len(cells)).astype(np.int64)
+        word, context = cells // most, cells % most
+        n_cells = np.bincount(word)
+        total = np.bincount(word, count)
+        live = count > 0
+        kind = context[live] // parts % CONTEXTS
+        above, opened = np.unique(word[live] * CONTEXTS + kind, return_counts=True)
+        kinds = np.bincount(above // CONTEXTS, minlength=len(names))
+        ones = lambda *some: [(x == n).sum() for x in some for n in (1, 2)]
+        stats = [(total > 0).sum(), *ones(kinds, opened, count), total.sum()]
+        stats += [*np.bincount(kind, minlength=CONTEXTS), *np.bincount(above % CONTEXTS, minlength=CONTEXTS)]
+        out = {
+            "part": [rows[0]["part"]],
+            "names": [_steps(names, np.array([len(names)]))],
+            "n_cells": [_whole(n_cells)],
+            "contexts": [_steps(context, n_cells)],
+            "counts": [_whole(count)],
+            "blocks": [_pack(np.array([r["block"] for r in rows], np.int64))],
+            "words_each": [_pack(words_each)],
+            "cells_each": [_pack(cells_each)],
+            "asked_words": [_steps(asked_words, words_each)],
+            "asked_cells": [_steps(back, cells_each)],
+            "stats": [[int(x) for x in stats]],
+        }
+        types = {"part": pa.int32(), "stats": pa.list_(pa.int64())}
+        return pa.table({n: pa.array(v, types.get(n, pa.binary())) for n, v in out.items()})
+
+    return run
+
+
+class _Part:
+    """The cells of a part's words, and the contexts in which training text has them, by part and number."""
+
+    def __init__(self, row: dict, parts: int):
+        self.part, self.parts = row["part"], parts
+        n_cells = _numbers(row["n_cells"])
+        self.n_words = len(n_cells)
+        self.word = np.repeat(np.arange(self.n_words), n_cells)
+        self.count = _numbers(row["counts"])
+        name = _runs(row["contexts"], n_cells)
+        self.kind = name // parts % CONTEXTS
+        live = self.count > 0
+        most = int(name.max()) // parts + 1
+        found, back, self.opened = np.unique(name[live] % parts * most + name[live] // parts, return_inverse=True, return_counts=True)
+        # of the contexts of live cells; the others are never looked at
+        self.context = np.zeros(len(name), np.int64)
+        self.context[live] = back
+        self.owner, self.number = found // most, found % most
+        # whose totals have a say in the chain
+        self.wanted = np.bincount(back, self.count[live] > 1, len(found)) > 0
+
+    def by_owner(self):
+        """(part, its slice of the contexts)."""
+        owners = np.unique(self.owner)
+        ends = np.searchsorted(self.owner, owners, side="right")
+        for owner, first, last in zip(owners, np.searchsorted(self.owner, owners), ends, strict=True):
+            yield int(owner), slice(int(first), int(last))
+
+
+def _opened(parts: int):
+    """What each part says to each other one: in how many cells the other's words are contexts, and which totals it wants."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                part = _Part(row, parts)
+                rows = [
+                    (owner, part.part, _steps(part.number[x], np.array([x.stop - x.start])), _whole(part.opened[x]), _pack(part.wanted[x]))
+                    for owner, x in part.by_owner()
+                ]
+                if rows:
+                    yield pa.RecordBatch.from_pydict({
+                        "part": pa.array([r[0] for r in rows], pa.int32()),
+                        "asker": pa.array([r[1] for r in rows], pa.int32()),
+                        "numbers": pa.array([r[2] for r in rows], pa.binary()),
+                        "opened": pa.array([r[3] for r in rows], pa.binary()),
+                        "wanted": pa.array([r[4] for r in rows], pa.binary()),
+                    })
+
+    return run
+
+
+def _summed(numbers: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
+    return np.bincount(np.concatenate(numbers), np.concatenate(values)).astype(np.int64)
+
+
+def _open(table: pa.Table) -> pa.Table:
+    """Tables of a part's words as contexts, at one per cell, to the parts that want them."""
+    rows = table.to_pylist()
+    opened = [_numbers(r["opened"]) for r in rows]
+    numbers = [_runs(r["numbers"], np.array([len(o)])) for r, o in zip(rows, opened, strict=True)]
+    tables = _summed(numbers, opened)
+    wanted = [_unpack(r["wanted"]) for r in rows]
+    return pa.table({
+        "part": pa.array([r["asker"] for r in rows], pa.int32()),
+        "owner": pa.array([r["part"] for r in rows], pa.int32()),
+        "tables": pa.array([_whole(tables[n[w]]) for n, w in zip(numbers, wanted, strict=True)], pa.binary()),
+    })
 
 
 class Totals:
     """What is known of the whole corpus: counts, discounts, tables at one per cell."""
 
-    def __init__(self, stats: np.ndarray):
+    def __init__(self, stats: np.ndarray, contexts: int = CONTEXTS):
         self.vocabulary = int(stats[0])
         ratio = lambda one, two: float(np.clip(one / (one + 2.0 * two), 0.1, 0.95)) if one + two else 0.5
         self.root_discount, self.discount = ratio(stats[1], stats[2]), ratio(stats[3], stats[4])
-        self.customers = stats[5 : 5 + CONTEXTS].astype(float)
-        self.tables = stats[5 + CONTEXTS :].astype(float)
+        self.customers = stats[5 : 5 + contexts].astype(float)
+        self.tables = stats[5 + contexts :].astype(float)
         self.tokens = int(self.customers.sum())
+        self.everyone = float(self.tables.sum())
         self.base = 1.0 / (self.vocabulary + 1)
 
+    @classmethod
+    def with_classes(cls, stats: np.ndarray) -> Totals:
+        """From the sums of what ``_merge`` has found; the contexts of a part are to follow (see :meth:`of`)."""
+        customers, tables = stats[8 : 8 + CONTEXTS].astype(float), stats[8 + CONTEXTS :].astype(float)
+        out = cls(np.concatenate((stats[[0, 1, 2, 5, 6, 7]], [tables.sum()])), contexts=1)
+        out.class_discount = cls(np.concatenate((stats[[0, 1, 2, 3, 4, 7]], [0])), contexts=1).discount
+        out.class_customers, out.class_tables = customers, tables
+        return out
+
+    def of(self, tables: np.ndarray) -> Totals:
+        """The same with the tables of the contexts that one part has to do with."""
+        out = copy(self)
+        out.tables = tables.astype(float)
+        return out
+
 
 def _sequential(rng: np.random.Generator, c: np.ndarray, new: np.ndarray, d: float) -> np.ndarray:
     """Tables of c customers seated one after another, in runs of doubling length."""
@@ -348,40 +550,65 @@ def _sizes(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, d: float) ->
 class Chain:
     """The seating of one part's words; iterating runs the Gibbs sampler and gives its samples."""
 
-    def __init__(self, part: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, totals: Totals):
+    def __init__(
+        self, part: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, totals: Totals, kind: np.ndarray | None = None
+    ):
         self.rng = np.random.default_rng([part, 20_011])
         self.totals = totals
         self.live = np.flatnonzero(count > 0)
         self.word, self.context, self.count = word[self.live], context[self.live], count[self.live]
         self.n_words = n_words
+        # whose tables are customers of the shared parent: cells, or those of the classes above them
+        self.top_word, self.classes = self.word, None
+        if kind is not None:
+            found, self.up = np.unique(self.word * CONTEXTS + kind[self.live], return_inverse=True)
+            self.top_word, self.classes = found // CONTEXTS, found % CONTEXTS
+            self.class_customers, self.class_tables = np.bincount(self.up, minlength=len(found)), np.ones(len(found), np.int64)
 
     def root(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Customers of the parent per word, and tables at which they sit (drawn anew)."""
         o = self.totals
-        r = np.bincount(self.word, t, self.n_words).astype(np.int64)
+        r = np.bincount(self.top_word, t, self.n_words).astype(np.int64)
         new = np.full(self.n_words, (STRENGTH + o.root_discount * o.vocabulary) * o.base)
         return r, np.where(r > 0, _tables(self.rng, r, new, o.root_discount), 0)
 
     def samples(self):
-        """(tables per live cell, parent customers per word, parent tables per word) of each sample."""
+        """(tables per live cell, parent customers per word, parent tables per word) of each sample.
+
+        With classes, ``class_customers`` and ``class_tables`` are those of the same sample.
+        """
         o, rng, d = self.totals, self.rng, self.totals.discount
         t = np.ones(len(self.live), np.int64)
         open_new = STRENGTH + d * o.tables[self.context]
-        everyone = STRENGTH + o.tables.sum()
+        everyone = STRENGTH + o.everyone
+        r = s = None
 
-        def parent(r, s):
+        def parent():
             smooth = (STRENGTH + o.root_discount * o.vocabulary) * o.base
             return (r - o.root_discount * s + smooth) / everyone
 
-        r, s = self.root(t)
+        def above():
+            """What the restaurants above the cells, drawn anew, say of the cells' words."""
+            nonlocal r, s
+            if self.classes is None:
+                r, s = self.root(t)
+                return parent()[self.word]
+            if r is None:
+                r, s = self.root(self.class_tables)
+            e, new = o.class_discount, STRENGTH + o.class_discount * o.class_tables[self.classes]
+            self.class_customers = np.bincount(self.up, t, len(self.classes)).astype(np.int64)
+            self.class_tables = _tables(rng, self.class_customers, new * parent()[self.top_word], e)
+            r, s = self.root(self.class_tables)
+            chance = self.class_customers - e * self.class_tables + new * parent()[self.top_word]
+            return (chance / (STRENGTH + o.class_customers[self.classes]))[self.up]
+
         multi = np.flatnonzero(self.count > 1)
         c = self.count[multi]
-        t[multi] = _sequential(rng, c, (open_new * parent(r, s)[self.word])[multi], d)
+        t[multi] = _sequential(rng, c, (open_new * above())[multi], d)
         for step in range(BURN_IN + SAMPLES):
-            r, s = self.root(t)
-            t[multi] = _tables(rng, c, (open_new * parent(r, s)[self.word])[multi], d)
+            t[multi] = _tables(rng, c, (open_new * above())[multi], d)
             if step >= BURN_IN:
-                r, s = self.root(t)
+                above()
                 yield t.copy(), r, s
 
     @staticmethod
@@ -419,92 +646,158 @@ class Chain:
         return cell, size
 
 
-def _chain(row: dict, totals: Totals) -> tuple[Chain, np.ndarray, np.ndarray]:
-    word, context = _unpack(row["cell_word"]), _unpack(row["cell_context"])
-    total = _unpack(row["word_count"])
-    return Chain(row["part"], word, context, _unpack(row["cell_count"]), len(total), totals), word, context
+_SEATED = (
+    "block bigint, part int, counts binary, customers binary, tables binary, cells binary, seats binary, "
+    "few binary, class_customers binary, class_tables binary, numbers binary, sums array<bigint>"
+)
 
 
-def _sample_totals(totals: Totals):
-    """Per sample: tables of each context restaurant, then tables of the parent."""
+def _seated(totals: Totals, parts: int):
+    """Runs the chain of a part. Rows for the blocks (of their words: training count, customers and tables at the shared parent in
+    each sample; of these by class: customers, 2 for more, and where there are more, customers and tables in each sample; of their
+    cells: count, and tables of all samples where there is a choice), for the parts (tables of their words as contexts in each
+    sample), and one with the sums of each sample: customers and tables of every class, parent tables.
+    """
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                chain, _, _ = _chain(row, totals)
-                for i, (t, _, s) in enumerate(chain.samples()):
-                    found = np.bincount(chain.context, t, CONTEXTS).astype(np.int64)
-                    yield pa.RecordBatch.from_pydict({
-                        "sample": pa.array(np.full(CONTEXTS + 1, i, np.int32)),
-                        "place": pa.array(np.arange(CONTEXTS + 1, dtype=np.int32)),
-                        "n": pa.array(np.append(found, s.sum()).astype(np.int64)),
-                    })
+    def run(merged: pa.Table, opened: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c.split()[0]: [] for c in _SEATED.split(", ")}
+
+        def add(**values) -> None:
+            for name, column in out.items():
+                column.append(values.get(name))
+
+        for row in merged.to_pylist():
+            part = _Part(row, parts)
+            replies = sorted(opened.to_pylist(), key=lambda r: r["owner"])
+            tables = np.ones(len(part.number))
+            if replies:
+                tables[part.wanted] = np.concatenate([_numbers(r["tables"]) for r in replies])
+            chain = Chain(part.part, part.word, part.context, part.count, part.n_words, totals.of(tables), part.kind)
+            by_class = chain.top_word * CONTEXTS + chain.classes
+            seats = np.zeros(len(part.word), np.int64)
+            customers, at_parent, found, in_class, at_class, sums = [], [], [], [], [], []
+            for t, r, s in chain.samples():
+                seats[chain.live] += t
+                customers.append(r)
+                at_parent.append(s)
+                found.append(np.bincount(chain.context, t, len(part.number)).astype(np.int64))
+                in_class.append(chain.class_customers)
+                at_class.append(chain.class_tables)
+                for x in (in_class[-1], at_class[-1]):
+                    sums += [int(n) for n in np.bincount(chain.classes, x, CONTEXTS)]
+                sums.append(int(s.sum()))
+            add(sums=sums)
+            found, customers, at_parent, in_class, at_class = (np.array(x) for x in (found, customers, at_parent, in_class, at_class))
+            few = np.minimum(in_class.max(0), 2) if len(by_class) else np.zeros(0, np.int64)
+            for owner, x in part.by_owner():
+                add(part=owner, tables=_whole(found[:, x].ravel()), numbers=_steps(part.number[x], np.array([x.stop - x.start])))
+            total = np.bincount(part.word, part.count, part.n_words).astype(np.int64)
+            words_each, cells_each = _unpack(row["words_each"]), _unpack(row["cells_each"])
+            words, cells = _runs(row["asked_words"], words_each), _runs(row["asked_cells"], cells_each)
+            w, c = (np.concatenate(([0], np.cumsum(x))) for x in (words_each, cells_each))
+            for i, block in enumerate(_unpack(row["blocks"])):
+                word, cell = words[w[i] : w[i + 1]], cells[c[i] : c[i + 1]]
+                count = part.count[cell]
+                asked = np.unique(part.word[cell] * CONTEXTS + part.kind[cell])
+                at = np.searchsorted(by_class, asked)
+                known = np.zeros(len(asked), bool)
+                known[at < len(by_class)] = by_class[at[at < len(by_class)]] == asked[at < len(by_class)]
+                kinds = np.zeros(len(asked), np.uint8)
+                kinds[known] = few[at[known]]
+                more = at[kinds == 2]
+                add(
+                    block=int(block), part=part.part, counts=_whole(total[word]), customers=_whole(customers[:, word].ravel()),
+                    tables=_whole(at_parent[:, word].ravel()), cells=_whole(count), seats=_whole(seats[cell[count > 1]]),
+                    few=_pack(kinds), class_customers=_whole(in_class[:, more].ravel()), class_tables=_whole(at_class[:, more].ravel()),
+                )
+        types = {"block": pa.int64(), "part": pa.int32(), "sums": pa.list_(pa.int64())}
+        return pa.table({n: pa.array(v, types.get(n, pa.binary())) for n, v in out.items()})
 
     return run
 
 
-def _answers(totals: Totals, sampled: np.ndarray):
-    """Word counts and log10 probabilities of the cells that each block asked for."""
+_TOTALLED = "block bigint, part int, restaurants binary"
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                chain, word, context = _chain(row, totals)
-                d, mean = totals.discount, np.zeros(len(word))
-                for (t, r, s), sums in zip(chain.samples(), sampled, strict=True):
-                    tables, top = sums[:CONTEXTS], sums[CONTEXTS]
-                    smooth = (STRENGTH + totals.root_discount * top) * totals.base
-                    parent = (r - totals.root_discount * s + smooth) / (STRENGTH + tables.sum())
-                    own = np.zeros(len(word))
-                    own[chain.live] = chain.count - d * t
-                    mean += (own + (STRENGTH + d * tables[context]) * parent[word]) / (STRENGTH + totals.customers[context])
-                logs = np.log10(mean / len(sampled))
-                counts, classes = _unpack(row["word_count"]), _unpack(row["word_class"])
-                words, cells = _unpack(row["asked_words"]), _unpack(row["asked_cells"])
-                w = np.concatenate(([0], np.cumsum(_unpack(row["words_each"]))))
-                c = np.concatenate(([0], np.cumsum(_unpack(row["cells_each"]))))
-                blocks = _unpack(row["blocks"])
-                for first in range(0, len(blocks), 256):
-                    some = range(first, min(first + 256, len(blocks)))
-                    yield pa.RecordBatch.from_pydict({
-                        "block": pa.array(blocks[first : first + 256]),
-                        "part": pa.array(np.full(len(some), row["part"], np.int32)),
-                        "counts": pa.array([_pack(counts[words[w[i] : w[i + 1]]]) for i in some], pa.binary()),
-                        "logs": pa.array([_pack(logs[cells[c[i] : c[i + 1]]]) for i in some], pa.binary()),
-                        "classes": pa.array([_pack(classes[words[w[i] : w[i + 1]]]) for i in some], pa.binary()),
-                    })
 
-    return run
+def _totalled(merged: pa.Table, seated: pa.Table) -> pa.Table:
+    """Tables of a part's words as contexts in each sample, to the blocks that have these words."""
+    numbers, tables = [], []
+    for r in seated.to_pylist():
+        found = _numbers(r["tables"]).reshape(SAMPLES, -1)
+        numbers.append(_runs(r["numbers"], np.array([found.shape[1]])))
+        tables.append(found)
+    blocks, parts, answers = [], [], []
+    for row in merged.to_pylist():
+        words_each = _unpack(row["words_each"])
+        words = _runs(row["asked_words"], words_each)
+        names = _runs(row["names"], np.array([int(words.max()) + 1]))
+        whole = np.zeros((SAMPLES, len(names)), np.int64)
+        for n, t in zip(numbers, tables, strict=True):
+            whole[:, np.searchsorted(names, n)] += t
+        ends = np.cumsum(words_each)
+        for block, first, last in zip(_unpack(row["blocks"]), ends - words_each, ends, strict=True):
+            blocks.append(int(block))
+            parts.append(row["part"])
+            answers.append(_whole(whole[:, words[first:last]].ravel()))
+    return pa.table({"block": pa.array(blocks, pa.int64()), "part": pa.array(parts, pa.int32()), "restaurants": pa.array(answers, pa.binary())})
+
 
+def _scores(totals: Totals, sampled: np.ndarray, parts: int):
+    """Scores of a block's documents; ``sampled``: of each sample, customers and tables of every class, and all parent tables."""
 
-def _scores(totals: Totals):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = sorted(answers.select(["part", "counts", "logs", "classes"]).to_pylist(), key=lambda r: r["part"])
-        counts = np.concatenate([_unpack(r["counts"]) for r in parts])
-        logs = np.concatenate([_unpack(r["logs"]) for r in parts])
-        context = np.concatenate([_unpack(r["classes"]) for r in parts])
+        told = sorted(answers.to_pylist(), key=lambda r: r["part"])
+        columns = lambda name: [_numbers(r[name]) for r in told if r[name] is not None]
+        by_sample = lambda name: np.concatenate([x.reshape(SAMPLES, -1) for x in columns(name)], 1)
         all_ids = [_unpack(x) for x in docs.column("ids").to_pylist()]
-        cells, back = cells_of(all_ids, context)
-        if len(cells) != len(logs):
+        numbered = answers.filter(answers.column("numbers").is_valid())
+        cells = _Cells(all_ids, *_ids_of(numbered), parts)
+        counts, own = np.concatenate(columns("counts")), np.concatenate(columns("cells"))
+        if len(counts) != len(cells.part) or len(own) != len(cells.word):
             raise ValueError("a block's answers do not fit its documents")
-        sizes = np.array([len(a) for a in all_ids])
-        starts = np.cumsum(sizes) - sizes
-        ids = np.concatenate(all_ids)
+        d, e, root = totals.discount, totals.class_discount, totals.root_discount
+        in_class, at_class, top = np.split(sampled.reshape(SAMPLES, -1), (CONTEXTS, 2 * CONTEXTS), 1)
+        smooth = (STRENGTH + root * top) * totals.base
+        parent = (by_sample("customers") - root * by_sample("tables") + smooth) / (STRENGTH + at_class.sum(1, keepdims=True))
+        word, kind, up = cells.classes()
+        few = np.concatenate(columns("few"))
+        if len(few) != len(word):
+            raise ValueError("a block's answers do not fit its documents")
+        customers, tables, more = np.minimum(few, 1), np.minimum(few, 1), few > 1
+        above = []
+        for i, (c, t) in enumerate(zip(by_sample("class_customers"), by_sample("class_tables"), strict=True)):
+            customers[more], tables[more] = c, t
+            above.append((customers - e * tables + (STRENGTH + e * at_class[i, kind]) * parent[i, word]) / (STRENGTH + in_class[i, kind]))
+        seats = np.where(own > 0, float(SAMPLES), 0.0)
+        seats[own > 1] = np.concatenate(columns("seats"))
+        mean = own - d * seats / SAMPLES
+        for opened, p in zip(by_sample("restaurants"), above, strict=True):
+            mean += (STRENGTH + d * opened[cells.before]) / SAMPLES * p[up]
+        # the customers of a context are its own occurrences in training text
+        logs = np.log10(mean / (STRENGTH + counts[cells.before]))
         plain = np.log10((counts + 1) / (totals.tokens + totals.vocabulary + 1))
-        n = len(sizes)
+        n = len(all_ids)
         return pa.table({
             "doc_id": docs.column("doc_id"),
             "held_out": docs.column("held_out"),
-            "n_tokens": pa.array(sizes.astype(np.int64)),
-            "n_known": pa.array(np.add.reduceat((counts[ids] > 0).astype(np.int64), starts)),
+            "n_tokens": pa.array(cells.sizes.astype(np.int64)),
+            "n_known": pa.array(np.add.reduceat((counts[cells.ids] > 0).astype(np.int64), cells.starts)),
             "train_tokens": pa.array(np.full(n, totals.tokens, np.int64)),
-            "base_score": pa.array(np.add.reduceat(plain[ids], starts)),
-            "score": pa.array(np.add.reduceat(logs[back], starts)),
+            "base_score": pa.array(np.add.reduceat(plain[cells.ids], cells.starts)),
+            "score": pa.array(np.add.reduceat(logs[cells.back], cells.starts)),
         })
 
     return run
 
 
+def _added(rows: DataFrame, column: str, width: int) -> np.ndarray:
+    """Sums of a column of arrays, place by place."""
+    out = np.zeros(width, np.int64)
+    for r in rows.select(F.posexplode(column).alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out
+
+
 def score_texts(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
@@ -514,27 +807,31 @@ def score_texts(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     rows = texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.withColumn("held_out", held_out if held_out is not None else fold(7) == 2)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     schema = _BLOCKS.format(kind=kind)
     names = [c.split()[0] for c in schema.split(", ")]
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
     fields = pa.schema([(n, arrow[c.split()[1]]) for n, c in zip(names, schema.split(", "), strict=True)])
-    blocks = store(rows.mapInArrow(_blocked(parts, names, fields), schema), "lm-blocks")
-
-    asked = blocks.where("part IS NOT NULL").select("block", "part", "words", "size", "n_cells", "contexts", "counts")
-    merged = store(asked.groupBy("part").applyInArrow(_merge, _MERGED), "lm-parts")
-    width = 5 + 2 * CONTEXTS
-    sums = merged.select(F.posexplode("stats").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
-    stats = np.zeros(width, np.int64)
-    for r in sums:
-        stats[r["at"]] = r["n"]
-    totals = Totals(stats)
-
-    drawn = merged.mapInArrow(_sample_totals(totals), "sample int, place int, n bigint")
-    sampled = np.zeros((SAMPLES, CONTEXTS + 1))
-    for r in drawn.groupBy("sample", "place").agg(F.sum("n").alias("n")).collect():
-        sampled[r["sample"], r["place"]] = r["n"]
-    answers = merged.mapInArrow(_answers(totals, sampled), "block bigint, part int, counts binary, logs binary, classes binary")
+    # bucketed: documents and merged cells are joined to more than once, and do not move for it
+    blocks = store_bucketed(rows.mapInArrow(_blocked(parts, names, fields), schema), "lm_blocks", ["block"])
     texts_of = blocks.where("ids IS NOT NULL").select("block", "doc_id", "held_out", "ids")
+    words = blocks.where("part IS NOT NULL").select("block", "part", "words", "size", "counts")
+    numbered = store(words.groupBy("part").applyInArrow(_number, "block bigint, part int, numbers binary"), "lm-numbers")
+
+    counted = texts_of.groupBy("block").cogroup(numbered.groupBy("block")).applyInArrow(_counted(parts), _ASKED)
+    merged = store_bucketed(counted.groupBy("part").applyInArrow(_merge(parts), _MERGED), "lm_parts", ["part"])
+    totals = Totals.with_classes(_added(merged, "stats", 8 + 2 * CONTEXTS))
+
+    opened = merged.select("part", "n_cells", "contexts", "counts").mapInArrow(
+        _opened(parts), "part int, asker int, numbers binary, opened binary, wanted binary"
+    )
+    opened = opened.groupBy("part").applyInArrow(_open, "part int, owner int, tables binary")
+    seated = store(merged.groupBy("part").cogroup(opened.groupBy("part")).applyInArrow(_seated(totals, parts), _SEATED), "lm-seats")
+    sampled = _added(seated, "sums", SAMPLES * (2 * CONTEXTS + 1)).astype(float)
+
+    asked = merged.select("part", "names", "blocks", "words_each", "asked_words")
+    found = seated.where("block IS NULL AND part IS NOT NULL").select("part", "numbers", "tables")
+    totalled = asked.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_totalled, _TOTALLED)
+    answers = seated.where("block IS NOT NULL").drop("sums", "numbers").unionByName(numbered, True).unionByName(totalled, True)
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return texts_of.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(totals), out)
+    return texts_of.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(totals, sampled, parts), out)
