@@ -117,3 +117,20 @@ def test_few_rules_stay_packed_beside_many(spark):
     by_url = {r.url: r.allowed for r in robots.robots_allows(asked, captured).collect()}
     assert [by_url[u] for u in urls] == [False, True, False, True, False, True]
     assert robots.wide_rules(robots.robots_hosts(captured)).select("host").distinct().count() == 1
+
+
+def test_rules_of_one_prefix_are_told_apart_by_their_ends_and_counted_once(spark):
+    rules = [(i % 2 == 0, f"/*-{i}.html$") for i in range(300)] + [(i == 7, "/en") for i in range(300)]
+    rules += [(False, "/en/a$"), (True, "/*$"), (True, "/e*n/a$"), (False, "/*/a*$"), (False, "/$x$"), (True, "/en/a$"), (False, "/*n/*a$")]
+    table = spark.createDataFrame([("one.test", *r) for r in rules], "host string, allow boolean, pattern string")
+    by_ends = robots._by_ends(robots.rule_rows(table))
+    lists = {(r.prefix, r.suffix): r["_rules"] for r in by_ends.collect()}
+    # no list grows with the rules that begin alike
+    assert max(map(len, lists.values())) == 2 and [(r.copies, r.allow) for r in lists["/en", ""]] == [(300, True)]
+    paths = ["/x-3.html", "/x-4.html", "/en/y-123.html", "/en", "/en/a", "/e", "/enn/a", "/$x", "/a", "/en/a/n/a", "/-7.html"]
+    asked = spark.createDataFrame([(f"https://one.test{p}",) for p in paths], "url string")
+    got = {r.url: (r.matches, r.allow) for r in robots.match_rule_rows(asked, robots.rule_rows(table)).collect()}
+    for p in paths:
+        fitting = [(len(q), allow) for allow, q in rules if plain_fit(q, p)]
+        want = (len(fitting), max(fitting)[1]) if fitting else None
+        assert got.get(f"https://one.test{p}") == want, p
