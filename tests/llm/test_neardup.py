@@ -150,3 +150,37 @@ def test_matches_follow_the_similarity(spark):
     linked = [(i, j) for i, j in combinations(range(40), 2) if 100 * len(sets[i] & sets[j]) >= 55 * len(sets[i] | sets[j])]
     component = {r.doc_id: r.component_id for r in got}
     assert len(linked) > 20 and all(component[i] == component[j] for i, j in linked)
+
+
+def test_signatures_alike_enough_share_keys():
+    rng = np.random.default_rng(4)
+    for matches in (20, 34, 45, 64):
+        width = neardup.width_for(matches)
+        least = neardup.COORDINATES // width - (neardup.COORDINATES - matches)
+        a = rng.integers(0, 2**32, (50, neardup.COORDINATES), np.uint32)
+        b = a.copy()
+        for row in b:
+            row[rng.permutation(neardup.COORDINATES)[matches:]] += np.uint32(1)
+        shared = (neardup.keys_of(a, width) == neardup.keys_of(b, width)).sum(1)
+        assert least > 0 and shared.min() >= least
+    assert neardup.width_for(20) == 1 and neardup.width_for(34) == 2
+    assert len(np.unique(neardup.keys_of(a[:1], 1))) == neardup.COORDINATES
+
+
+def test_texts_of_nodes_without_a_partner_stay_where_they_are(spark, monkeypatch):
+    """A passage in common gives nodes keys in common; their texts move only if signatures agree enough."""
+    moved = []
+
+    def store(df, name, put=neardup.store):
+        out = put(df, name)
+        moved.extend(r.doc for r in out.collect()) if name == "needed" else None
+        return out
+
+    monkeypatch.setattr(neardup, "store", store)
+    passage, copy = prose(3000, 60), prose(9, 90)
+    rows = [(i, passage + " " + prose(i, 60, 5000)) for i in range(40)] + [(50, copy), (51, copy + " more")]
+    for block in (512, 7):
+        moved.clear()
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows), 2, list_block=block).collect()}
+        assert got == {i: i for i in range(40)} | {50: 50, 51: 50}
+        assert set(moved) == {50, 51}

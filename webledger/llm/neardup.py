@@ -2,18 +2,21 @@
 
 1. Every text becomes a set of word shingles, and a signature of ``COORDINATES`` minima. Texts with
    equal sets are one class from here on; a class is one node.
-2. A signature is posted under its (coordinate, value) pairs. The number of coordinates that a pair must agree
+2. The number of coordinates that a pair must agree
    in follows from the similarity asked for (:func:`matches_for`; 34 of 64 at 0.8): two sets just alike enough agree in
-   fewer with a chance under ``MISS``. Pairs that agree in
-   at least m share a key among the first COORDINATES - m + 1 keys of each, in any
+   fewer with a chance under ``MISS``. A signature is posted under keys of ``width`` coordinates and their values
+   (:func:`width_for`; 2 at 0.8): COORDINATES - m coordinates that differ spoil as many keys at most, so pairs that
+   agree in m or more share at least k of their keys (2 of 32 at 0.8), and texts that have a few common shingles
+   seldom share one. Of its keys, all but k - 1 then do, in any
    common order; rarest keys first, this prefix leaves out what many texts have in common, and
    keys that one node alone has are dropped before anything is paired. Sets of very different size
    cannot be linked: a list is split into classes of size, each a quarter larger than the one before (at 0.8),
    and a node stands in its own class and the next.
 3. Every list is named by its most central node, and lists of one name are put together: the nodes of
    a group of near copies share dozens of keys, but meet a few times only. In a table of at most
-   ``LIST_BLOCK`` nodes, collisions of signatures are counted pair by pair in one task; pairs above
-   the threshold are confirmed on their full sets, and pairs that are connected already are
+   ``LIST_BLOCK`` nodes, collisions of signatures are counted pair by pair in one task; only nodes with
+   a partner above the threshold have their texts fetched. Then these pairs
+   are confirmed on their full sets, and pairs that are connected already are
    skipped. Of a larger one, all nodes are first compared with its centre and one more, the
    confirmed pairs are merged into components, and only pairs across components are looked at, in
    blocks of bounded size. So a large group of near copies costs about one comparison per member,
@@ -40,7 +43,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webledger.llm.common import claim, in_pieces, texts
@@ -71,6 +74,14 @@ def matches_for(num: int, den: int) -> int:
     return COORDINATES
 
 
+def width_for(matches: int) -> int:
+    """Coordinates in a key: as many, a power of two, as leave pairs that agree in ``matches`` a key in common."""
+    width = 1
+    while COORDINATES // (2 * width) > COORDINATES - matches:
+        width *= 2
+    return width
+
+
 _A = np.array([int.from_bytes(hashlib.sha256(f"a{i}".encode()).digest()[:8], "big") | 1 for i in range(COORDINATES)], np.uint64)
 _B = np.array([int.from_bytes(hashlib.sha256(f"b{i}".encode()).digest()[:8], "big") for i in range(COORDINATES)], np.uint64)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -106,17 +117,21 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
+    """32 mixed bits of each minimum: what agrees by chance is one more pair to look at, and no link is lost."""
     out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(shingles), 4096):
         part = shingles[start : start + 4096]
         np.minimum(out, (part[None, :] * _A[:, None] + _B[:, None]).min(1), out=out)
-    return out
+    return (_mixed(out) >> np.uint64(32)).astype(np.uint32)
 
 
-def keys_of(signatures: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each (coordinate, value); the coordinate is in its lowest bits."""
-    mixed = _mixed(signatures ^ (np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
-    return ((mixed & ~np.uint64(COORDINATES - 1)) | np.arange(COORDINATES, dtype=np.uint64)).view(np.int64)
+def keys_of(signatures: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit key for every ``width`` coordinates and their values; their place is in its lowest bits."""
+    places = np.arange(COORDINATES // width, dtype=np.uint64)
+    mixed = np.repeat(_mixed(places + np.uint64(1))[None, :], len(signatures), 0)
+    for i in range(width):
+        mixed = _mixed((mixed ^ signatures[:, i::width]) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return ((mixed & ~np.uint64(COORDINATES - 1)) | places).view(np.int64)
 
 
 def _class(shingles: np.ndarray) -> bytes:
@@ -142,17 +157,20 @@ def _signed(size: int):
     return run
 
 
-def _posted(batches):
-    for batch in in_pieces(batches, 2000):
-        if not batch.num_rows:
-            continue
-        found = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint64).reshape(-1, COORDINATES)
-        node = np.repeat(batch.column("node").to_numpy(), COORDINATES)
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys_of(found).ravel())], names=["node", "key"])
+def _posted(width: int):
+    def run(batches):
+        for batch in in_pieces(batches, 2000):
+            if not batch.num_rows:
+                continue
+            found = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            node = np.repeat(batch.column("node").to_numpy(), COORDINATES // width)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys_of(found, width).ravel())], names=["node", "key"])
+
+    return run
 
 
 def agreeing(a: bytes, b: bytes) -> int:
-    return int((np.frombuffer(a, np.uint64) == np.frombuffer(b, np.uint64)).sum())
+    return int((np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).sum())
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -217,13 +235,23 @@ def _bodies(size: int):
     return run
 
 
-def _squeezed(asked):
-    """Texts compressed; only those whose doc_id may be asked for (or is null)."""
+def _asked_for(asked):
+    """Rows whose place may be asked for, without it."""
 
     def run(batches):
         bits = np.unpackbits(np.frombuffer(asked.value, np.uint8), bitorder="little")
         for batch in in_pieces(batches):
-            batch = batch.filter(pa.array(bits[batch.column("place").to_numpy()].astype(bool)))
+            found = batch.filter(pa.array(bits[batch.column("place").to_numpy()].astype(bool)))
+            yield found.select([c for c in found.schema.names if c != "place"])
+
+    return run
+
+
+def _squeezed(asked):
+    """Texts compressed; only those whose doc_id may be asked for (or is null)."""
+
+    def run(batches):
+        for batch in _asked_for(asked)(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([zlib.compress(t, 1) for t in batch.column("text").to_pylist()], pa.binary())],
                 names=["doc_id", "text"],
@@ -232,20 +260,20 @@ def _squeezed(asked):
     return run
 
 
-def _place(doc_id: str):
-    """The bit of a doc_id in the filter; a null has one too."""
-    return F.pmod(F.xxhash64(doc_id), F.lit(1 << _FILTER_BITS)).cast("int")
+def _place(key: str):
+    """The bit of a key in the filter; a null has one too."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << _FILTER_BITS)).cast("int")
 
 
-def _filter_of(needed: DataFrame) -> bytes:
-    """A bit for every doc_id, as bytes: the words of 32 bits that are not zero come to the driver."""
-    words = needed.select(_place("doc").alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(
+def _filter_of(needed: DataFrame, key: str):
+    """A bit for every key, broadcast as bytes: the words of 32 bits that are not zero come to the driver."""
+    words = needed.select(_place(key).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, p & 31)")).alias("bits")
     )
     found = words.toArrow()
     out = np.zeros(1 << (_FILTER_BITS - 5), "<u4")
     out[found.column("w").to_numpy()] = found.column("bits").to_numpy().astype("<u4")
-    return out.tobytes()
+    return needed.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
 def _pairs_confirmed(size: int, num: int, den: int):
@@ -268,13 +296,41 @@ def _colliding(matches: int):
     return run
 
 
+def _fitting(sig: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, num: int, den: int, matches: int) -> np.ndarray:
+    """Those of the others that agree with node i in enough coordinates, and are of a size that can be linked."""
+    others = others[den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i])]
+    return others[(sig[others] == sig[i]).sum(1) >= matches]
+
+
+_PLACED = "head bigint, node bigint, label bigint, block int, left int, right int, n bigint, signature binary"
+
+
+def _list_partners(num: int, den: int, matches: int):
+    """Of the nodes in one block (or in two) those that agree enough with one of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        label, n, own = (table.column(c).to_numpy() for c in ("label", "n", "block"))
+        left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
+        first, second = np.flatnonzero(own == left), np.flatnonzero(own == right)
+        keep = np.zeros(len(own), bool)
+        for at, i in enumerate(first):
+            found = _fitting(sig, n, i, second[at + 1 :] if left == right else second, num, den, matches)
+            found = found[label[found] != label[i]]
+            keep[found] = True
+            keep[i] |= len(found) > 0
+        return table.filter(pa.array(keep))
+
+    return run
+
+
 def _list_links(size: int, num: int, den: int, matches: int):
     """Links between components inside one block (or across two blocks) of nodes that share keys."""
 
     def run(table: pa.Table) -> pa.Table:
         claim("neardup", _known.clear)
         rows = table.to_pydict()
-        sig = np.frombuffer(b"".join(rows["signature"]), np.uint64).reshape(-1, COORDINATES)
+        sig = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, COORDINATES)
         label, n, own = rows["label"], np.array(rows["n"]), np.array(rows["block"])
         left, right = rows["left"][0], rows["right"][0]
         first, second = np.flatnonzero(own == left), np.flatnonzero(own == right)
@@ -293,9 +349,7 @@ def _list_links(size: int, num: int, den: int, matches: int):
         found = []
         for at, i in enumerate(first):
             others = second[at + 1 :] if left == right else second
-            fits = den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i])
-            others = others[fits]
-            for j in others[(sig[others] == sig[i]).sum(1) >= matches]:
+            for j in _fitting(sig, n, i, others, num, den, matches):
                 x, y = find(label[i]), find(label[j])
                 if x != y and linked(shingles(i), shingles(j), num, den):
                     top[y] = x
@@ -323,6 +377,7 @@ def _named(docs: DataFrame, shingle_words: int, num: int, den: int, list_block:
     ``body_key`` is a hash of the text, ``doc`` the smallest doc_id of a class, ``label`` its component.
     """
     matches = matches_for(num, den)
+    width = width_for(matches)
     rows = texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
     source = rows.withColumn("body_key", F.xxhash64("text"))
@@ -338,12 +393,11 @@ def _named(docs: DataFrame, shingle_words: int, num: int, den: int, list_block:
     nodes = store(nodes.withColumn("node", numbered), "nodes")
 
     # the rarest keys of each node, without those that it alone has
-    posted = nodes.select("node", "signature").mapInArrow(_posted, "node bigint, key bigint")
-    often = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = posted.join(often, "key").groupBy("node").agg(
-        F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"), F.sum("n").alias("central")
-    )
-    room = F.lit(1 - matches) + F.size("keys")
+    posted = nodes.select("node", "signature").mapInArrow(_posted(width), "node bigint, key bigint")
+    often = posted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    shared = often.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"), F.sum("n").alias("central"))
+    in_common = COORDINATES // width - (COORDINATES - matches)
+    room = F.lit(1 - in_common) + F.size("keys")
     shared = shared.where(room > 0).select("node", "central", F.slice("keys", F.lit(1), room).alias("keys"))
     lists = store(shared.select("node", "central", F.explode("keys.key").alias("key")), "lists")
     grade = F.col("node").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1).cast("bigint"))
@@ -355,20 +409,27 @@ def _named(docs: DataFrame, shingle_words: int, num: int, den: int, list_block:
     members = store(members, "members")
     sizes = members.groupBy("head").agg(F.count(F.lit(1)).alias("members"))
 
-    # the texts of the nodes that share keys
-    needed = store(members.select("node").distinct().join(nodes.select("node", "doc", "class"), "node"), "needed")
-    asked = docs.sparkSession.sparkContext.broadcast(_filter_of(needed))
-    squeezed = rows.withColumn("place", _place("doc_id")).mapInArrow(_squeezed(asked), f"doc_id {kind}, text binary")
-    by_id = squeezed.join(needed.where("doc IS NOT NULL").withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "node", "class")
-    no_id = squeezed.where("doc_id IS NULL").select("text", F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("binary").alias("class"))
-    found = by_id.unionByName(no_id).mapInArrow(_bodies(shingle_words), "node bigint, class binary, body binary")
-    nameless = found.where("node IS NULL").select("class", "body").join(needed.where("doc IS NULL").select("node", "class"), "class")
-    bodies = found.where("node IS NOT NULL").select("node", "body").unionByName(nameless.select("node", "body"))
-    bodies = store(bodies.groupBy("node").agg(F.first("body").alias("body")), "bodies")
+    # the signatures of the nodes that share keys
+    marked = nodes.select("node", "n", "signature", _place("node").alias("place"))
+    signatures = marked.mapInArrow(_asked_for(_filter_of(members, "node")), "node bigint, n bigint, signature binary")
+
+    def bodies_of(wanted: DataFrame) -> DataFrame:
+        """(node, body) of nodes."""
+        needed = store(wanted.select("node").distinct().join(nodes.select("node", "doc", "class"), "node"), "needed")
+        asked = _filter_of(needed, "doc")
+        squeezed = rows.withColumn("place", _place("doc_id")).mapInArrow(_squeezed(asked), f"doc_id {kind}, text binary")
+        by_id = squeezed.join(needed.where("doc IS NOT NULL").withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "node", "class")
+        no_id = squeezed.where("doc_id IS NULL").select("text", F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("binary").alias("class"))
+        found = by_id.unionByName(no_id).mapInArrow(_bodies(shingle_words), "node bigint, class binary, body binary")
+        nameless = found.where("node IS NULL").select("class", "body").join(needed.where("doc IS NULL").select("node", "class"), "class")
+        bodies = found.where("node IS NOT NULL").select("node", "body").unionByName(nameless.select("node", "body"))
+        return bodies.groupBy("node").agg(F.first("body").alias("body"))
 
     def linked_within(placed: DataFrame) -> DataFrame:
         """Links among rows (head, node, label, block, left, right)."""
-        full = placed.join(nodes.select("node", "n", "signature"), "node").join(bodies, "node")
+        blocks = placed.join(signatures, "node").groupBy("head", "left", "right")
+        partners = store(blocks.applyInArrow(_list_partners(num, den, matches), _PLACED), "partners")
+        full = partners.join(bodies_of(partners), "node")
         return full.groupBy("head", "left", "right").applyInArrow(_list_links(shingle_words, num, den, matches), "a bigint, b bigint")
 
     zero = F.lit(0)
@@ -378,14 +439,14 @@ def _named(docs: DataFrame, shingle_words: int, num: int, den: int, list_block:
     links = store(linked_within(small), "links")
     large = members.join(sizes.where(F.col("members") > list_block), "head")
     if not large.isEmpty():
-        links = links.unionByName(_links_of_large(large.select("head", "node"), nodes, bodies, linked_within, shingle_words, num, den, matches, list_block))
+        links = links.unionByName(_links_of_large(large.select("head", "node"), signatures, bodies_of, linked_within, shingle_words, num, den, matches, list_block))
     final = store(components(links), "labels")
     named = nodes.select("node", "class", "doc").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return signed, named.select("class", "doc", "label")
 
 
 def _links_of_large(
-    large: DataFrame, nodes: DataFrame, bodies: DataFrame, linked_within, size: int, num: int, den: int, matches: int, list_block: int
+    large: DataFrame, signatures: DataFrame, bodies_of, linked_within, size: int, num: int, den: int, matches: int, list_block: int
 ) -> DataFrame:
     """Links that connect the nodes of large tables (head, node) as far as they are connected."""
     large = store(large, "large")
@@ -393,9 +454,11 @@ def _links_of_large(
     second = large.groupBy("head").agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("q"))
     pairs = large.join(second, "head").select("node", F.explode(F.array_distinct(F.array("head", "q"))).alias("p")).where("node <> p")
     pairs = pairs.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
-    slim = nodes.select("node", "signature")
+    slim = signatures.select("node", "signature")
     pairs = pairs.join(slim.toDF("a", "ga"), "a").join(slim.toDF("b", "gb"), "b").mapInArrow(_colliding(matches), "a bigint, b bigint")
-    pairs = store(pairs, "pairs").join(bodies.toDF("a", "sa"), "a").join(bodies.toDF("b", "sb"), "b")
+    pairs = store(pairs, "pairs")
+    bodies = store(bodies_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "bodies")
+    pairs = pairs.join(bodies.toDF("a", "sa"), "a").join(bodies.toDF("b", "sb"), "b")
     stars = store(pairs.mapInArrow(_pairs_confirmed(size, num, den), "a bigint, b bigint"), "stars")
     labels = store(components(stars), "labels")
 
