@@ -126,3 +126,34 @@ def test_awkward_rows(spark):
     got = tokens.read_tokens(tokens.write_tokens(awkward(spark), tokenizer_file(), 2)).collect()
     assert len(got) == 11 and min(r.n_tokens for r in got) == 1
     assert tokens.read_tokens(tokens.write_tokens(docs(spark, []), tokenizer_file(), 2)).count() == 0
+
+
+def test_plain_words_go_to_the_model_alone(direct):
+    from pathlib import Path
+
+    from tokenizers import Tokenizer, normalizers
+
+    encoder = tokens.Encoder(Path(tokenizer_file()).read_text())
+    words = ["hander", "trechan", "dont", "s", "x" * 500, *prose(3, 40).replace("w", "qu").split(), "étude", "hander$$$", "B", "a1b"]
+
+    class Counted:
+        def encode(self, pieces, **kind):
+            assert not any(p.isascii() and p.isalpha() and p.islower() for p in pieces)
+            return direct.encode(pieces, **kind)
+
+    encoder.tokenizer = Counted()
+    got = encoder.pieces([w.encode() for w in words])
+    assert {w.encode(): direct.encode(w, add_special_tokens=False).ids for w in words} == {
+        p: np.frombuffer(ids, "<u4").tolist() for p, ids in got.items()
+    }
+    # a tokenizer that changes some pair of letters, or has a name of letters
+    for change in ("normalizer", "name"):
+        model = Tokenizer.from_file(tokenizer_file())
+        if change == "normalizer":
+            model.normalizer = normalizers.Sequence([model.normalizer, normalizers.Replace("qz", "k")])
+        else:
+            model.add_special_tokens(["sep"])
+        other = tokens.Encoder(model.to_str())
+        assert encoder.plain and not other.plain
+        found = other.encode([b"a qzed onesep sep two"])
+        assert np.frombuffer(found[0], "<u4").tolist() == model.encode("a qzed onesep sep two", add_special_tokens=False).ids

@@ -17,7 +17,8 @@ full stop or comma after a word is a piece of its own. In texts with marks that
 pieces that are all ASCII are lowered: a
 tokenizer composes characters before it lower-cases, and a capital with a combining mark need not have
 a composed form where the small letter has one. Unchanged stay texts that hold the name of an added token, in
-any case. Which of this holds is asked of the tokenizer itself; one that does neither encodes whole
+any case. Words of small ASCII letters go to the tokenizer's model at once, if its normalizer and pre-tokenizer
+would hand them on as they are. Which of this holds is asked of the tokenizer itself; one that does none of it encodes whole
 texts.
 
 Defined cases: a null text is empty and has the end id alone; null doc_ids come first; repeated
@@ -34,6 +35,7 @@ import uuid
 import zlib
 from collections.abc import Sequence
 from pathlib import Path
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +89,10 @@ _MARK = b"\xcc"
 _STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[\x20\x09-\x0D])")
 
 
+# What a model must read alone as the whole tokenizer does: all letters, all pairs of them, and some words.
+_WORDS = [*ascii_lowercase, "".join(a + b for a in ascii_lowercase for b in ascii_lowercase), "the", "unbelievably", "isnt", "ll", "re", "ve"]
+
+
 class Encoder:
     """Text to ids, as little-endian uint32 bytes, through a bounded table of known pieces."""
 
@@ -107,6 +113,13 @@ class Encoder:
         self.drops_space = ids(" ab\n\t c ") == ids("ab") + ids("c") and all(len(n.split()) == 1 for n in self.names)
         same_case = ids("THE End") == ids("the") + ids("end") and ids("\u00c9T\u00c9") == ids("\u00e9t\u00e9")
         self.folds = self.drops_space and same_case and ids("ab, c. d") == sum(map(ids, ("ab", ",", "c", ".", "d")), [])
+        self.model = self.tokenizer.model
+        # an added token inside a word of letters would be one of letters
+        self.plain = not any(n.isalpha() for n in self.names) and all(ids(w) == self.word(w) for w in _WORDS)
+
+    def word(self, word: str) -> list[int]:
+        """Ids of one word, by the model alone."""
+        return [t.id for t in self.model.tokenize(word)]
 
     def split(self, body: bytes) -> list[bytes]:
         if not self.folds:
@@ -128,6 +141,12 @@ class Encoder:
 
     def pieces(self, missing: Sequence[bytes], at_once: int = 1000) -> dict[bytes, bytes]:
         out: dict[bytes, bytes] = {}
+        if self.plain:
+            for piece in missing:
+                if piece.isalpha() and piece.islower():
+                    ids = self.word(piece.decode())
+                    out[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            missing = [p for p in missing if p not in out]
         for start in range(0, len(missing), at_once):
             part = missing[start : start + at_once]
             done = self.tokenizer.encode([p.decode("utf-8") for p in part], is_pretokenized=True, add_special_tokens=False)
