@@ -157,3 +157,68 @@ def test_plain_words_go_to_the_model_alone(direct):
         assert encoder.plain and not other.plain
         found = other.encode([b"a qzed onesep sep two"])
         assert np.frombuffer(found[0], "<u4").tolist() == model.encode("a qzed onesep sep two", add_special_tokens=False).ids
+
+
+def test_pieces_are_looked_up_once_for_all_texts(direct):
+    from pathlib import Path
+
+    encoder = tokens.Encoder(Path(tokenizer_file()).read_text())
+    looks = []
+
+    class Counted(dict):
+        def __contains__(self, piece):
+            looks.append(piece)
+            return super().__contains__(piece)
+
+        def __getitem__(self, piece):
+            looks.append(piece)
+            return super().__getitem__(piece)
+
+        def get(self, piece, other=None):
+            looks.append(piece)
+            return super().get(piece, other)
+
+    encoder.known = Counted()
+    bodies = ["The end, the\tend!", "", "the end? END"] * 100
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([b.encode() for b in bodies])]
+    assert got == [e.ids for e in direct.encode_batch(bodies, add_special_tokens=False)]
+    assert len(looks) <= 3 * len(set(looks))
+
+
+def test_marks_after_words_are_pieces(direct):
+    from pathlib import Path
+
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    encoder = tokens.Encoder(Path(tokenizer_file()).read_text())
+    bodies = ["Word$$$ word! (word) word's word' it's. é$$ $$ a$$é x2&& a&&̸ b≠ c=", "word,$$\nword.", "<|endoftext|> word%% <|endoftext|>&& ", "J̌&& The%% É.. "]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([b.encode() for b in bodies])]
+    assert got == [e.ids for e in direct.encode_batch(bodies, add_special_tokens=False)]
+    assert {b"word", b"$$$", b"!", b",$$"} <= set(encoder.known) and b"word$$$" not in encoder.known
+    # a tokenizer that keeps some mark with the word before it
+    model = Tokenizer.from_file(tokenizer_file())
+    model.pre_tokenizer = pre_tokenizers.Whitespace()
+    other = tokens.Encoder(model.to_str())
+    assert other.folds
+    bodies = ["word_ word! word!_ word_! word$$ "]
+    got = [np.frombuffer(x, "<u4").tolist() for x in other.encode([b.encode() for b in bodies])]
+    assert got == [e.ids for e in model.encode_batch(bodies, add_special_tokens=False)]
+    assert b"word_" in other.known and b"word$$" not in other.known
+
+
+@given(st.lists(st.text(st.sampled_from("aZT.,&'1 \nÉé̌\x00 "), max_size=12), max_size=5))
+def test_texts_cut_together_are_texts_alone(direct, bodies):
+    encoder = tokens.Encoder.of("test", open(tokenizer_file(), encoding="utf-8").read())
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([b.encode() for b in bodies])]
+    assert got == [e.ids for e in direct.encode_batch(bodies, add_special_tokens=False)]
+
+
+def test_rows_are_grouped_by_bytes():
+    import pyarrow as pa
+
+    rows = [(None, b""), *[(i, b"x" * 1000) for i in range(9000)], (3, b"y" * tokens.AT_ONCE), (4, b"")]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows]), "text": pa.array([r[1] for r in rows])})
+    found = list(tokens.groups(iter([batch, batch.slice(0, 0), batch.slice(0, 10)])))
+    assert [r for ids, texts in found for r in zip(ids, texts, strict=True)] == [*rows, *rows[:10]]
+    assert max(len(ids) for ids, _ in found) > 256 and all(sum(map(len, t[:-1])) < tokens.AT_ONCE for _, t in found)
+    assert list(tokens.groups(iter([]))) == []

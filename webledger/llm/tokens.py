@@ -11,9 +11,11 @@ files are summed from one manifest row per file. A task that is run again writes
 name; only files in the manifest count.
 
 Words repeat, so each Python worker encodes a piece of text once and keeps its ids in a table of at
-most ``KNOWN`` pieces. Pieces end at white space if the tokenizer drops it and never looks across;
-for one that also lower-cases and parts words from marks, ASCII letters are lowered and a
-full stop or comma after a word is a piece of its own. In texts with marks that compose with ASCII letters, only
+most ``KNOWN`` pieces. Texts of about ``AT_ONCE`` bytes are cut together with numpy, their pieces are numbered by
+Arrow, and only different ones are looked up; ids of all places are gathered by these numbers. Pieces end at white
+space if the tokenizer drops it and never looks across;
+for one that also lower-cases and parts words from marks, ASCII letters are lowered and
+ASCII marks between a word and white space are a piece of their own, as far as the tokenizer parts them. In texts with marks that compose with ASCII letters, only
 pieces that are all ASCII are lowered: a
 tokenizer composes characters before it lower-cases, and a capital with a combining mark need not have
 a composed form where the small letter has one. Unchanged stay texts that hold the name of an added token, in
@@ -29,13 +31,13 @@ empty table writes no file.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import islice
 from pathlib import Path
-from string import ascii_lowercase
+from string import ascii_letters, ascii_lowercase, punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +45,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webledger.llm.common import claim, in_pieces, new_folder, open_folder, texts
+from webledger.llm.common import SPACE, claim, in_pieces, new_folder, open_folder, texts
 from webledger.scale import store
 
 BLOCK = 4096
 KNOWN = 350_000
+AT_ONCE = 1 << 22
 _MAGIC = b"WLPACK01"
 _FOOTER = struct.Struct("<8sBxxxIQQQQ")  # magic, bits, ids a block, ids, documents, blocks, bytes of blocks
 
@@ -86,7 +89,12 @@ def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
 
 # The first byte of every mark that composes with an ASCII letter (U+0300 to U+0338).
 _MARK = b"\xcc"
-_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[\x20\x09-\x0D])")
+# Bytes by kind; zero is all else.
+_SPACE, _LETTER, _STOP = 1, 2, 3
+_KINDS = bytearray(256)
+for _kind, _bytes in ((_SPACE, SPACE), (_LETTER, ascii_letters.encode())):
+    for _byte in _bytes:
+        _KINDS[_byte] = _kind
 
 
 # What a model must read alone as the whole tokenizer does: all letters, all pairs of them, and some words.
@@ -112,7 +120,11 @@ class Encoder:
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.drops_space = ids(" ab\n\t c ") == ids("ab") + ids("c") and all(len(n.split()) == 1 for n in self.names)
         same_case = ids("THE End") == ids("the") + ids("end") and ids("\u00c9T\u00c9") == ids("\u00e9t\u00e9")
-        self.folds = self.drops_space and same_case and ids("ab, c. d") == sum(map(ids, ("ab", ",", "c", ".", "d")), [])
+        self.folds = self.drops_space and same_case and ids("ab, c. d.") == sum(map(ids, ("ab", ",", "c", ".", "d", ".")), [])
+        self.kinds = bytearray(_KINDS)
+        for mark in punctuation:
+            if ids(f"ab{mark} c") == ids("ab") + ids(mark) + ids("c"):
+                self.kinds[ord(mark)] = _STOP
         self.model = self.tokenizer.model
         # an added token inside a word of letters would be one of letters
         self.plain = not any(n.isalpha() for n in self.names) and all(ids(w) == self.word(w) for w in _WORDS)
@@ -121,15 +133,42 @@ class Encoder:
         """Ids of one word, by the model alone."""
         return [t.id for t in self.model.tokenize(word)]
 
-    def split(self, body: bytes) -> list[bytes]:
-        if not self.folds:
-            return body.split()
-        low = body.lower()
-        if any(name in low for name in self.names):
-            return body.split()
-        if _MARK not in body:
-            return _STOP.sub(rb" \1", low).split()
-        return [p.lower() if p.isascii() else p for p in _STOP.sub(rb" \1", body).split()]
+    def split(self, bodies: Sequence[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts in a row, and how many of them there are up to the end of each text."""
+        whole = b"\n".join([*bodies, b""])
+        ends = np.cumsum([len(b) + 1 for b in bodies])
+        kinds = np.frombuffer(whole.translate(self.kinds), np.uint8)
+        inside = kinds != _SPACE
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        as_is, marked = np.zeros(len(bodies), bool), np.zeros(len(bodies), bool)
+        if self.folds:
+            low = whole.lower()
+            if any(name in low for name in self.names):
+                as_is = np.array([any(name in b.lower() for name in self.names) for b in bodies])
+            if _MARK in whole:
+                marked = np.array([_MARK in b for b in bodies])
+            stops = np.flatnonzero(kinds == _STOP)
+            alone = np.diff(stops) > 1
+            first, after = stops[np.append(True, alone)[: len(stops)]], stops[np.append(alone, True)[: len(stops)]] + 1
+            # the last byte is a space, so there is one after each run, and the one before the first is no letter
+            stops = first[(kinds[first - 1] == _LETTER) & (kinds[after] == _SPACE)]
+            if as_is.any():
+                stops = stops[~as_is[np.searchsorted(ends, stops, "right")]]
+            begins[stops] = True
+        else:
+            low = whole
+        counts = np.searchsorted(np.flatnonzero(begins), ends)
+        starts = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside))
+        text = low.translate(None, SPACE)
+        if as_is.any() or marked.any():
+            written = np.frombuffer(whole.translate(None, SPACE), np.uint8)
+            others = np.append(0, np.cumsum(written > 127))
+            of = np.repeat(np.arange(len(bodies)), np.diff(counts, prepend=0))
+            stay = as_is[of] | (marked[of] & (others[starts[1:]] > others[starts[:-1]]))
+            text = np.where(np.repeat(stay, np.diff(starts)), written, np.frombuffer(text, np.uint8))
+        data = [None, pa.py_buffer(starts), pa.py_buffer(text)]
+        return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, data), counts
 
     @classmethod
     def of(cls, key: str, model: str) -> Encoder:
@@ -156,22 +195,34 @@ class Encoder:
                 out[piece] = ids[cuts[i] : cuts[i + 1]].tobytes()
         return out
 
+    def ids(self, words: Sequence[bytes]) -> list[bytes]:
+        """Ids of different pieces, from the table or anew."""
+        found = [self.known.get(word) for word in words]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        fresh = self.pieces([words[i] for i in missing])
+        for i in missing:
+            found[i] = fresh[words[i]]
+        room = KNOWN - len(self.known)
+        self.known.update(fresh if room >= len(fresh) else islice(fresh.items(), max(room, 0)))
+        return found
+
     def encode(self, bodies: Sequence[bytes]) -> list[bytes]:
         if not self.drops_space:
             found = self.tokenizer.encode_batch([b.decode("utf-8") for b in bodies], add_special_tokens=False)
             return [np.array(e.ids, "<u4").tobytes() for e in found]
-        split = [self.split(body) for body in bodies]
-        seen = set().union(*split) if split else set()
-        fresh = self.pieces([p for p in seen if p not in self.known])
-        room = KNOWN - len(self.known)
-        if room >= len(fresh):
-            self.known.update(fresh)
-        elif room > 0:
-            self.known.update(list(fresh.items())[:room])
-        known = self.known
-        if room >= len(fresh):
-            return [b"".join([known[p] for p in pieces]) for pieces in split]
-        return [b"".join([known[p] if p in known else fresh[p] for p in pieces]) for pieces in split]
+        pieces, counts = self.split(bodies)
+        numbered = pieces.dictionary_encode()
+        found = self.ids(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        which = numbered.indices.to_numpy()
+        # place k of the result is place k - at of a piece that stands at ``at`` there
+        long = sizes[which]
+        ends = np.append(0, np.cumsum(long))
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], long)
+        at += np.arange(len(at))
+        ids, cuts = flat[at], ends[np.append(0, counts)]
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 class _Writer:
@@ -253,6 +304,21 @@ def file_order(docs: DataFrame) -> list[Column] | None:
     return [F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("bigint"), name, F.col("_metadata.row_index")]
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """Doc ids and texts, rows of about ``AT_ONCE`` bytes at a time; a longer text ends its group."""
+    doc_ids, bodies, size = [], [], 0
+    for batch in in_pieces(batches):
+        for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            doc_ids.append(doc_id)
+            bodies.append(body)
+            size += len(body) + 100  # an empty text takes room, too
+            if size >= AT_ONCE:
+                yield doc_ids, bodies
+                doc_ids, bodies, size = [], [], 0
+    if bodies:
+        yield doc_ids, bodies
+
+
 _MANIFEST = "part int, path string, n_ids bigint, n_docs bigint"
 
 
@@ -272,14 +338,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, order: Sequence[C
         encoder = Encoder.of(*shared.value)
         writer, path = None, f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.bin"
         end = np.array([end_id], "<u4").tobytes()
-        for batch in in_pieces(batches):
+        for doc_ids, bodies in groups(batches):
             if writer is None:
                 system, inside = open_folder(path)
                 system.create_dir(inside.rpartition("/")[0], recursive=True)
                 sink = system.open_output_stream(inside)
                 writer = _Writer(sink, bits_for(encoder.vocabulary))
-            bodies = batch.column("text").to_pylist()
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(bodies), strict=True):
+            for doc_id, ids in zip(doc_ids, encoder.encode(bodies), strict=True):
                 writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
