@@ -202,3 +202,78 @@ def test_totals_of_contexts_are_whole_over_parts_and_blocks(spark, monkeypatch):
     # blocks only cut the work: parts and their counts are the same, so is the chain but for the order of words
     a, b = seen.values()
     assert abs(a - b) < 0.01 * abs(a)
+
+
+class Counting:
+    """A generator of random numbers that counts what it is asked for."""
+
+    def __init__(self, seed):
+        self.rng, self.calls = np.random.default_rng(seed), 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return getattr(self.rng, name)
+
+
+def test_a_cell_of_many_tables_takes_no_step_for_each():
+    rng = Counting(3)
+    got = [py._tables(rng, np.array([100_000]), np.array([3000.0]), 0.74)[0] for _ in range(20)]
+    assert rng.calls < 1000
+    # chances of single tables are even to some hundreds here
+    about = py._expected(np.array([100_000.0]), np.array([3000.0]), 0.74)[0][0]
+    assert about > 2000 and all(abs(t - about) < 8 * np.sqrt(about) for t in got) and len(set(got)) > 5
+
+
+def test_chances_of_many_tables_are_exact():
+    u = np.linspace(1e-4, 1 - 1e-4, 101)
+    for c, new, d in ((3000, 60.0, 0.6), (3000, 500.0, 0.3), (3000, 5000.0, 0.9), (3000, 300.0, 0.74), (2000, 2000.0, 0.1), (2000, 40.0, 0.5)):
+        upto = np.cumsum(exact_tables(c, new, d))
+        want = np.searchsorted(upto, u * upto[-1]) + 1
+        (about,), (saddle,) = py._expected(np.array([float(c)]), np.array([new]), d)
+        assert [py._by_chances(x, float(c), new, d, about, saddle) for x in u] == want.tolist(), (c, new, d)
+
+
+def test_few_customers_follow_the_exact_conditional_whatever_a_new_table_weighs():
+    rng = np.random.default_rng(12)
+    n = 20_000
+    for c, new, d in ((2, 1e-9, 0.5), (3, 0.7, 0.95), (64, 1e4, 0.1), (64, 300.0, 0.74), (64, 1e5, 0.5)):
+        few = 200 if new > py._HEAVY else n
+        got = np.bincount(py._tables(rng, np.full(few, c), np.full(few, new), d), minlength=c + 1)[1:] / few
+        assert np.abs(np.cumsum(got) - np.cumsum(exact_tables(c, new, d))).max() < 2.3 / np.sqrt(few), (c, new, d)
+
+
+def test_words_are_those_between_white_space_of_any_bytes():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    said = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in rng.integers(0, 80, 400)]
+    said += [b"", b" \t\n\x0b\x0c\r ", bytes(range(256)), "É\u00a0x\u2003Y \x1c\x85Z".encode(), b"\xff A\x00B"]
+    for start, stop in ((0, len(said)), (7, 60), (0, 0)):
+        sizes, found = py._split(pa.array(said, pa.binary()).slice(start, stop - start))
+        want = [s.translate(py._LOWER).split() for s in said[start:stop]]
+        assert sizes.tolist() == [len(w) for w in want] and found.to_pylist() == [w for ws in want for w in ws]
+
+
+def test_words_numbered_in_portions_are_those_numbered_at_once(monkeypatch):
+    import pyarrow as pa
+
+    said = [[prose(i, i % 40, 200).encode() for i in range(k, k + 10)] + [b""] for k in range(0, 60, 10)]
+    fields = pa.schema([
+        ("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()),
+        ("part", pa.int32()), ("words", pa.binary()), ("size", pa.int64()), ("counts", pa.binary()),
+    ])
+    seen = []
+    for size in (py.WORD_BYTES, 0):
+        monkeypatch.setattr(py, "WORD_BYTES", size)
+        block = py._Block(1, 7)
+        for k, texts in enumerate(said):
+            sizes, found = py._split(pa.array(texts, pa.binary()))
+            block.add([100 * k + i for i in range(len(texts))], [i % 3 == 0 for i in range(len(texts))], sizes, found)
+        assert len(block.coded) == (0 if size else len(said))
+        seen.append([b.to_pylist() for b in block.rows(fields.names, fields)])
+    assert seen[0] == seen[1]
+    # the numbers are those of the words in the block's parts, in order
+    names = [w for r in seen[0][1] for w in pa.decompress(r["words"], r["size"], "zstd", asbytes=True).split(b" ")]
+    got = [py._unpack(r["ids"]) for r in seen[0][0]]
+    assert [len(g) for g in got] == [len(t.split()) + 1 for texts in said for t in texts]
+    assert [[names[i] for i in g] for g in got] == [[*t.translate(py._LOWER).split(), b""] for texts in said for t in texts]

@@ -43,6 +43,7 @@ from copy import copy
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +56,10 @@ BURN_IN, SAMPLES = 4, 4
 STRENGTH = 5.0
 # Tokens of a block of documents, about; what one task holds at a time.
 BLOCK_TOKENS = 2_000_000
+# Bytes of words that wait to be numbered together.
+WORD_BYTES = 64 << 20
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))  # what ``_split`` does to letters
 _MARKS = b".,;:!?|%$&*#\"'()"
 END = b""  # words are never empty
 
@@ -117,33 +120,46 @@ class _Block:
 
     def __init__(self, number: int, parts: int):
         self.number, self.parts = number, parts
-        self.index: dict[bytes, int] = {END: 0}
         self.docs: list[tuple] = []
+        self.words: list[pa.Array] = []
+        self.coded: list[pa.DictionaryArray] = []
         self.tokens = 0
 
-    def add(self, doc_id, held_out: bool, text: bytes) -> None:
-        index = self.index
-        words = text.translate(_LOWER).split()
-        ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))
-        self.docs.append((doc_id, held_out, np.append(ids, np.int32(0))))
-        self.tokens += len(words) + 1
+    def add(self, doc_ids: list, held_out: list, sizes: np.ndarray, words: pa.Array) -> None:
+        """Documents by the numbers of their words, and all words."""
+        self.docs += zip(doc_ids, held_out, sizes.tolist(), strict=True)
+        self.words.append(words)
+        self.tokens += len(words) + len(doc_ids)
+        if sum(w.nbytes for w in self.words) > WORD_BYTES:
+            self.number_words()
+
+    def number_words(self) -> None:
+        if self.words:
+            self.coded.append(pa.concat_arrays(self.words).dictionary_encode())
+            self.words = []
 
     def rows(self, names: list[str], schema: pa.Schema):
-        words = list(self.index)
+        self.number_words()
+        coded = pa.chunked_array(self.coded).unify_dictionaries()
+        words = [END, *coded.chunk(0).dictionary.to_pylist()]
+        sizes = np.array([size for _, _, size in self.docs])
+        ids = np.concatenate([x.indices.to_numpy() for x in coded.chunks]) + 1
+        # every text ends with the end token
+        ids = np.insert(ids, np.cumsum(sizes), 0)
         part = np.array([zlib.crc32(w) % self.parts for w in words])
         order = np.argsort(part, kind="stable")
         renamed = np.empty(len(words), np.int32)
         renamed[order] = np.arange(len(words), dtype=np.int32)
-        counts = np.zeros(len(words), np.int64)
+        train = np.repeat([not held_out for _, held_out, _ in self.docs], sizes + 1)
+        counts = np.bincount(ids[train], minlength=len(words))[order]
+        ids = renamed[ids]
+        ends = np.cumsum(sizes + 1)
         columns: dict[str, list] = {n: [] for n in ("block", "doc_id", "held_out", "ids")}
-        for doc_id, held_out, old in self.docs:
-            ids = renamed[old]
-            if not held_out:
-                np.add.at(counts, ids, 1)
+        for (doc_id, held_out, size), end in zip(self.docs, ends.tolist(), strict=True):
             columns["block"].append(self.number)
             columns["doc_id"].append(doc_id)
             columns["held_out"].append(held_out)
-            columns["ids"].append(_pack(ids))
+            columns["ids"].append(_pack(ids[end - size - 1 : end]))
         yield _batch(columns, names, schema)
         cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
         columns = {n: [] for n in ("block", "part", "words", "size", "counts")}
@@ -201,6 +217,17 @@ def _ids_of(numbered: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.array([r["part"] for r in rows], np.int64), [len(n) for n in numbers]), np.concatenate(numbers)
 
 
+def _split(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of words of texts in UTF-8, and the words, in lower-case."""
+    # only seen as a string: nothing looks beyond ASCII
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text.view(pa.string())))
+    words = lists.flatten().view(pa.binary())
+    real = pc.greater(pc.binary_length(words), 0)
+    upto = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+    return np.diff(upto[ends], prepend=0), words.filter(real)
+
+
 def _blocked(parts: int, names: list[str], schema: pa.Schema):
     def run(batches):
         from pyspark import TaskContext
@@ -208,9 +235,16 @@ def _blocked(parts: int, names: list[str], schema: pa.Schema):
         number = TaskContext.get().partitionId() << 24
         block = _Block(number, parts)
         for batch in in_pieces(batches):
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True)
-            for doc_id, held_out, text in rows:
-                block.add(doc_id, held_out, text)
+            doc_ids, held_out = (batch.column(c).to_pylist() for c in ("doc_id", "held_out"))
+            sizes, words = _split(batch.column("text"))
+            upto = np.concatenate(([0], np.cumsum(sizes)))
+            done = 0
+            while done < len(sizes):
+                # all that fit, and the one that fills the block
+                tokens = block.tokens + np.cumsum(sizes[done:] + 1)
+                cut = done + min(int(np.searchsorted(tokens, BLOCK_TOKENS)) + 1, len(tokens))
+                block.add(doc_ids[done:cut], held_out[done:cut], sizes[done:cut], words.slice(upto[done], upto[cut] - upto[done]))
+                done = cut
                 if block.tokens >= BLOCK_TOKENS:
                     yield from block.rows(names, schema)
                     number += 1
@@ -441,14 +475,19 @@ def _sequential(rng: np.random.Generator, c: np.ndarray, new: np.ndarray, d: flo
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Of positive numbers, by Stirling's series beyond 10."""
-    shift, x = np.zeros_like(x), x.copy()
-    while (low := x < 10).any():
-        shift[low] += np.log(x[low])
+    low = np.flatnonzero(x < 10)
+    shift, x = np.ones(len(low)), x.copy()
+    for _ in range(10 if len(low) else 0):
+        shift *= x[low]
         x[low] += 1
-    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - (1 / 360 - 1 / (1260 * x * x)) / (x * x)) / x - shift
+    out = (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - (1 / 360 - 1 / (1260 * x * x)) / (x * x)) / x
+    out[low] -= np.log(shift)
+    return out
 
 
 _FEW = 64
+# Beyond so much a new table weighs, powers of its weight are kept as logarithms.
+_HEAVY = 1e4
 
 
 def _log_stirling(d: float) -> np.ndarray:
@@ -469,22 +508,92 @@ def _tables(rng: np.random.Generator, c: np.ndarray, new: np.ndarray, d: float)
     customers who get up and sit down again come to after any number of rounds.
     """
     t = np.ones(len(c), np.int64)
-    stirling = _log_stirling(d)
-    kinds = np.where((c > 1) & (c <= _FEW), c, 0)
+    kinds = np.where((c > 1) & (c <= _FEW), c, 0).astype(np.uint8)
     order = np.argsort(kinds, kind="stable")
-    cuts = np.searchsorted(kinds[order], np.arange(_FEW + 2))
-    for n in range(2, _FEW + 1):
-        at = order[cuts[n] : cuts[n + 1]]
-        for some in np.array_split(at, len(at) // 20_000 + 1) if len(at) else ():
-            logs = np.log(new[some])[:, None] * np.arange(1, n + 1) + stirling[n, 1 : n + 1]
-            upto = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
-            t[some] = 1 + (upto < (rng.random(len(some)) * upto[:, -1])[:, None]).sum(1)
+    order = order[np.searchsorted(kinds[order], 1) :]
+    if len(order):
+        t[order] = _few_tables(rng.random(len(order)), kinds[order], new[order], d)
     many = np.flatnonzero(c > _FEW)
     if len(many):
         t[many] = _many_tables(rng, c[many].astype(float), new[many], d)
     return t
 
 
+def _few_tables(u: np.ndarray, c: np.ndarray, new: np.ndarray, d: float) -> np.ndarray:
+    """``_tables`` of 2 to ``_FEW`` customers, the fewest first: where the chances of 1, 2, 3... tables sum up to ``u``."""
+    t = np.ones(len(c), np.int64)
+    stirling = _log_stirling(d)
+    heavy = new > _HEAVY
+    for i in np.flatnonzero(heavy):
+        logs = np.log(new[i]) * np.arange(1, c[i] + 1) + stirling[c[i], 1 : c[i] + 1]
+        upto = np.cumsum(np.exp(logs - logs.max()))
+        t[i] += (upto < u[i] * upto[-1]).sum()
+    # by tables and customers, with one table as one
+    share = np.vstack((np.zeros(_FEW + 1), np.exp(stirling[1:] - stirling[1:, 1:2]))).T.copy()
+    weight, whole = np.where(heavy, 0.0, new), np.zeros(len(c))
+    cuts = np.searchsorted(c, np.arange(_FEW + 1, dtype=c.dtype))
+    for n in range(int(c[-1]), 0, -1):
+        some = slice(cuts[n], None)
+        whole[some] = whole[some] * weight[some] + share[n][c[some]]
+    on = np.flatnonzero(~heavy)
+    goal, seen, power, n = (u * whole)[on], np.ones(len(on)), np.ones(len(on)), 1
+    weight, c = weight[on], c[on]
+    # a sum's last digits may say otherwise, but c customers have c tables at most
+    while (more := (seen < goal) & (c > n)).any():
+        on, goal, seen, power, weight, c = (x[more] for x in (on, goal, seen, power, weight, c))
+        n += 1
+        t[on] = n
+        power = power * weight
+        seen = seen + power * share[n][c]
+    return t
+
+
+# Cells of more tables than this, about, are drawn by their chances, not table by table.
+_STEPS = 200
+
+
+def _expected(c: np.ndarray, new: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """About how many tables c customers have: where new^t S_d(c, t) is largest; and 1 - z at the saddle point that says so."""
+    low, high = np.full(len(c), -700.0), np.zeros(len(c))
+    for _ in range(40):
+        w = (low + high) / 2
+        beyond = np.log(new) + (d - 1) * w + np.log(-np.expm1(w)) > np.log(c)
+        low, high = np.where(beyond, w, low), np.where(beyond, high, w)
+    return np.clip(-new / d * np.expm1(d * high), 1, c), np.exp(high)
+
+
+def _by_chances(u: float, c: float, new: float, d: float, about: float, saddle: float) -> int:
+    """``_tables`` of one cell of many tables: the chances of all numbers that have any, summed up to ``u``.
+
+    S_d(c, t) is c! / (t! d^t) times the coefficient of z^c in (1 - (1 - z)^d)^t. Cauchy's integral for it
+    goes around the cut from 1 on, along a parabola through (about) the saddle point, where the trapezoidal rule has the
+    precision of the numbers themselves. One path does for all t in question.
+    """
+    # 1 - z of the path's vertex: no nearer to the cut than the integrand can tell
+    vertex = max(saddle, min(4.0 / c, 0.5))
+    # steps are small against the integrand's width there
+    power = vertex**d
+    bend = about * d * power * (1 - d + (2 * d - 1) * power) / (1 - power) ** 2 + c * (vertex / (1 - vertex)) ** 2
+    at = np.arange(400.0) * min(0.12, 0.2 / np.sqrt(bend))
+    w = vertex * (1 + 1j * at) ** 2
+    base, rest = np.log(1 - w**d), np.log(1 + 1j * at) - (c + 1) * np.log1p(-w)
+    height = (about * base + rest).real
+    near = height > height[0] - 45
+    base, rest, top, here = base[near], rest[near], base[0].real, rest[0].real
+    rest[0] -= np.log(2)
+    width = 10 * np.sqrt(about) + 20
+    while True:
+        t = np.arange(max(1.0, np.floor(about - width)), min(c, np.ceil(about + width)) + 1)
+        lead = t * (np.log(new / d) + top) - _log_gamma(t + 1)
+        some = np.array_split(t, len(t) // 2000 + 1)
+        value = np.concatenate([np.exp(x[:, None] * (base - top) + (rest - here)).real.sum(1) for x in some])
+        upto = np.cumsum(np.exp(lead - lead.max()) * np.maximum(value, 0))
+        first, last = upto[0], upto[-1] - upto[-2]
+        if max(first * (t[0] > 1), last * (t[-1] < c)) < 1e-13 * upto[-1]:
+            return int(t[np.searchsorted(upto, u * upto[-1])])
+        width *= 2
+
+
 def _many_tables(rng: np.random.Generator, c: np.ndarray, new: np.ndarray, d: float) -> np.ndarray:
     """``_tables`` by rejection, with a step for each table, not for each customer.
 
@@ -493,41 +602,61 @@ def _many_tables(rng: np.random.Generator, c: np.ndarray, new: np.ndarray, d: fl
     where q + d t is ``new``. Of some strengths, the one that turns the fewest tries down is taken. With t
     tables and m customers, those to come open the next table as if each did so with one chance, drawn from
     Beta(q + d t, m - d t). A try is given up when no later table can make it pass. ``e`` is q + d.
+    Cells of very many tables, for which steps would take long, are drawn by their chances, unless most customers have
+    tables of their own.
     """
+    t = np.zeros(len(c), np.int64)
+    about, saddle = _expected(c, new, d)
+    by_steps = (about <= _STEPS) | (saddle > 0.5)
+    large = np.flatnonzero(~by_steps)
+    for i, u in zip(large, rng.random(len(large)), strict=True):
+        t[i] = _by_chances(u, c[i], new[i], d, about[i], saddle[i])
+
+    every = np.flatnonzero(by_steps)
+    own, weight = c[every], new[every]
+    lead = np.log(weight / d)
 
     def peak(e):
-        best = np.clip(np.floor((new - e) / d) + 1, 1, c)
-        at = lambda n: n * np.log(new / d) + _log_gamma(e / d) - _log_gamma(e / d + (n - 1))
-        return np.maximum(at(best), at(np.minimum(best + 1, c)))
-
-    e, least = new, np.full(len(c), np.inf)
-    for part in np.geomspace(1e-3, 1.0, 25):
-        tried = new * part
-        cost = peak(tried) + _log_gamma(tried - d + c) - _log_gamma(tried + 1 - d)
-        e, least = np.where(cost < least, tried, e), np.minimum(cost, least)
-    top = peak(e)
-    t = np.zeros(len(c), np.int64)
-    every = np.arange(len(c))
+        best = np.minimum(np.floor((weight - e) / d) + 2, own)
+        return best * lead + _log_gamma(e / d) - _log_gamma(e / d + (best - 1))
+
+    # among 25 strengths, every fourth, and nearer and nearer to the best so far: there is one minimum
+    shares, best, least = np.geomspace(1e-3, 1.0, 25), np.zeros(len(every), np.int64), np.full(len(every), np.inf)
+    for near in (lambda: range(0, 25, 4), lambda: (best - 2, best + 2), lambda: (best - 1, best + 1)):
+        for k in near():
+            k = np.clip(k, 0, 24)
+            tried = weight * shares[k]
+            cost = peak(tried) + _log_gamma(tried - d + own) - _log_gamma(tried + 1 - d)
+            best, least = np.where(cost < least, k, best), np.minimum(cost, least)
+    e, first = np.empty(len(c)), np.empty(len(c))
+    e[every] = weight * shares[best]
+    first[every] = lead - peak(e[every])
     while len(every):
         # several tries at once for the last few cells
         cell = np.repeat(every, max(1, min(64, 4096 // len(every))))
         fate = np.log(1.0 - rng.random(len(cell)))
-        m, now = np.ones(len(cell)), np.log(new[cell] / d) - top[cell]
-        drawn, on = np.ones(len(cell), np.int64), np.arange(len(cell))
+        now, drawn = first[cell], np.ones(len(cell), np.int64)
+        on, m, n = np.arange(len(cell)), np.ones(len(cell)), 1
+        at, most, start, gain = now.copy(), c[cell], e[cell], np.log(new[cell] / d)
         while len(on):
-            i, n = cell[on], drawn[on]
-            chance = rng.beta(e[i] + d * (n - 1), m[on] - d * n)
+            chance = rng.beta(start + d * (n - 1), m - d * n)
             with np.errstate(divide="ignore"):
-                m[on] += 1 + np.floor(np.log(1.0 - rng.random(len(on))) / np.log1p(-np.maximum(chance, 1e-300)))
-            on = on[m[on] <= c[i]]
-            i, n = cell[on], drawn[on]
-            step = np.log(new[i] / d) - np.log(e[i] / d + (n - 1))
-            now[on] += step
-            drawn[on] += 1
-            on = on[(step > 0) | (now[on] >= fate[on])]
+                m += 1 + np.floor(np.log(1.0 - rng.random(len(on))) / np.log1p(-np.maximum(chance, 1e-300)))
+            kept = m <= most
+            now[on], drawn[on] = at, n
+            if not kept.all():
+                on, m, at, most, start, gain = (x[kept] for x in (on, m, at, most, start, gain))
+            step = gain - np.log(start / d + (n - 1))
+            at += step
+            n += 1
+            kept = (step > 0) | (at >= fate[on])
+            if not kept.all():
+                lost = on[~kept]
+                now[lost], drawn[lost] = at[~kept], n
+                on, m, at, most, start, gain = (x[kept] for x in (on, m, at, most, start, gain))
         taken = now >= fate
-        found, at = np.unique(cell[taken], return_index=True)
-        t[found] = drawn[taken][at]
+        found, tries = np.unique(cell[taken], return_index=True)
+        t[found] = drawn[taken][tries]
         every = np.setdiff1d(every, found, assume_unique=True)
     return t
 
