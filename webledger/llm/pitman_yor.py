@@ -708,7 +708,12 @@ class Chain:
         """
         o, rng, d = self.totals, self.rng, self.totals.discount
         t = np.ones(len(self.live), np.int64)
-        open_new = STRENGTH + d * o.tables[self.context]
+        # the others have one table, whatever is drawn
+        multi = np.flatnonzero(self.count > 1)
+        c, open_new = self.count[multi], STRENGTH + d * o.tables[self.context[multi]]
+        if self.classes is not None:
+            up = self.up[multi]
+            single = np.bincount(self.up, self.count == 1, len(self.classes)).astype(np.int64)
         everyone = STRENGTH + o.everyone
         r = s = None
 
@@ -717,25 +722,23 @@ class Chain:
             return (r - o.root_discount * s + smooth) / everyone
 
         def above():
-            """What the restaurants above the cells, drawn anew, say of the cells' words."""
+            """What the restaurants above the cells of several customers, drawn anew, say of the cells' words."""
             nonlocal r, s
             if self.classes is None:
                 r, s = self.root(t)
-                return parent()[self.word]
+                return parent()[self.word[multi]]
             if r is None:
                 r, s = self.root(self.class_tables)
             e, new = o.class_discount, STRENGTH + o.class_discount * o.class_tables[self.classes]
-            self.class_customers = np.bincount(self.up, t, len(self.classes)).astype(np.int64)
+            self.class_customers = single + np.bincount(up, t[multi], len(self.classes)).astype(np.int64)
             self.class_tables = _tables(rng, self.class_customers, new * parent()[self.top_word], e)
             r, s = self.root(self.class_tables)
             chance = self.class_customers - e * self.class_tables + new * parent()[self.top_word]
-            return (chance / (STRENGTH + o.class_customers[self.classes]))[self.up]
+            return (chance / (STRENGTH + o.class_customers[self.classes]))[up]
 
-        multi = np.flatnonzero(self.count > 1)
-        c = self.count[multi]
-        t[multi] = _sequential(rng, c, (open_new * above())[multi], d)
+        t[multi] = _sequential(rng, c, open_new * above(), d)
         for step in range(BURN_IN + SAMPLES):
-            t[multi] = _tables(rng, c, (open_new * above())[multi], d)
+            t[multi] = _tables(rng, c, open_new * above(), d)
             if step >= BURN_IN:
                 above()
                 yield t.copy(), r, s
